@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import chat, exact_dedup, quality
+from quillspark.llm import bpe, chat, exact_dedup, packing, quality
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_chat_format": chat.op3_chat_format,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_bpe": bpe.op10_bpe,
     }
 
 
