@@ -56,7 +56,7 @@ def partitions(spark: SparkSession) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's size estimate; for file scans it is taken from the file sizes, without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def block_count(df: DataFrame, block_bytes: int, least: int) -> int:

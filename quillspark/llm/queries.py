@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, chat, exact_dedup, packing, quality
+from quillspark.llm import bpe, chat, exact_dedup, packing, quality, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op3_chat_format": chat.op3_chat_format,
+        "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
