@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, chat, exact_dedup, packing, quality, suffix_dedup
+from quillspark.llm import bpe, chat, exact_dedup, packing, quality, simhash, suffix_dedup
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_simhash": simhash.op8_simhash,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_bpe": bpe.op10_bpe,
     }

@@ -190,8 +190,11 @@ def _rows(out: list[tuple], names: str) -> pa.Table:
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, cols)})
 
 
-def repeats_removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256, or with keep_text the bytes that stay (kept)."""
+def repeats_removed(docs: DataFrame, changed: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256.
+
+    changed: only the rows that lose something, with the text that stays and the digest of what it was.
+    """
     spark = docs.sparkSession
     base = clean_docs(docs)
     n = partitions(spark)
@@ -275,17 +278,19 @@ def repeats_removed(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             np.add.at(change, w, 1)
             np.add.at(change, w + DEPTH, -1)
         covered = np.cumsum(change[:-1]) > 0
-        return _result(b, covered, keep_text)
+        return _result(b, covered, changed)
 
     sent = placed.groupBy("block").applyInArrow(send_anchors, _SENT)
     told = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle_anchors, "block int, bucket int, codes binary"), "suffix-anchors")
     single = placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_windows, _SENT)
     told2 = written(single.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle_windows, "block int, bucket int, codes binary"), "suffix-windows")
     both = told.withColumn("pass", F.lit(1)).unionByName(told2.withColumn("pass", F.lit(2)))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept string" if keep_text else "kept_sha256 string")
+    schema = "doc_id long, kept string, source_sha256 string" if changed else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     done = placed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(remove, schema)
+    if changed:
+        return done
     size, zero = F.octet_length("text").cast("long"), F.lit(0).cast("long")
-    whole = base.where("doc_id IS NULL").select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.col("text").alias("kept") if keep_text else F.sha2("text", 256).alias("kept_sha256"))
+    whole = base.where("doc_id IS NULL").select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return done.unionByName(whole)
 
 
@@ -340,18 +345,33 @@ def radix_groups(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, np.flatnonzero(fresh), np.cumsum(fresh) - 1
 
 
-def _result(b: Block, covered: np.ndarray, keep_text: bool) -> pa.Table:
+def _result(b: Block, covered: np.ndarray, changed: bool) -> pa.Table:
     spans = covered.copy()
     spans[1:] &= ~covered[:-1]
-    inner = b.at[:-1][(b.at[:-1] < b.at[-1])]
+    inner = b.at[:-1][b.at[:-1] < b.at[-1]]
     spans[inner] = covered[inner]
     sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[b.at])
-    removed, runs, kept = sums(covered), sums(spans), []
-    for i, text in enumerate(b.rows):
-        if removed[i]:
-            text = b.buf[b.at[i] : b.at[i + 1]][~covered[b.at[i] : b.at[i + 1]]].tobytes()
-        kept.append(text.decode("utf-8", "ignore") if keep_text else hashlib.sha256(text).hexdigest())
-    return pa.table({"doc_id": pa.array(b.doc), "n_bytes": pa.array(b.size), "n_removed": pa.array(removed), "n_spans": pa.array(runs), "kept" if keep_text else "kept_sha256": pa.array(kept, pa.string())})
+    removed = sums(covered)
+    stays = lambda i: b.buf[b.at[i] : b.at[i + 1]][~covered[b.at[i] : b.at[i + 1]]].tobytes()
+    if changed:
+        hit = np.flatnonzero(removed)
+        return pa.table({"doc_id": pa.array(b.doc[hit]), "kept": pa.array([stays(i).decode("utf-8", "ignore") for i in hit], pa.string()), "source_sha256": pa.array([hashlib.sha256(b.rows[i]).hexdigest() for i in hit], pa.string())})
+    kept = [hashlib.sha256(stays(i) if removed[i] else text).hexdigest() for i, text in enumerate(b.rows)]
+    return pa.table({"doc_id": pa.array(b.doc), "n_bytes": pa.array(b.size), "n_removed": pa.array(removed), "n_spans": pa.array(sums(spans)), "kept_sha256": pa.array(kept, pa.string())})
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with what stays of each text, other columns as they were; documents with no text left, or none before, go.
+
+    n_chars follows the text where docs has it. A code point that loses some of its bytes loses the rest. Rows that share
+    a doc_id each keep what stays of their own text.
+    """
+    cut = repeats_removed(docs, changed=True).select(F.col("doc_id").alias("_id"), F.col("source_sha256").alias("_sha"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_sha"])
+    joined = docs.join(cut, (F.col("doc_id").cast("long") == F.col("_id")) & (F.sha2("text", 256) == F.col("_sha")), "left")
+    out = joined.withColumn("text", F.coalesce("_kept", "text")).where("text <> ''")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(docs.columns)
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
