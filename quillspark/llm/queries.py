@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, chat, exact_dedup, packing, quality, simhash, suffix_dedup
+from quillspark.llm import bpe, chat, exact_dedup, packing, quality, sharding, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": url_filter.op2_url_filter,
         "op3_chat_format": chat.op3_chat_format,
+        "op4_sharding": sharding.op4_sharding,
         "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
         "op6_exact_dedup": exact_dedup.op6_exact_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
