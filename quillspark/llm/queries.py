@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe, chat, exact_dedup, packing, quality, sharding, simhash, suffix_dedup, url_filter
+from quillspark.llm import bpe, chat, exact_dedup, packing, passages, quality, sharding, simhash, suffix_dedup, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_compact_windows": passages.op1_compact_windows,
         "op2_url_filter": url_filter.op2_url_filter,
         "op3_chat_format": chat.op3_chat_format,
         "op4_sharding": sharding.op4_sharding,
