@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import sys
 import types
 import unicodedata
@@ -25,12 +26,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import clean_docs, docs_table
 
-#: Bytes of text that one round takes at a time; longer texts are taken whole.
-SLICE = 16 << 20
+#: Bytes of text that one round takes at a time; longer texts are cut where a word must begin.
+SLICE = 4 << 20
 #: Words of more bytes than this are merged one by one with a heap: no quadratic scans.
 LONG = 48
 NONE = np.int32(2**31 - 1)
 
+_BLANK = re.compile("(?<=[!-~]) (?=[!-~])")
+
 BLANK, WHITE, LETTER, NUMBER, OTHER = range(5)
 
 
@@ -294,16 +297,17 @@ def encode_batch(v: Vocabulary, texts: list[str], prepare: Callable[[str], str]
     held = 0
 
     def flush() -> Iterator[np.ndarray]:
-        ids, at = encode_texts(v, queue)
         k = 0
+        ids, at = encode_texts(v, queue) if held < 2 * SLICE else (None, None)
         for pieces in plan:
             got = []
             for p in pieces:
-                if p is None:
-                    got.append(ids[at[k] : at[k + 1]])
-                    k += 1
-                else:
+                if p is not None:
                     got.append(np.array([p], np.int32))
+                    continue
+                # a long text's pieces are encoded one at a time
+                got.append(ids[at[k] : at[k + 1]] if ids is not None else encode_texts(v, [queue[k]])[0])
+                k += 1
             yield got[0] if len(got) == 1 else np.concatenate(got)
 
     for text in texts:
@@ -311,6 +315,8 @@ def encode_batch(v: Vocabulary, texts: list[str], prepare: Callable[[str], str]
         for token, i in v.added.items():
             if token in text:
                 pieces = [y for x in pieces for y in ([x] if isinstance(x, int) else _between(x.split(token), i))]
+        if len(text) > SLICE:
+            pieces = [y for x in pieces for y in ([x] if isinstance(x, int) else _cut(x))]
         plan.append([x if isinstance(x, int) else None for x in pieces])
         for x in pieces:
             if not isinstance(x, int):
@@ -323,6 +329,14 @@ def encode_batch(v: Vocabulary, texts: list[str], prepare: Callable[[str], str]
         yield from flush()
 
 
+def _cut(text: str) -> list[str]:
+    """text in pieces of about SLICE characters; a blank between two visible ASCII characters begins a word whatever is around."""
+    cuts = [0]
+    while len(text) - cuts[-1] > SLICE and (m := _BLANK.search(text, cuts[-1] + SLICE)):
+        cuts.append(m.start())
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+
+
 def _between(pieces: list[str], i: int) -> list:
     out: list = [pieces[0]]
     for p in pieces[1:]:

@@ -176,8 +176,9 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     keys, first, place, times = Plan(counts, capacity).slots()
     from pyspark.sql import Window
 
+    # a row for each task and length grows with the input: joined by shuffle, never broadcast
     before = by_task.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = pieces.join(before.select("part", "length", F.coalesce("base", F.lit(0)).alias("base")), ["part", "length"])
+    ranked = pieces.join(before.select("part", "length", F.coalesce("base", F.lit(0)).alias("base")).hint("merge"), ["part", "length"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
