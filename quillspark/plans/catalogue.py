@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quillspark.plans import registry, text_queries  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return registry.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return registry.ORACLES
