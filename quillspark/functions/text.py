@@ -266,6 +266,6 @@ def long_marked_line(text: Column, markers: tuple[str, ...], longest: int = 180)
 def snippet(text: Column, quote: Column, before: int = 120, after: int = 180, default: int = 420) -> Column:
     """The surroundings of the first occurrence, or the beginning."""
     t, q = squash(or_empty(text)), squash(or_empty(quote))
-    at = F.locate(q, t)
+    at = F.position(q, t)
     start = F.greatest(at - before, F.lit(1))
     return F.when((q != "") & (at > 0), F.substr(t, start, at - start + F.length(q) + after)).otherwise(F.substring(t, 1, default))

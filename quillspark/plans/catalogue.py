@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import registry, relational_queries, text_queries  # noqa: F401
+from quillspark.plans import domain_queries, registry, relational_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict:
