@@ -5,13 +5,15 @@ goes by most significant digits, and after each digit only groups that hold two
 
 * The first digit of a window is its least k-mer by hash (its anchor), taken with its place in the window. Windows beside
   one another share an anchor, so one entry stands for a dozen windows, and equal windows always have equal anchors.
-* The second digit is the whole stretch that an anchor's windows cover. Where all entries of an anchor have the same
+  The entry also carries the whole stretch that the anchor's windows cover: where all entries of an anchor have the same
   stretch, all their windows are equal and the group is settled.
-* Only where stretches differ (the edges of repeats) are single windows sorted, byte digit by byte digit, eight at a time.
+* Only where stretches differ (the edges of repeats) does the sort go on. The second digit is the 40 bytes around the
+  anchor that all windows of one third of the offsets share, the third digit the whole window of DEPTH bytes.
+
+Digits are compared by hash: 48 bits beside the bucket's for the digit, and 48 more of the stretch or of a second hash.
 
 Documents lie in blocks by a hash of doc_id. A block sends each distinct digit once, with its smallest doc_id, so groups of
-copies of any size shrink to one entry a block before they meet, and gets back two bits an entry. Stretches are compared
-by 128 bits of hash, windows by their bytes.
+copies of any size shrink to one entry a block before they meet, and gets back two bits an entry.
 
 Defined cases: null texts count as empty; texts shorter than DEPTH bytes lose nothing; rows that share a doc_id are one
 document, so they do not make each other repeats; rows with a null doc_id come back whole and count nowhere; an empty
@@ -21,21 +23,19 @@ table gives an empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from quillspark.llm.common import block_count, clean_docs, docs_table, partitions, written
+from quillspark.llm.common import block_count, clean_docs, docs_table, partitions
 
 DEPTH = 50
 #: Bytes of an anchor.
 K = 24
-#: Bytes of input file to a block; a block's text is about twice that.
-BLOCK_BYTES = 4 << 20
+#: Bytes of a block, as the optimiser estimates the input; its text may be a few times that.
+BLOCK_BYTES = 2 << 20
 #: Places in a block take the low bits beside the hash when anchors are chosen.
 _PLACE = np.uint64((1 << 32) - 1)
 
@@ -58,20 +58,22 @@ def _joined(parts: list[np.ndarray], salt: int) -> np.ndarray:
     return out
 
 
-def kmer_hashes(buf: np.ndarray) -> np.ndarray:
-    """64 bits for each stretch of K bytes of the buffer."""
-    n = len(buf) - K + 1
-    word = np.ndarray((len(buf) - 7,), "<u8", buf.tobytes() if not buf.flags.c_contiguous else buf.data, strides=(1,))
-    h = np.empty(n, np.uint64)
-    for a in range(0, n, 1 << 16):  # in pieces that stay in the processor's cache
-        b = min(a + (1 << 16), n)
-        x = word[a:b] * _MIX[0]
-        x ^= x >> np.uint64(31)
-        x += word[a + 8 : b + 8] * _MIX[1]
-        x ^= x >> np.uint64(29)
-        x += word[a + 16 : b + 16] * _MIX[2]
-        h[a:b] = _mixed(x)
-    return h
+def _words(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers."""
+    return np.ndarray((max(len(buf) - 7, 0),), "<u8", buf.data, strides=(1,))
+
+
+def _kmer(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    x = a * _MIX[0]
+    x ^= x >> np.uint64(31)
+    x += b * _MIX[1]
+    x ^= x >> np.uint64(29)
+    x += c * _MIX[2]
+    return _mixed(x)
+
+
+#: Bytes of text whose hashes and anchors are worked out at a time.
+CHUNK = 1 << 19
 
 
 class Block:
@@ -79,50 +81,61 @@ class Block:
 
     def __init__(self, table: pa.Table):
         doc = table.column("doc_id").to_numpy()
-        order = np.argsort(doc, kind="stable")
-        self.rows = [x.encode() for x in table.column("text").take(pa.array(order)).to_pylist()]
+        self.order = order = np.argsort(doc, kind="stable")
+        text = table.column("text").cast(pa.large_binary()).combine_chunks().take(pa.array(order))
         self.doc = doc[order]
-        self.size = np.array([len(x) for x in self.rows], np.int64)
-        self.at = np.concatenate([[0], np.cumsum(self.size)])
-        self.buf = np.frombuffer(b"".join(self.rows) + bytes(8), np.uint8)
+        self.at = np.frombuffer(text.buffers()[1], np.int64, len(text) + 1, text.offset * 8).copy() if len(text) else np.zeros(1, np.int64)
+        raw = np.frombuffer(text.buffers()[2], np.uint8) if self.at[-1] else np.zeros(0, np.uint8)
+        self.buf = np.concatenate([raw[self.at[0] : self.at[-1]], np.zeros(8, np.uint8)])
+        self.at -= self.at[0]
+        self.size = np.diff(self.at)
         self.anchors()
 
+    def kmers(self, at: np.ndarray) -> np.ndarray:
+        """64 bits for the K bytes from each place on."""
+        word = _words(self.buf)
+        return _kmer(word[at], word[at + 8], word[at + 16])
+
     def anchors(self) -> None:
-        """low, high: first and last window start of each anchor; hash, stretch: its two digits; owner: its row."""
-        n, spread = int(self.at[-1]), DEPTH - K + 1
-        empty = np.zeros(0, np.int64)
-        self.low = self.high = self.owner = empty
-        self.hash = self.stretch = empty.astype(np.uint64)
-        if n < DEPTH:
-            self.kmers = self.hash
-            return
-        self.kmers = h = kmer_hashes(self.buf)[: n - K + 1]
-        least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
+        """place: of each anchor; low, high: its first and last window; hash, stretch: its bytes and its windows'; owner: its row."""
+        found, row = [], 0
+        while row < len(self.size):  # whole texts of CHUNK bytes together, or a stretch of a longer one
+            end = max(int(np.searchsorted(self.at, self.at[row] + CHUNK, "right")) - 1, row + 1)
+            at, size = self.at[row:end], self.size[row:end]
+            if size[0] > CHUNK:  # an anchor cut in two here has a stretch of its own, and so goes on to single windows
+                starts = np.arange(0, size[0] - DEPTH + 1, CHUNK)
+                found += [self._anchors(row, at + s, np.minimum(size - s, CHUNK + DEPTH - 1)) for s in starts]
+            elif size.max() >= DEPTH:
+                found.append(self._anchors(row, at, size))
+            row = end
+        none = np.zeros(0, np.int64)
+        parts = [np.concatenate(x) for x in zip(*found)] if found else [none] * 4 + [none.astype(np.uint64)] * 2
+        self.place, self.low, self.high, self.owner, self.hash, self.stretch = parts
+
+    def _anchors(self, row: int, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        base, spread = at[0], DEPTH - K + 1
+        word, at = _words(self.buf[base : at[-1] + size[-1] + 8]), at - base
+        n = len(word) - K
+        h = _kmer(word[:n], word[8 : n + 8], word[16 : n + 16])
+        least = (h & ~_PLACE) | np.arange(n, dtype=np.uint64)
         width = 1
-        while width * 2 <= spread:
-            least = np.minimum(least[: len(least) - width], least[width:])
-            width *= 2
-        rest = spread - width
-        least = np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
-        anchor = (least & _PLACE).astype(np.int64)  # of the window that starts here
-        long = np.flatnonzero(self.size >= DEPTH)
-        inside = np.zeros(len(anchor) + 1, np.int32)
-        np.add.at(inside, self.at[long], 1)
-        np.add.at(inside, self.at[long] + self.size[long] - DEPTH + 1, -1)
-        starts = np.flatnonzero(np.cumsum(inside[:-1]))
-        anchor = anchor[starts]
+        while width < spread:
+            step = min(width, spread - width)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            width += step
+        inside = np.zeros(len(least) + 1, np.int8)  # is there a whole window of one text from here on?
+        long = size >= DEPTH
+        np.add.at(inside, at[long], 1)
+        np.add.at(inside, at[long] + size[long] - DEPTH + 1, -1)
+        starts = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
+        anchor = (least[starts] & _PLACE).astype(np.int64)
         fresh = np.ones(len(starts), bool)
         fresh[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(fresh)
-        self.low, self.high = starts[first], starts[np.append(first[1:], len(starts)) - 1]
-        at, end = anchor[first], self.high + DEPTH
-        self.hash = h[at]
-        self.stretch = _joined([h[self.low], h[self.low + K], h[end - 2 * K], h[end - K], ((at - self.low) << 8 | (end - at)).astype(np.uint64)], 1)
-        self.owner = np.searchsorted(self.at, self.low, "right") - 1
-
-    def entries(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """One for each distinct anchor hash, in order of place: (first anchor, the entry of each anchor, mixed stretches?, two documents?)."""
-        return _distinct(self.hash, self.doc[self.owner], self.stretch)
+        low, high, anchor = starts[first], starts[np.append(first[1:], len(starts)) - 1], anchor[first]
+        stop = high + DEPTH
+        stretch = _joined([h[low], h[low + K], h[stop - 2 * K], h[stop - K], ((anchor - low) << 8 | (stop - anchor)).astype(np.uint64)], 1)
+        return anchor + base, low + base, high + base, np.searchsorted(at, low, "right") - 1 + row, h[anchor], stretch
 
 
 def _distinct(key: np.ndarray, doc: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,19 +181,11 @@ def _from_two_bits(raw: bytes, n: int) -> np.ndarray:
 
 
 #: What a block is told of an entry: nobody else has it; all its rows repeat an earlier document; all but its first
-#: document do; its windows must be sorted one by one.
+#: document do; the digit is shared, but the stretches differ.
 ALONE, LATER, FIRST, MIXED = range(4)
 
-_SENT = "bucket int, block int, keys binary, extra binary, docs binary, flags binary"
-
-
-def _verdict(doc: np.ndarray, two: np.ndarray, mixed: np.ndarray, key_groups: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Codes of entries that lie sorted by key; begin: where groups begin; key_groups: the group of each."""
-    least = np.minimum.reduceat(doc, begin)[key_groups]
-    size = np.diff(np.append(begin, len(doc)))[key_groups]
-    shared = (size > 1) | two
-    settled = np.where(least < doc, LATER, FIRST)
-    return np.where(shared, np.where(mixed, MIXED, settled), ALONE).astype(np.uint8)
+_SENT = "bucket int, block int, keys binary, checks binary, docs binary, flags binary"
+_TOLD = "block int, bucket int, codes binary"
 
 
 def _rows(out: list[tuple], names: str) -> pa.Table:
@@ -190,13 +195,12 @@ def _rows(out: list[tuple], names: str) -> pa.Table:
     return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, cols)})
 
 
-def repeats_removed(docs: DataFrame, changed: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256.
-
-    changed: only the rows that lose something, with the text that stays and the digest of what it was.
-    """
+def repeats_removed(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans and kept_sha256; with carry instead _row, the columns of docs but text,
+    and text, what stays. The columns then travel with the texts, so that nothing need be joined to them again."""
     spark = docs.sparkSession
-    base = clean_docs(docs)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    base = clean_docs(docs.withColumn("_row", F.struct(*others)), "_row") if carry else clean_docs(docs)
     n = partitions(spark)
     blocks = block_count(base, BLOCK_BYTES, n)
     placed = base.where("doc_id IS NOT NULL").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")).repartition(n, "block")
@@ -204,159 +208,199 @@ def repeats_removed(docs: DataFrame, changed: bool = False) -> DataFrame:
 
     def send_anchors(table: pa.Table) -> pa.Table:
         b = Block(table)
-        first, _, mixed, two = b.entries()
-        key, out, block = b.hash[first], [], table.column("block")[0].as_py()
-        doc = b.doc[b.owner[first]]
-        for k, at in enumerate(_dealt((key % np.uint64(buckets)).astype(np.int64), buckets)):
-            if len(at):
-                out.append((k, block, key[at].tobytes(), b.stretch[first[at]].tobytes(), _squeeze(np.diff(doc[at], prepend=0)), (mixed[at] | two[at] << 1).astype(np.uint8).tobytes()))
-        return _rows(out, _SENT)
+        a = Digits(b.hash, b.stretch, b.doc[b.owner], buckets)
+        return a.sent(table.column("block")[0].as_py())
 
-    def settle_anchors(table: pa.Table) -> pa.Table:
-        key, stretch, doc, flags, sizes = _gathered(table)
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = sorted_key[1:] != sorted_key[:-1]
-        begin, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-        other = (stretch[order] != stretch[order][begin][group]) | ((flags[order] & 1) > 0)
-        mixed = np.logical_or.reduceat(other, begin)[group]
-        codes = np.empty(len(key), np.uint8)
-        codes[order] = _verdict(doc[order], (flags[order] & 2) > 0, mixed, group, begin)
-        return _answers(table, codes, sizes)
+    def send_thirds(key, table: pa.Table, told: pa.Table) -> pa.Table:
+        b = Block(table)
+        return _thirds(b, _anchor_codes(b, told, buckets), buckets)[0].sent(key[0].as_py())
 
     def send_windows(key, table: pa.Table, told: pa.Table) -> pa.Table:
         b = Block(table)
-        first, of, _, _ = b.entries()
-        codes = _heard(told, (b.hash[first] % np.uint64(buckets)).astype(np.int64), len(first))
-        windows, owner, bucket, distinct, two = mixed_windows(b, codes[of])
-        out, block = [], key[0].as_py()
-        for k, at in enumerate(_dealt(bucket[distinct], buckets)):
-            if len(at):
-                w = distinct[at]
-                out.append((k, block, _squeeze(b.buf[windows[w][:, None] + np.arange(DEPTH)]), b"", _squeeze(np.diff(b.doc[owner[w]], prepend=0)), (two[at] << 1).astype(np.uint8).tobytes()))
-        return _rows(out, _SENT)
-
-    def mixed_windows(b: Block, code: np.ndarray):
-        """The windows of mixed anchors, in order of place; their buckets; which are the first of their kind here; have they two documents."""
-        at = np.flatnonzero(code == MIXED)
-        count = b.high[at] - b.low[at] + 1
-        windows = np.repeat(b.low[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        owner = np.repeat(b.owner[at], count)
-        digit = _joined([b.kmers[windows], b.kmers[windows + (DEPTH - K) // 2], b.kmers[windows + DEPTH - K]], 2)
-        distinct, of, _, two = _distinct(digit, b.doc[owner])
-        return windows, owner, (digit % np.uint64(buckets)).astype(np.int64), distinct, two
-
-    def settle_windows(table: pa.Table) -> pa.Table:
-        raw, _, doc, flags, sizes = _gathered(table, windows=True)
-        codes = np.zeros(len(doc), np.uint8)
-        order, begin, group = radix_groups(raw)
-        codes[order] = _verdict(doc[order], (flags[order] & 2) > 0, np.zeros(len(order), bool), group, begin) if len(order) else codes[order]
-        alone = np.ones(len(doc), bool)
-        alone[order] = False
-        codes[alone] = np.where(flags[alone] & 2, FIRST, ALONE)
-        return _answers(table, codes, sizes)
+        return _windows(b, _anchor_codes(b, told, buckets), told, buckets)[0].sent(key[0].as_py())
 
     def remove(key, table: pa.Table, told: pa.Table) -> pa.Table:
         b = Block(table)
-        first, of, _, _ = b.entries()
-        anchors, singles = told.filter(pc.equal(told["pass"], 1)), told.filter(pc.equal(told["pass"], 2))
-        codes = _heard(anchors, (b.hash[first] % np.uint64(buckets)).astype(np.int64), len(first))[of]
-        doc = b.doc[b.owner]
-        least = doc[first][of]
-        gone = (codes == LATER) | ((codes == FIRST) & (doc > least))
+        a = Digits(b.hash, b.stretch, b.doc[b.owner], buckets)
+        codes = a.heard(told, 1)
+        gone = a.repeats(codes)
         change = np.zeros(int(b.at[-1]) + 1, np.int32)
         np.add.at(change, b.low[gone], 1)
         np.add.at(change, b.high[gone] + DEPTH, -1)
-        windows, owner, bucket, distinct, two = mixed_windows(b, codes)
-        if len(windows):
-            digit = _joined([b.kmers[windows], b.kmers[windows + (DEPTH - K) // 2], b.kmers[windows + DEPTH - K]], 2)
-            _, each, _, _ = _distinct(digit, b.doc[owner])
-            code = _heard(singles, bucket[distinct], len(distinct))[each]
-            w_doc, w_least = b.doc[owner], b.doc[owner][distinct][each]
-            w = windows[(code == LATER) | ((code == FIRST) & (w_doc > w_least))]
-            np.add.at(change, w, 1)
-            np.add.at(change, w + DEPTH, -1)
-        covered = np.cumsum(change[:-1]) > 0
-        return _result(b, covered, changed)
-
-    sent = placed.groupBy("block").applyInArrow(send_anchors, _SENT)
-    told = written(sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle_anchors, "block int, bucket int, codes binary"), "suffix-anchors")
-    single = placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send_windows, _SENT)
-    told2 = written(single.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle_windows, "block int, bucket int, codes binary"), "suffix-windows")
-    both = told.withColumn("pass", F.lit(1)).unionByName(told2.withColumn("pass", F.lit(2)))
-    schema = "doc_id long, kept string, source_sha256 string" if changed else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    done = placed.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(remove, schema)
-    if changed:
-        return done
+        w, windows = _windows(b, codes, told, buckets)
+        windows = windows[w.repeats(w.heard(told, 3))]
+        np.add.at(change, windows, 1)
+        np.add.at(change, windows + DEPTH, -1)
+        return _result(b, np.cumsum(change[:-1], dtype=np.int32) > 0, table.column("_row") if carry else None)
+
+    def settled(sent: DataFrame, digit: int) -> DataFrame:
+        met = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(settle_anchors if digit == 1 else settle_exact, _TOLD)
+        return met.withColumn("digit", F.lit(digit))
+
+    def settle_anchors(table: pa.Table) -> pa.Table:
+        return _settle(table, True)
+
+    def settle_exact(table: pa.Table) -> pa.Table:
+        return _settle(table, False)
+
+    # one plan, so that the texts are shuffled once and that exchange is used for every digit
+    texts = placed.groupBy("block")
+    told = settled(texts.applyInArrow(send_anchors, _SENT), 1)
+    told = told.unionByName(settled(texts.cogroup(told.groupBy("block")).applyInArrow(send_thirds, _SENT), 2))
+    told = told.unionByName(settled(texts.cogroup(told.groupBy("block")).applyInArrow(send_windows, _SENT), 3))
+    schema = StructType([base.schema["_row"], base.schema["text"]]) if carry else "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    done = texts.cogroup(told.groupBy("block")).applyInArrow(remove, schema)
+    if carry:
+        return done.unionByName(base.where("doc_id IS NULL").select("_row", "text"))
     size, zero = F.octet_length("text").cast("long"), F.lit(0).cast("long")
     whole = base.where("doc_id IS NULL").select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return done.unionByName(whole)
 
 
-def _gathered(table: pa.Table, windows: bool = False):
-    """The entries of all blocks in a bucket, end to end, and how many each row of the table has."""
-    cols = {c: table.column(c).to_pylist() for c in ("keys", "extra", "docs", "flags")}
-    doc = [np.cumsum(_expand(x, np.int64)) for x in cols["docs"]]
-    keys = np.concatenate([_expand(x, np.uint8).reshape(-1, DEPTH) for x in cols["keys"]]) if windows else np.frombuffer(b"".join(cols["keys"]), np.uint64)
-    return keys, np.frombuffer(b"".join(cols["extra"]), np.uint64), np.concatenate(doc), np.frombuffer(b"".join(cols["flags"]), np.uint8), [len(d) for d in doc]
+def _short(x: np.ndarray) -> np.ndarray:
+    """The low 48 bits, three numbers of 16 bits each."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view("<u2").reshape(-1, 4)[:, :3])
 
 
-def _answers(table: pa.Table, codes: np.ndarray, sizes: list[int]) -> pa.Table:
-    """To each block the codes of its entries, in the order in which it sent them; nothing where nothing is shared."""
-    out = []
-    for block, bucket, part in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), np.split(codes, np.cumsum(sizes)[:-1])):
-        if part.any():
-            out.append((block, bucket, _squeeze(np.frombuffer(_two_bits(part), np.uint8))))
-    return _rows(out, "block int, bucket int, codes binary")
+def _long(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(raw, "<u2").reshape(-1, 3)
+    return out.view(np.uint64).reshape(-1)
 
 
-def _heard(told: pa.Table, bucket: np.ndarray, n: int) -> np.ndarray:
-    """The codes of a block's entries, from the answers of the buckets to which it sent them."""
-    codes = np.zeros(n, np.uint8)
-    order = np.argsort(bucket, kind="stable")
-    sorted_bucket = bucket[order]
-    for k, raw in zip(told.column("bucket").to_pylist(), told.column("codes").to_pylist()):
-        a, b = np.searchsorted(sorted_bucket, [k, k + 1])
-        codes[order[a:b]] = _from_two_bits(_expand(raw, np.uint8).tobytes(), b - a)
-    return codes
+class Digits:
+    """Entries of one digit in a block: equal keys are one entry, which stands at its first place."""
 
+    def __init__(self, key: np.ndarray, check: np.ndarray, doc: np.ndarray, buckets: int):
+        self.key, self.check, self.doc = key, check, doc
+        self.first, self.of, self.mixed, self.two = _distinct(key, doc, check)
+        self.bucket = (key[self.first] % np.uint64(buckets)).astype(np.int64)
+        self.buckets = buckets
 
-def radix_groups(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Orders rows of DEPTH bytes by digits of 8 bytes, most significant first; rows alone in their group leave at once.
+    def sent(self, block: int) -> pa.Table:
+        out, key, check, doc = [], self.key[self.first], self.check[self.first], self.doc[self.first]
+        key, check = _short(key >> np.uint64(16)), _short(check)
+        for k, at in enumerate(_dealt(self.bucket, self.buckets)):
+            if len(at):
+                out.append((k, block, key[at].tobytes(), check[at].tobytes(), _squeeze(np.diff(doc[at], prepend=0)), _two_bits(self.mixed[at] | self.two[at] << 1)))
+        return _rows(out, _SENT)
 
-    (rows that share all digits with another, group by group; where groups begin; the group of each).
-    """
-    order = np.arange(len(windows))
-    group = np.zeros(len(windows), np.int64)
-    for a in range(0, DEPTH, 8):
-        digit = np.zeros((len(order), 8), np.uint8)
-        digit[:, : min(8, DEPTH - a)] = windows[order, a : a + 8]
-        digit = digit.view(">u8").reshape(-1).astype(np.uint64)
-        by = np.lexsort((digit, group))
-        order, group, digit = order[by], group[by], digit[by]
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
-        group = np.cumsum(fresh) - 1
-        shared = np.bincount(group, minlength=1)[group] > 1 if len(group) else fresh
-        order, group = order[shared], group[shared]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = group[1:] != group[:-1]
-    return order, np.flatnonzero(fresh), np.cumsum(fresh) - 1
-
-
-def _result(b: Block, covered: np.ndarray, changed: bool) -> pa.Table:
+    def heard(self, told: pa.Table, digit: int) -> np.ndarray:
+        """The code of each place, from the answers of the buckets to which the entries went."""
+        codes = np.zeros(len(self.first), np.uint8)
+        order = np.argsort(self.bucket, kind="stable")
+        ordered = self.bucket[order]
+        for d, k, raw in zip(told.column("digit").to_pylist(), told.column("bucket").to_pylist(), told.column("codes").to_pylist()):
+            if d == digit:
+                a, b = np.searchsorted(ordered, [k, k + 1])
+                codes[order[a:b]] = _from_two_bits(raw, b - a)
+        return codes[self.of]
+
+    def repeats(self, codes: np.ndarray) -> np.ndarray:
+        """Which places repeat an earlier document."""
+        return (codes == LATER) | ((codes == FIRST) & (self.doc > self.doc[self.first][self.of]))
+
+
+def _anchor_codes(b: Block, told: pa.Table, buckets: int) -> np.ndarray:
+    return Digits(b.hash, b.stretch, b.doc[b.owner], buckets).heard(told, 1)
+
+
+def _pair(b: Block, at: list[np.ndarray], salt: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of the bytes that the k-mers at these places cover."""
+    parts = [b.kmers(x) for x in at]
+    extra = np.broadcast_to(np.asarray(salt, np.uint64), parts[0].shape)
+    return _joined([*parts, extra], 5), _joined([extra, *parts], 7)
+
+
+#: Bytes of the second digit, and how far it begins before the anchor for each third of the offsets.
+MIDDLE, THIRDS = 40, (0, 8, 16)
+
+
+def _third(offset: np.ndarray) -> np.ndarray:
+    """Which third a window belongs to, by how far it begins before its anchor."""
+    return np.minimum(offset // 8, 2)
+
+
+def _thirds(b: Block, codes: np.ndarray, buckets: int) -> tuple[Digits, np.ndarray, np.ndarray]:
+    """The second digits of anchors with mixed stretches: (entries, anchor, third). Windows that begin 0 to 7 bytes before
+    their anchor hold the MIDDLE bytes from it on, those that begin 8 to 15 before it those from 8 before it, and so on."""
+    at = np.flatnonzero(codes == MIXED)
+    place = b.place[at]
+    low, high = _third(place - b.high[at]), _third(place - b.low[at])
+    anchor = np.concatenate([at[(low <= k) & (k <= high)] for k in range(len(THIRDS))])
+    third = np.concatenate([np.full(int(((low <= k) & (k <= high)).sum()), k) for k in range(len(THIRDS))])
+    order = np.lexsort((third, anchor))
+    anchor, third = anchor[order], third[order]
+    start = b.place[anchor] - np.array(THIRDS)[third]
+    key, check = _pair(b, [start, start + MIDDLE - K], third)
+    return Digits(key, check, b.doc[b.owner[anchor]], buckets), anchor, third
+
+
+def _windows(b: Block, codes: np.ndarray, told: pa.Table, buckets: int) -> tuple[Digits, np.ndarray]:
+    """The windows whose second digit is shared: (entries, where they begin)."""
+    t, anchor, third = _thirds(b, codes, buckets)
+    live = t.heard(told, 2) != ALONE
+    anchor, third = anchor[live], third[live]
+    place = b.place[anchor]
+    widest = np.where(third == 2, DEPTH - K, 8 * third + 7)
+    low = np.maximum(b.low[anchor], place - widest)
+    high = np.minimum(b.high[anchor], place - 8 * third)
+    count = high - low + 1
+    start = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    key, check = _pair(b, [start, start + (DEPTH - K) // 2, start + DEPTH - K], 9)
+    return Digits(key, check, b.doc[np.repeat(b.owner[anchor], count)], buckets), start
+
+
+def _settle(table: pa.Table, stretches: bool) -> pa.Table:
+    """The entries of all blocks in a bucket, sorted digit by digit. stretches: checks may differ within a key."""
+    doc = [np.cumsum(_expand(x, np.int64)) for x in table.column("docs").to_pylist()]
+    sizes = [len(d) for d in doc]
+    flags = np.concatenate([_from_two_bits(x, n) for x, n in zip(table.column("flags").to_pylist(), sizes)])
+    doc = np.concatenate(doc)
+    key, check = (_long(b"".join(table.column(c).to_pylist())) for c in ("keys", "checks"))
+    order = np.argsort(key, kind="stable") if stretches else np.lexsort((check, key))
+    key, check, doc, flags = key[order], check[order], doc[order], flags[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    if not stretches:
+        fresh[1:] |= check[1:] != check[:-1]
+    begin, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    shared = (np.diff(np.append(begin, len(key)))[group] > 1) | (flags & 2 > 0)
+    verdict = np.where(np.minimum.reduceat(doc, begin)[group] < doc, LATER, FIRST)
+    if stretches:
+        other = (check != check[begin][group]) | (flags & 1 > 0)
+        verdict = np.where(np.logical_or.reduceat(other, begin)[group], MIXED, verdict)
+    codes = np.empty(len(key), np.uint8)
+    codes[order] = np.where(shared, verdict, ALONE)
+    out = []  # to each block the codes of its entries, in the order in which it sent them; nothing where nothing is shared
+    for block, bucket, part in zip(table.column("block").to_pylist(), table.column("bucket").to_pylist(), np.split(codes, np.cumsum(sizes)[:-1])):
+        if part.any():
+            out.append((block, bucket, _two_bits(part)))
+    return _rows(out, _TOLD)
+
+
+def _result(b: Block, covered: np.ndarray, carried: pa.ChunkedArray | None) -> pa.Table:
     spans = covered.copy()
     spans[1:] &= ~covered[:-1]
     inner = b.at[:-1][b.at[:-1] < b.at[-1]]
     spans[inner] = covered[inner]
-    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[b.at])
+    full = np.flatnonzero(b.size)
+
+    def sums(x: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(b.size), np.int64)
+        out[full] = np.add.reduceat(x, b.at[full], dtype=np.int64) if len(full) else 0
+        return out
+
     removed = sums(covered)
-    stays = lambda i: b.buf[b.at[i] : b.at[i + 1]][~covered[b.at[i] : b.at[i + 1]]].tobytes()
-    if changed:
-        hit = np.flatnonzero(removed)
-        return pa.table({"doc_id": pa.array(b.doc[hit]), "kept": pa.array([stays(i).decode("utf-8", "ignore") for i in hit], pa.string()), "source_sha256": pa.array([hashlib.sha256(b.rows[i]).hexdigest() for i in hit], pa.string())})
-    kept = [hashlib.sha256(stays(i) if removed[i] else text).hexdigest() for i, text in enumerate(b.rows)]
+
+    def stays(i: int) -> bytes:
+        text = b.buf[b.at[i] : b.at[i + 1]]
+        return (text[~covered[b.at[i] : b.at[i + 1]]] if removed[i] else text).tobytes()
+
+    n = range(len(b.size))
+    if carried is not None:
+        return pa.table({"_row": carried.take(pa.array(b.order)), "text": pa.array([stays(i).decode("utf-8", "ignore") for i in n], pa.string())})
+    kept = [hashlib.sha256(stays(i)).hexdigest() for i in n]
     return pa.table({"doc_id": pa.array(b.doc), "n_bytes": pa.array(b.size), "n_removed": pa.array(removed), "n_spans": pa.array(sums(spans)), "kept_sha256": pa.array(kept, pa.string())})
 
 
@@ -366,12 +410,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     n_chars follows the text where docs has it. A code point that loses some of its bytes loses the rest. Rows that share
     a doc_id each keep what stays of their own text.
     """
-    cut = repeats_removed(docs, changed=True).select(F.col("doc_id").alias("_id"), F.col("source_sha256").alias("_sha"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_sha"])
-    joined = docs.join(cut, (F.col("doc_id").cast("long") == F.col("_id")) & (F.sha2("text", 256) == F.col("_sha")), "left")
-    out = joined.withColumn("text", F.coalesce("_kept", "text")).where("text <> ''")
+    out = repeats_removed(docs, carry=True).where("text <> ''").select("_row.*", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
