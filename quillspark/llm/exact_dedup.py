@@ -89,7 +89,7 @@ def dedup_decisions(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document stays, with their columns as they were."""
     kept = dedup_decisions(docs).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

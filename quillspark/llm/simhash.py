@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs whose document names its component, with their columns as they were."""
     kept = near_duplicates(docs).where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_keep"]), "left_semi")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
