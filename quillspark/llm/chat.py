@@ -45,13 +45,18 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def escape_role(role: Column) -> Column:
+    """A role stands inside a mark, so its end must not stand in it either."""
+    return F.replace(escape(role), F.lit(">"), F.lit("\\g"))
+
+
 def _mark(role: Column, template: dict, key: str) -> Column:
     out = F.lit(None).cast("string")
     for name, spec in template.items():
         if name != "*":
             out = F.when(role == name, F.lit(spec[key])).otherwise(out)
     before, _, after = template["*"][key].partition("{role}")
-    rest = F.concat(F.lit(before), escape(role), F.lit(after)) if "{role}" in template["*"][key] else F.lit(template["*"][key])
+    rest = F.concat(F.lit(before), escape_role(role), F.lit(after)) if "{role}" in template["*"][key] else F.lit(template["*"][key])
     return F.coalesce(out, rest)
 
 
@@ -87,7 +92,7 @@ def read_back(formatted: Column, end: str = "<end>") -> Column:
     """The turns array<struct<role, text>> of a formatted text: no raw ``<`` or ``[`` stands in a text, so marks split it."""
     pieces = F.split(formatted, end)
     inner = F.slice(pieces, 1, F.size(pieces) - 1)
-    return F.transform(inner, lambda p: F.struct(unescape(F.substring_index(F.substr(p, F.lit(2)), ">", 1)).alias("role"), unescape(F.substr(p, F.locate(">", p) + 1)).alias("text")))
+    return F.transform(inner, lambda p: F.struct(unescape(F.replace(F.substring_index(F.substr(p, F.lit(2)), ">", 1), F.lit("\\g"), F.lit(">"))).alias("role"), unescape(F.substr(p, F.locate(">", p) + 1)).alias("text")))
 
 
 #: A conversation made of control strings, which a template must keep apart from its own.
@@ -116,7 +121,7 @@ OP3_SQL = r"""
 WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (SELECT *, length(text) + length(regexp_replace(text, '[^<\[\\]', '', 'g')) AS coded,
-             length(role) + length(regexp_replace(role, '[^<\[\\]', '', 'g')) + 7 AS marks FROM t)
+             length(role) + length(regexp_replace(role, '[^<>\[\\]', '', 'g')) + 7 AS marks FROM t)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

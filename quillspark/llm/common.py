@@ -60,9 +60,11 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def block_count(df: DataFrame, block_bytes: int, least: int) -> int:
-    """How many hash blocks of about block_bytes the input makes; a huge or unknown estimate is held to a sane range."""
-    n = math.ceil(min(input_bytes(df), 1 << 50) / block_bytes)
-    return max(least, min(n, 1 << 20))
+    """How many hash blocks of about block_bytes df's texts make; where the optimiser knows no size, a job sums it."""
+    size = input_bytes(df)
+    if size >= 1 << 60:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, math.ceil(size / block_bytes))
 
 
 def clean_docs(df: DataFrame, *columns: str) -> DataFrame:
