@@ -47,8 +47,10 @@ def gazetteer_match(names: DataFrame, gazetteer: DataFrame, name: str = "name",
 
 
 def shingles(text: Column, n: int) -> Column:
+    """A hash for each n words in a row. The word list is named once: in a lambda it would be split anew for every word."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+    grams = lambda ws: F.transform(ws, lambda w, i: F.xxhash64(w, *[F.get(ws, i + k) for k in range(1, n)]))
+    return F.transform(F.array(words), lambda ws: F.slice(grams(ws), 1, F.greatest(F.size(ws) - n + 1, F.lit(0))))[0]
 
 
 def containment(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str, gram: int = 5) -> DataFrame:

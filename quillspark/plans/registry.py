@@ -23,4 +23,12 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def table(spark, sf_dir: str, name: str):
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table; text of which the files make fewer splits than there are cores is dealt out evenly first.
+
+    Large inputs have splits enough and are left as they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("documents", "pages") and df._jdf.queryExecution().toRdd().getNumPartitions() < cores // 2:
+        return df.repartition(cores)
+    return df
