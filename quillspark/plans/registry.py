@@ -22,13 +22,14 @@ def query(name: str, sql: str | None = None) -> Callable:
     return register
 
 
-def table(spark, sf_dir: str, name: str):
-    """The table; text of which the files make fewer splits than there are cores is dealt out evenly first.
+#: Below this many bytes a core, a text table may be one row group, which one task would read and work through alone.
+SPLIT_BYTES = 16 << 20
+
 
-    Large inputs have splits enough and are left as they are.
-    """
+def table(spark, sf_dir: str, name: str):
+    """The table; text that is small for the number of cores is dealt out evenly first, anything larger left as it is."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in ("documents", "pages") and df._jdf.queryExecution().toRdd().getNumPartitions() < cores // 2:
+    if name in ("documents", "pages") and int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < cores * SPLIT_BYTES:
         return df.repartition(cores)
     return df
