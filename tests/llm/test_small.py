@@ -220,6 +220,31 @@ def test_repeated_passages_are_linked(docs, none):
     assert passages.near_duplicate_passages(none).count() == 0
 
 
+def brute_pairs(texts):
+    """(later, earlier) of texts that are one passage each, by the token sets of all pairs."""
+    sets = []
+    for t in texts:
+        ws = t.split()
+        sets.append({tuple(ws[i : i + 5]) for i in range(len(ws) - 4)})
+    return {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
+def test_copies_of_a_text_that_is_not_the_first(spark):
+    r, texts = random.Random(12), []
+    for family in range(12):
+        clean = words(100 + family, 50, 4000).split()
+        for copy in range(20):
+            t = list(clean)
+            if copy != 6:
+                t[r.randrange(50)] = f"edit{copy}"
+            texts.append(" ".join(t))
+    got = passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    near = brute_pairs(texts)
+    assert {(x.doc_id, x.other_id) for x in got} <= near
+    later = {i for i, j in near if j % 20 == 6}
+    assert len(later & {x.doc_id for x in got}) >= 0.9 * len(later)
+
+
 def test_compact_windows_hold_each_stretch_once():
     r = np.random.default_rng(3)
     tokens, counts = r.integers(0, 2**63, 400, dtype=np.uint64), np.array([150, 10, 240])
