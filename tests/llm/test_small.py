@@ -245,6 +245,24 @@ def test_copies_of_a_text_that_is_not_the_first(spark):
     assert len(later & {x.doc_id for x in got}) >= 0.9 * len(later)
 
 
+def test_matches_beside_repeated_lines_and_in_another_order():
+    line, one, two = (words(k, n, 5000).split() for k, n in ((201, 6), (202, 200), (203, 100)))
+    tokens = lambda *parts: passages.tokens_of([" ".join(sum(parts, [])).encode()])[0]
+    held = lambda found: sum(j - i + 1 for _, i, j, _, _ in found)
+    assert held(passages.matches(tokens(line * 5, one), tokens(line * 100, one))) >= 196
+    assert held(passages.matches(tokens(one, two), tokens(two, words(204, 300, 5000).split(), one))) >= 196 + 96 - 4
+
+
+def test_best_match_is_the_best_of_all_stretches():
+    r = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = r.integers(0, 30, 12).astype(np.uint64), r.integers(0, 30, r.integers(5, 60)).astype(np.uint64)
+        n = min(len(a), len(b))
+        of = lambda i: len({*a.tolist()} & {*b[i : i + n].tolist()}) / len({*a.tolist()} | {*b[i : i + n].tolist()})
+        score, x, y = passages.best_match(a, b)
+        assert score == max(map(of, range(len(b) - n + 1))) == of(x) and y == x + n - 1
+
+
 def test_compact_windows_hold_each_stretch_once():
     r = np.random.default_rng(3)
     tokens, counts = r.integers(0, 2**63, 400, dtype=np.uint64), np.array([150, 10, 240])
