@@ -2,8 +2,8 @@
 
 Labels come from a seed lexicon: a URL is labelled bad where its host holds one of SEED_WORDS. The trees never see words,
 only shape (lengths, depth, digits, hyphens, entropy, parameters, statistics of the host's suffix), so they carry the
-labels over to hosts that look alike. They are trained on the driver on a bounded sample (TRAIN_ROWS rows, least by hash of
-the URL), and judge every URL as one Spark expression of built-in functions.
+labels over to hosts that look alike. Suffixes are counted over all URLs. The trees are trained on the driver on a bounded
+sample (TRAIN_ROWS rows, least by hash of the URL), and judge every URL as one Spark expression of built-in functions.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is judged by its shape alone; rows that
 repeat are judged alike; a sample with one class only gives a constant model; an empty table gives an empty result; other
@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import docs_table
+from quillspark.llm.common import docs_table, written
 
 #: (verdict, host, path); fixed by contract.
 RULES = (
@@ -149,43 +149,43 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate:
 @dataclass
 class UrlModel:
     trees: Trees
-    #: suffix -> (smoothed share of bad URLs, share of the sample); suffixes not in the sample get the prior and 0.
-    suffixes: dict[str, tuple[float, float]]
+    #: suffix, n and bad: the URLs of every suffix of the pages that it was trained for, and those of them that are bad.
+    suffixes: DataFrame
+    total: int
     prior: float
 
-    def features(self) -> dict[str, Column]:
-        suffix = suffix_of(F.col("host"))
-        pairs = [c for k, (rate, share) in self.suffixes.items() for c in (F.lit(k), F.struct(F.lit(rate).alias("rate"), F.lit(share).alias("share")))]
-        table = F.create_map(*pairs) if pairs else None
-        found = F.try_element_at(table, suffix) if table is not None else F.lit(None).cast("struct<rate double, share double>")
-        return shape_features() | {"suffix_rate": F.coalesce(found["rate"], F.lit(self.prior)), "suffix_share": F.coalesce(found["share"], F.lit(0.0))}
+    def with_features(self, parts: DataFrame) -> DataFrame:
+        """parts with the features; suffixes that the model does not know get the prior and 0."""
+        return with_suffixes(parts.withColumns(shape_features()).withColumn("suffix", suffix_of(F.col("host"))), self.suffixes, self.total, self.prior)
 
 
-#: Suffixes that keep statistics of their own, most frequent first.
-SUFFIXES = 64
+def with_suffixes(df: DataFrame, suffixes: DataFrame, total: int, prior: float) -> DataFrame:
+    """df with suffix_rate, the smoothed share of bad URLs of its suffix, and suffix_share, the suffix's share of all URLs."""
+    rate, share = (F.col("_bad") + 20 * prior) / (F.col("_n") + 20), F.col("_n") / total
+    known = suffixes.select("suffix", F.col("n").alias("_n"), F.col("bad").alias("_bad"))
+    both = df.join(known, "suffix", "left").withColumns({"suffix_rate": F.coalesce(rate, F.lit(prior)), "suffix_share": F.coalesce(share, F.lit(0.0))})
+    return both.drop("_n", "_bad", "suffix")
 
 
 def train(pages: DataFrame, rows: int = TRAIN_ROWS, seeds: tuple = SEED_WORDS) -> UrlModel:
-    """A model from at most ``rows`` labelled URLs of pages."""
+    """A model whose suffix statistics are those of all of pages, and its trees those of at most ``rows`` labelled URLs."""
     parts = url_parts(pages).where("host <> ''")
     bad = reduce(lambda a, b: a | b, [F.contains("host", F.lit(w)) for w in seeds]).cast("int").alias("bad")
-    key = F.xxhash64("url")
-    got = parts.select(key.alias("k"), bad, suffix_of(F.col("host")).alias("suffix"), *[c.alias(n) for n, c in shape_features().items()]).orderBy("k").limit(rows).collect()
+    suffix = suffix_of(F.col("host")).alias("suffix")
+    suffixes = written(parts.select(suffix, bad).groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")), "suffixes")
+    total, n_bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    prior = n_bad / total if total else 0.0
+    sample = parts.select(F.xxhash64("url").alias("k"), bad, suffix, *[c.alias(n) for n, c in shape_features().items()]).orderBy("k").limit(rows)
+    got = with_suffixes(sample, suffixes, max(total, 1), prior).orderBy("k", *FEATURES).collect()
     y = np.array([r["bad"] for r in got], float)
-    prior = float(y.mean()) if len(y) else 0.0
-    seen: dict[str, list[float]] = {}
-    for r in got:
-        seen.setdefault(r["suffix"], []).append(r["bad"])
-    kept = sorted(seen, key=lambda s: (-len(seen[s]), s))[:SUFFIXES]
-    stats = {s: ((sum(seen[s]) + 20 * prior) / (len(seen[s]) + 20), len(seen[s]) / len(got)) for s in kept}
-    x = np.array([[*[r[n] for n in FEATURES[:-2]], *stats.get(r["suffix"], (prior, 0.0))] for r in got], float).reshape(-1, len(FEATURES))
-    return UrlModel(boost(x, y), stats, prior)
+    x = np.array([[r[n] for n in FEATURES] for r in got], float).reshape(-1, len(FEATURES))
+    return UrlModel(boost(x, y), suffixes, max(total, 1), prior)
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (log odds of bad): the rule's verdict, else the trees'."""
     parts = url_parts(pages, "page_id").withColumn("_rule", rule_column(rules))
-    scored = parts.withColumns(model.features()).withColumn("score", model.trees.column())
+    scored = model.with_features(parts).withColumn("score", model.trees.column())
     return scored.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")
 
 

@@ -404,6 +404,17 @@ def test_trees_as_columns_score_like_the_trees(spark):
     assert np.allclose(got, model.score(x)) and ((np.array(got) > 0) == (x[:, 0] * x[:, 1] > 0)).mean() > 0.9
 
 
+def test_every_suffix_keeps_its_statistics(spark):
+    urls = [(i, f"http://{'spam' if k % 3 == 0 else 'www'}.site{k}.com/a/{i}") for i, k in ((i, i % 150) for i in range(600))]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    model = url_filter.train(pages, rows=40)
+    assert model.suffixes.count() == 150 and model.total == 600 and abs(model.prior - 1 / 3) < 1e-9
+    got = model.with_features(url_filter.url_parts(pages, "page_id")).select("host", "suffix_rate", "suffix_share").collect()
+    assert len(got) == 600
+    assert all(np.isclose(r.suffix_share, 4 / 600) and np.isclose(r.suffix_rate, (4 * r.host.startswith("spam") + 20 / 3) / 24) for r in got)
+    assert url_filter.judge(pages, model).count() == 600
+
+
 # sharding
 
 
