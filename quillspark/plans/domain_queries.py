@@ -188,7 +188,7 @@ def j8(spark, d):
     k = F.col("doc_id")
     docs = table(spark, d, "documents").select("doc_id", "text")
     quote = F.concat(F.substring("text", 20, 25), F.lit("zq"), F.substring("text", 47, 25))
-    refs = docs.where(k % 10 == 0).select(k.alias("ref_id"), k.cast("string").alias("page"), quote.alias("quote"))
+    refs = docs.select(k.alias("ref_id"), k.cast("string").alias("page"), quote.alias("quote"))
     return J.quote_status(refs, docs.withColumnRenamed("doc_id", "page")).select("ref_id", "status", F.round("score", 4).alias("score"))
 
 

@@ -121,6 +121,21 @@ def test_window_ratio():
     assert 0.8 < window_ratio("the quick brown fox jumps", "say the quick brawn fox jumps now") < 1.0
 
 
+def test_every_reference_is_compared_with_its_page(spark, tmp_path):
+    from quillspark.plans.domain_queries import j8
+
+    texts = {i: " ".join(f"word{(i * 7 + k * k) % 31}x{k}" for k in range(12 + i)) for i in range(13)} | {13: "short", 14: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda t: "".join(t.lower().split())
+    want = set()
+    for i, t in texts.items():
+        quote = key(t[19:44] + "zq" + t[46:71])
+        score = 1.0 if quote in key(t) else window_ratio(quote, key(t))
+        near = 0.78 if len(quote) < 30 else 0.72
+        want.add((i, "found" if quote in key(t) else "approximate" if score >= near else "citation_mismatch", round(score, 4)))
+    assert {tuple(r) for r in j8(spark, str(tmp_path)).collect()} == want
+
+
 def test_decisions_are_all_or_nothing(spark):
     tasks = spark.createDataFrame([("a", ""), ("b", ""), ("c", "pass")], "id string, current string")
     bad = spark.createDataFrame([("a", 1, "pass", ""), ("a", 2, "fail", "n"), ("x", 3, "pass", ""), ("c", 4, "fail", "n"), ("b", 5, "", "")], "id string, o int, result string, notes string")
