@@ -119,8 +119,10 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     The verdict is a generator's input, not a filter's: a filter would be pushed below the projections that build it, and
     each mention of the word list would be worked out anew.
     """
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return judge(quality_metrics(whole, "_row"), rules).select(F.inline(F.when(F.col("kept"), F.array("_row"))))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("_row")  # a text that passes is not null
+    whole = docs.select("doc_id", "text", others)
+    row = F.struct(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return judge(quality_metrics(whole, "_row"), rules).select(F.inline(F.when(F.col("kept"), F.array(row))))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
