@@ -34,7 +34,7 @@ SHINGLE = 3
 RADIUS = 3
 BANDS = (11, 11, 11, 11, 10, 10)
 FAN = 8
-#: Node pairs that are compared at a time, and rows of runs that are taken together.
+#: Node pairs that are held at a time, and rows of runs that are taken together.
 CHUNK = 1 << 19
 ROWS = 1 << 18
 
@@ -200,8 +200,9 @@ def link_runs(run: np.ndarray, fp: np.ndarray) -> np.ndarray:
     stack = [(len(levels) - 1, roots, roots)]
     while stack:
         depth, i, j = stack.pop()
-        if len(i) > CHUNK:
-            stack += [(depth, i[a : a + CHUNK], j[a : a + CHUNK]) for a in range(0, len(i), CHUNK)][::-1]
+        step = CHUNK // FAN**2 if depth else CHUNK  # a pair of upper nodes becomes FAN² pairs
+        if len(i) > step:
+            stack += [(depth, i[step:], j[step:]), (depth, i[:step], j[:step])]
             continue
         x = levels[depth]
         shared = x["same"][i] & x["same"][j]
@@ -241,16 +242,19 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[moved]].view(np.int64))], ["a", "b"])
 
     held: list[tuple[np.ndarray, ...]] = []
+    rows, wanted = 0, ROWS
     for b in batches:
         held.append(tuple(b.column(c).to_numpy() for c in ("choice", "key", "fp")))
-        if sum(len(x[0]) for x in held) < ROWS:
+        rows += b.num_rows
+        if rows < wanted:
             continue
         choice, key, fp = (np.concatenate(x) for x in zip(*held))
         ends = np.flatnonzero((choice[1:] != choice[:-1]) | (key[1:] != key[:-1]))
         cut = int(ends[-1]) + 1 if len(ends) else 0
         if cut:
             yield forest(choice[:cut], key[:cut], fp[:cut])
-        held = [(choice[cut:], key[cut:], fp[cut:])]
+        held, rows = [(choice[cut:], key[cut:], fp[cut:])], len(fp) - cut
+        wanted = max(ROWS, 2 * rows)  # a run that goes on is copied as often as it doubles
     if held:
         yield forest(*(np.concatenate(x) for x in zip(*held)))
 
