@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import clean_docs, docs_table, partitions, written
+from quillspark.llm.common import clean_docs, discard, docs_table, partitions, written
 
 SEED = 42
 SHINGLE = 3
@@ -268,17 +268,22 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the least node of its component) for every node of edges a, b, by large and small stars in turn."""
+    """node, root (the least node of its component) for every node of edges a, b, by large and small stars in turn.
+
+    ``low`` names its key by an expression, so that it is dealt anew for the join: Spark can then split a hub's links.
+    """
     least = lambda a, b: F.least(F.col(a), F.col(b))
+    dealt = F.col("a").bitwiseXOR(F.lit(0)).alias("hub")
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), least("a", "b").alias("b")).distinct(), "star")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", least("m", "a").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = written(small.select("e.*").where("a <> b").distinct(), "star")
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(dealt, least("m", "a").alias("m"))
+        large = both.where("b > a").join(low, F.col("a") == F.col("hub")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m")).select(dealt, "m")
+        small = large.join(low, F.col("a") == F.col("hub")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a").alias("a"), F.col("m").alias("b")))).alias("e"))
+        last, edges = edges, written(small.select("e.*").where("a <> b").distinct(), "star")
+        discard(last)
         # the same rows as before: each node hangs from its root
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
