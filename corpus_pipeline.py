@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import exact_dedup, packing, quality, simhash, suffix_dedup
-from quillspark.llm.common import docs_table, written
+from quillspark.llm.common import discard, docs_table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,5 +49,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_table(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+        last, docs = docs, written(stage(spark, docs, sf_dir), f"stage{k}")
+        if k:
+            discard(last)
     return docs
