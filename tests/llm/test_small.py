@@ -245,6 +245,37 @@ def test_copies_of_a_text_that_is_not_the_first(spark):
     assert len(later & {x.doc_id for x in got}) >= 0.9 * len(later)
 
 
+def test_near_passages_with_and_without_other_owners(spark):
+    """Passages of 50 to 60 words at a similarity of 0.8 to 0.9, also where forty earlier documents quote 12 words of them."""
+    r, texts, pairs = random.Random(31), [], []
+    quoted = [words(900 + k, 50 + k % 11, 5000).split() for k in range(60)]
+    for k in range(40):
+        text = words(2000 + k, 60, 5000).split()
+        for q in quoted[:30]:
+            a = r.randrange(len(q) - 12)
+            text += q[a : a + 12] + words(3000 + 100 * k + len(text), 40, 5000).split()
+        texts.append(" ".join(text))
+    for k, q in enumerate(quoted):
+        edited = list(q)
+        edited[r.randrange(10, len(q) - 10)] = f"edit{k}"
+        assert brute_pairs([" ".join(q), " ".join(edited)])
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join([words(5000 + 2 * k + i, 80, 5000), " ".join(t), words(7000 + 2 * k + i, 50, 5000)]) for i, t in enumerate((q, edited))]
+    got = passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {(x.doc_id, x.other_id) for x in got}
+    for some in (pairs[:30], pairs[30:]):
+        assert sum((b, a) in found for a, b in some) >= 0.9 * len(some)
+    assert not {d for pair in found for d in pair} & set(range(40))
+
+
+def test_a_passage_of_which_others_own_the_signatures(spark):
+    passage = words(51, 110, 5000).split()
+    texts = [f"{words(60 + k, 70, 5000)} {' '.join(passage[2 * k : 2 * k + 12])} {words(160 + k, 70, 5000)}" for k in range(40)]
+    rows = list(enumerate(texts)) + [(1000 + k, f"{words(260 + k, 60, 5000)} {' '.join(passage)}") for k in range(2)]
+    got = passages.near_duplicate_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.other_id) for x in got} == {(1001, 1000)}
+
+
 def test_matches_beside_repeated_lines_and_in_another_order():
     line, one, two = (words(k, n, 5000).split() for k, n in ((201, 6), (202, 200), (203, 100)))
     tokens = lambda *parts: passages.tokens_of([" ".join(sum(parts, [])).encode()])[0]
