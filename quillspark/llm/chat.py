@@ -1,7 +1,8 @@
 """Chat formatting with built-in functions only: a declarative template, a finite-state machine over roles, loss flags.
 
 A conversation becomes a list of segments ``struct<role, text, loss>``; the formatted text is their concatenation. A turn
-is ``<role>`` + text + ``<end>``, as the template says. Every ``<``, ``[`` and ``\\`` inside a text or a role is escaped
+is ``<role>`` + text + ``<end>``, as the template says; a role that the template does not name is written ``<:role>``, so
+that none can pass for a mark. Every ``<``, ``[`` and ``\\`` inside a text or a role is escaped
 as ``\\l``, ``\\b`` and ``\\e``, so a control string (the template's own or another's, such as ``[INST]`` or ``</s>``)
 never stands in a text, and unescaping gives the text back exactly.
 
@@ -22,7 +23,7 @@ TEMPLATE = {
     "system": {"open": "<system>", "close": "<end>", "loss": False},
     "user": {"open": "<user>", "close": "<end>", "loss": False},
     "assistant": {"open": "<assistant>", "close": "<end>", "loss": True},
-    "*": {"open": "<{role}>", "close": "<end>", "loss": False},
+    "*": {"open": "<:{role}>", "close": "<end>", "loss": False},
 }
 
 #: The machine: state -> roles that may come next; the state is the last turn's role.
@@ -63,7 +64,7 @@ def _mark(role: Column, template: dict, key: str) -> Column:
 def format_conversations(turns: DataFrame, template: dict = TEMPLATE, order: dict = TURN_ORDER, final: tuple = FINAL) -> DataFrame:
     """conv_id, n_turns, segments, formatted, valid and bad_turn (place of the first turn out of order, from 0).
 
-    Turns are formatted and their loss set row by row; only then does one shuffle bring a conversation together.
+    One shuffle brings a conversation's turns together; the machine's steps, the segments and their loss follow in place.
     """
     learnt = [k for k, v in template.items() if v["loss"] and k != "*"]
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
@@ -92,7 +93,10 @@ def read_back(formatted: Column, end: str = "<end>") -> Column:
     """The turns array<struct<role, text>> of a formatted text: no raw ``<`` or ``[`` stands in a text, so marks split it."""
     pieces = F.split(formatted, end)
     inner = F.slice(pieces, 1, F.size(pieces) - 1)
-    return F.transform(inner, lambda p: F.struct(unescape(F.replace(F.substring_index(F.substr(p, F.lit(2)), ">", 1), F.lit("\\g"), F.lit(">"))).alias("role"), unescape(F.substr(p, F.locate(">", p) + 1)).alias("text")))
+    mark = lambda p: F.substring_index(F.substr(p, F.lit(2)), ">", 1)
+    name = lambda m: F.when(F.startswith(m, F.lit(":")), F.substr(m, F.lit(2))).otherwise(m)
+    role = lambda p: unescape(F.replace(name(mark(p)), F.lit("\\g"), F.lit(">")))
+    return F.transform(inner, lambda p: F.struct(role(p).alias("role"), unescape(F.substr(p, F.locate(">", p) + 1)).alias("text")))
 
 
 #: A conversation made of control strings, which a template must keep apart from its own.
@@ -105,7 +109,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = turns.unionByName(added.select("conv_id", "x.turn", "x.role", F.lit(CONTROL_TEXT).alias("text")))
     done = format_conversations(turns)
     learnt = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    read = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), learnt.alias("learnt"), "valid")
+    read = done.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), learnt.alias("learnt"), "valid", "bad_turn")
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -114,6 +118,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("learnt").cast("long").alias("loss_chars"),
         F.sha2("learnt", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        F.col("bad_turn").cast("long").alias("bad_turn"),
     )
 
 
@@ -121,11 +127,16 @@ OP3_SQL = r"""
 WITH t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 e AS (SELECT *, length(text) + length(regexp_replace(text, '[^<\[\\]', '', 'g')) AS coded,
-             length(role) + length(regexp_replace(role, '[^<>\[\\]', '', 'g')) + 7 AS marks FROM t)
+             length(role) + length(regexp_replace(role, '[^<>\[\\]', '', 'g')) + 7 + CAST(role NOT IN ('system', 'user', 'assistant') AS INT) AS marks,
+             row_number() OVER w - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n, coalesce(lag(role) OVER w, '') || '>' || role AS step
+      FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+m AS (SELECT *, step NOT IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS bad FROM e)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(coded + marks) AS BIGINT) AS formatted_chars
-FROM e GROUP BY conv_id
+  CAST(sum(coded + marks) AS BIGINT) AS formatted_chars,
+  NOT bool_or(bad) AND bool_or(place = n - 1 AND role = 'assistant') AS valid,
+  CAST(min(place) FILTER (bad) AS BIGINT) AS bad_turn
+FROM m GROUP BY conv_id
 """

@@ -376,7 +376,7 @@ def test_plans_use_every_piece_and_are_near_the_bound():
 
 
 def test_chat_round_trip(spark):
-    turns = [(1, 0, "user", chat.CONTROL_TEXT), (1, 1, "assistant", "\\l<a>[b]\\\\e"), (2, 1, "assistant", None), (2, 0, None, "x"), (3, 5, "user", ""), (3, 5, "user", ""), (None, 0, "system", "s"), (4, 0, "odd<role>", "t"), (5, 0, "system", "s"), (5, 1, "user", "u"), (5, 2, "assistant", "a" * 50_000)]
+    turns = [(1, 0, "user", chat.CONTROL_TEXT), (1, 1, "assistant", "\\l<a>[b]\\\\e"), (2, 1, "assistant", None), (2, 0, None, "x"), (3, 5, "user", ""), (3, 5, "user", ""), (None, 0, "system", "s"), (4, 0, "odd<role>", "t"), (6, 0, "user", "u"), (6, 1, "end", "t"), (6, 2, ":user", "</s>"), (6, 3, ":", None), (6, 4, "assistant", "a"), (5, 0, "system", "s"), (5, 1, "user", "u"), (5, 2, "assistant", "a" * 50_000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("segments", F.lit("clash"))
     out = chat.format_conversations(df)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
@@ -384,7 +384,8 @@ def test_chat_round_trip(spark):
     for c in got:
         want = [(r or "", t or "") for k, _, r, t in sorted(turns, key=lambda x: (str(x[0]), x[1], x[2] or "", x[3] or "")) if k == c]
         assert [tuple(x) for x in got[c].back] == want
-    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, None: False, 4: False, 5: True}
+    assert {c: r.valid for c, r in got.items()} == {1: True, 2: False, 3: False, None: False, 4: False, 5: True, 6: False}
+    assert {c: r.bad_turn for c, r in got.items()} == {1: None, 2: 0, 3: 1, None: None, 4: 0, 5: None, 6: 1}
     assert [s.text for s in got[5].segments if s.loss] == ["a" * 50_000]
     assert "[INST]" not in got[1].formatted and "</s>" not in got[1].formatted
     assert chat.format_conversations(df.limit(0)).count() == 0
