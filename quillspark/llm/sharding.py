@@ -1,21 +1,27 @@
-"""Sharding by size-tiered compaction, with DataFrame operations and the store's own rename.
+"""Sharding by size-tiered compaction, with DataFrame operations and exclusive creation of small files.
 
 Arrivals are appended as small immutable shards, one write task to a shard. A manifest, itself a Parquet table, lists the
 live shards of a version. Compaction groups shards of similar size (one tier: sizes within a factor of FAN) until a group
-reaches the target size, rewrites each group as one file, and commits the next manifest by renaming a finished folder to
-its version's name, which only one writer can do. Readers see a whole version or the one before; shards of older versions
-go only after the commit. A failed attempt leaves files that no manifest names.
+reaches the target size, rewrites each group as one file, and commits the next version. A version is committed by creating
+its file, which names the manifest and the schema, where none exists: the store lets only one writer do that. A version
+file without content is one that is being written, and does not count yet. Shards of older versions stay readable until
+``vacuum`` is told how many versions to keep. A failed attempt leaves files that no version names.
 
 Defined cases: null and empty texts and null ids are rows like any other; rows that repeat are all kept; columns are
-stored as they are, whatever their names; an empty arrival adds no rows; an empty store has a version without shards.
+stored as they are, whatever their names; arrivals may bring new columns, which older rows have as null, but not another
+type for a known one; an empty arrival adds no rows; an empty store has version 0, without shards or columns.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.llm.common import docs_table, filesystem, shared_dir
 
@@ -23,6 +29,8 @@ from quillspark.llm.common import docs_table, filesystem, shared_dir
 TARGET_BYTES = 16 << 20
 ARRIVAL_ROWS = 2_000
 FAN = 4
+#: Shards that are numbered together when groups are planned, and groups that one round merges; the rest is for the next.
+PLAN_SHARDS, ROUND_GROUPS = 50_000, 10_000
 
 _MANIFEST = "shard string, bytes long, rows long, tier int"
 
@@ -31,40 +39,91 @@ class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
 
+def free_name(name: str, schema: StructType) -> str:
+    """name, with underscores until no column of the schema is called so."""
+    taken = {c.lower() for c in schema.names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class ShardStore:
     def __init__(self, spark: SparkSession, root: str, target_bytes: int = TARGET_BYTES):
         self.spark, self.root, self.target = spark, root.rstrip("/"), target_bytes
 
-    # manifests
+    # versions
+
+    def _path(self, version: int) -> str:
+        return f"{self.root}/versions/v{version:08d}"
+
+    def versions(self) -> list[int]:
+        """The committed versions, in order."""
+        fs, p = filesystem(self.spark, f"{self.root}/versions")
+        if not fs.exists(p):
+            return []
+        return sorted(int(f.getPath().getName()[1:]) for f in fs.listStatus(p) if f.getPath().getName().startswith("v") and f.getLen() > 0)
 
     def version(self) -> int:
         """The newest committed version; 0 before the first."""
-        fs, p = filesystem(self.spark, f"{self.root}/manifest")
-        if not fs.exists(p):
-            return 0
-        return max([int(f.getPath().getName()[1:]) for f in fs.listStatus(p) if f.getPath().getName().startswith("v")], default=0)
+        return max(self.versions(), default=0)
+
+    def _entry(self, version: int) -> dict:
+        """What the version's file says: its manifest and schema."""
+        fs, p = filesystem(self.spark, self._path(version))
+        stream = fs.open(p)
+        try:
+            return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
+        finally:
+            stream.close()
+
+    def schema(self, version: int | None = None) -> StructType:
+        version = self.version() if version is None else version
+        return StructType.fromJson(self._entry(version)["schema"]) if version else StructType([])
 
     def manifest(self, version: int | None = None) -> DataFrame:
         version = self.version() if version is None else version
         if not version:
             return self.spark.createDataFrame([], _MANIFEST)
-        return self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest/v{version:08d}")
-
-    def commit(self, manifest: DataFrame, version: int) -> None:
-        """Writes the manifest aside and renames it; the rename fails where the version exists."""
-        aside, final = f"{self.root}/staging/{uuid.uuid4().hex}", f"{self.root}/manifest/v{version:08d}"
-        manifest.select("shard", "bytes", "rows", "tier").coalesce(1).write.parquet(aside)
-        fs, source = filesystem(self.spark, aside)
-        _, target = filesystem(self.spark, final)
-        fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(source, target):
-            raise CommitConflict(final)
+        return self.spark.read.schema(_MANIFEST).parquet(self._entry(version)["manifest"])
+
+    def commit(self, manifest: DataFrame, version: int, schema: StructType | None = None) -> None:
+        """Writes the manifest, then creates the version's file; that fails where the version exists."""
+        folder = f"{self.root}/manifests/{uuid.uuid4().hex}"
+        manifest.select("shard", "bytes", "rows", "tier").write.parquet(folder)
+        entry = {"manifest": folder, "schema": (self.schema() if schema is None else schema).jsonValue()}
+        fs, p = filesystem(self.spark, self._path(version))
+        try:
+            stream = fs.create(p, False)
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                raise CommitConflict(self._path(version)) from e
+            raise
+        stream.write(json.dumps(entry).encode())
+        stream.close()
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes the shards that only versions before the last ``keep`` name, and those versions; returns how many shards went."""
+        versions = self.versions()
+        old, live = versions[:-keep], versions[-keep:]
+        if not old:
+            return 0
+        named = lambda some: self.spark.read.schema(_MANIFEST).parquet(*[self._entry(v)["manifest"] for v in some]).select("shard").distinct()
+        gone = [r["shard"] for r in named(old).join(named(live), "shard", "left_anti").toLocalIterator()]
+        for v in old:  # a version goes before its shards, so that none is read in part
+            fs, p = filesystem(self.spark, self._path(v))
+            fs.delete(p, False)
+        for shard in gone:
+            fs, p = filesystem(self.spark, shard)
+            fs.delete(p, False)
+        return len(gone)
 
     # shards
 
     def _listed(self, folder: str) -> DataFrame:
-        """The files that Spark wrote to folder, with their sizes and rows; only footers and one narrow column are read."""
-        files = self.spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("shard"), F.col("_metadata.file_size").alias("bytes"))
+        """The files that Spark wrote to folder, with their sizes and rows; only footers are read."""
+        data = self.spark.read.schema("_none int").parquet(folder)
+        meta = data.metadataColumn("_metadata")
+        files = data.select(meta.getField("file_path").alias("shard"), meta.getField("file_size").alias("bytes"))
         return self._tiered(files.groupBy("shard", "bytes").agg(F.count(F.lit(1)).alias("rows")))
 
     def _tiered(self, shards: DataFrame) -> DataFrame:
@@ -73,47 +132,62 @@ class ShardStore:
 
     def append(self, arrivals: DataFrame, rows: int = ARRIVAL_ROWS) -> int:
         """Adds arrivals as small shards, without a shuffle; returns the version that lists them."""
-        version = self.version()
+        version, schema = self.version(), self.schema()
+        known = {f.name: f.dataType for f in schema}
+        if other := [f.name for f in arrivals.schema if known.get(f.name, f.dataType) != f.dataType]:
+            raise ValueError(f"columns with another type than in the store: {other}")
+        schema = StructType(list(schema) + [f for f in arrivals.schema if f.name not in known])
         folder = f"{self.root}/data/a{version + 1:08d}-{uuid.uuid4().hex[:8]}"
         arrivals.write.option("compression", "zstd").option("maxRecordsPerFile", rows).parquet(folder)
-        self.commit(self.manifest(version).unionByName(self._listed(folder)), version + 1)
+        self.commit(self.manifest(version).unionByName(self._listed(folder)), version + 1, schema)
         return version + 1
 
     def plan(self, manifest: DataFrame) -> DataFrame:
-        """shard, group: shards of one tier in order of name, cut where the running size passes the target. Groups of one stay as they are."""
-        open_ = manifest.where(F.col("bytes") < self.target / 2)
-        run = Window.partitionBy("tier").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+        """shard, rows, group: shards of one tier in order of name, cut where the running size passes the target. Groups of one
+        stay as they are. Shards are numbered in parts of about PLAN_SHARDS; only the parts' totals meet in one task."""
+        parts = math.ceil(max(manifest.count(), 1) / PLAN_SHARDS)
+        open_ = manifest.where(F.col("bytes") < self.target / 2).withColumn("part", F.pmod(F.xxhash64("shard"), F.lit(parts)))
+        run = Window.partitionBy("tier", "part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
         cut = open_.withColumn("slot", F.floor(F.coalesce(F.sum("bytes").over(run), F.lit(0)) / F.lit(self.target)))
-        sized = cut.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier", "slot"))).where("n > 1")
-        return sized.select("shard", "rows", (F.dense_rank().over(Window.orderBy("tier", "slot")) - 1).cast("int").alias("group"))
+        sized = cut.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("tier", "part", "slot"))).where("n > 1")
+        place = F.dense_rank().over(Window.partitionBy("tier", "part").orderBy("slot"))
+        placed = sized.select("shard", "rows", "tier", "part", place.alias("place"))
+        before = Window.orderBy("tier", "part").rowsBetween(Window.unboundedPreceding, -1)
+        totals = placed.groupBy("tier", "part").agg(F.max("place").alias("last")).select("tier", "part", F.coalesce(F.sum("last").over(before), F.lit(0)).alias("first"))
+        return placed.join(totals, ["tier", "part"]).select("shard", "rows", (F.col("first") + F.col("place") - 1).cast("int").alias("group"))
 
     def compact(self) -> bool:
-        """One round: merges every group, commits, then deletes what was merged. False where there was nothing to merge."""
+        """One round: merges the groups, at most ROUND_GROUPS, and commits. False where there was nothing to merge."""
         version = self.version()
-        manifest = self.manifest(version)
-        plan = self.plan(manifest)
+        manifest, schema = self.manifest(version), self.schema(version)
+        plan = self.plan(manifest).where(F.col("group") < ROUND_GROUPS)
         total = plan.agg(F.max("group").alias("last"), F.sum("rows").alias("rows")).first()
         if total["last"] is None:
             return False
-        old = [r["shard"] for r in plan.select("shard").collect()]  # names of files only; one round merges what one driver can list
+        old = [r["shard"] for r in plan.select("shard").collect()]  # names of files, of ROUND_GROUPS groups at most
         folder = f"{self.root}/data/c{version + 1:08d}-{uuid.uuid4().hex[:8]}"
-        data = self.spark.read.parquet(*old)
-        keyed = data.withColumn("_shard", F.col("_metadata.file_path")).join(plan.select(F.col("shard").alias("_shard"), F.col("group").alias("_group")), "_shard")
-        keyed.repartitionById(total["last"] + 1, F.col("_group")).drop("_group", "_shard").write.option("compression", "zstd").parquet(folder)
+        shard, group = free_name("_shard", schema), free_name("_group", schema)
+        data = self.spark.read.schema(schema).parquet(*old)
+        keyed = data.select("*", data.metadataColumn("_metadata").getField("file_path").alias(shard)).join(plan.select(F.col("shard").alias(shard), F.col("group").alias(group)), shard)
+        keyed.repartitionById(total["last"] + 1, F.col(group)).drop(group, shard).write.option("compression", "zstd").parquet(folder)
         merged = self._listed(folder)
         if (n := merged.agg(F.sum("rows")).first()[0] or 0) != total["rows"]:
             raise RuntimeError(f"merged shards have {n} rows, their sources {total['rows']}")
         kept = manifest.join(plan.select("shard"), "shard", "left_anti")
-        self.commit(kept.select("shard", "bytes", "rows", "tier").unionByName(merged), version + 1)
-        for shard in old:
-            fs, p = filesystem(self.spark, shard)
-            fs.delete(p, False)
+        self.commit(kept.select("shard", "bytes", "rows", "tier").unionByName(merged), version + 1, schema)
         return True
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the shard each stands in (_shard)."""
-        names = [r["shard"] for r in self.manifest(version).select("shard").collect()]
-        return self.spark.read.parquet(*names).withColumn("_shard", F.col("_metadata.file_path"))
+    def read(self, version: int | None = None, shard: str | None = None) -> DataFrame:
+        """The rows of a version; shard names a column to add, with the shard that each row stands in."""
+        version = self.version() if version is None else version
+        schema, names = self.schema(version), [r["shard"] for r in self.manifest(version).select("shard").collect()]
+        if shard is not None and free_name(shard, schema) != shard:
+            raise ValueError(f"the store has a column {shard}")
+        if not names:
+            rows = self.spark.createDataFrame([], schema)
+            return rows if shard is None else rows.withColumn(shard, F.lit(None).cast("string"))
+        rows = self.spark.read.schema(schema).parquet(*names)
+        return rows if shard is None else rows.select("*", rows.metadataColumn("_metadata").getField("file_path").alias(shard))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +195,8 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = ShardStore(spark, f"{shared_dir(spark)}/quill-shards-{uuid.uuid4().hex[:12]}")
     store.append(docs_table(spark, sf_dir))
     while store.compact():
-        pass
-    rows = store.read().select("doc_id", "_shard").join(store.manifest().withColumnRenamed("shard", "_shard"), "_shard")
+        store.vacuum()
+    shard = free_name("_shard", store.schema())
+    rows = store.read(shard=shard).select("doc_id", F.col(shard).alias("_shard")).join(store.manifest().withColumnRenamed("shard", "_shard"), "_shard")
     name = F.element_at(F.split("_shard", "/"), -1)
     return rows.select("doc_id", name.alias("shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.lit(store.version()).cast("long").alias("version"))

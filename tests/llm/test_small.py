@@ -452,16 +452,58 @@ def test_every_suffix_keeps_its_statistics(spark):
 
 def test_shards(spark, docs, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=60_000)
-    for part in docs.randomSplit([1.0, 1.0, 1.0], 1):
+    odd = docs.withColumns({"_shard": F.lit("s"), "_group": F.lit(1), "_metadata": F.lit("m")})
+    for part in odd.randomSplit([1.0, 1.0, 1.0], 1):
         store.append(part, rows=3)
-    before = store.manifest().count()
-    first = plain(store.read().drop("_shard").collect())
+    before, count = store.version(), store.manifest().count()
+    first = plain(store.read().collect())
     while store.compact():
         pass
-    assert store.manifest().count() < before
-    assert plain(store.read().drop("_shard").collect()) == first == plain(docs.collect())
-    assert store.manifest().agg(F.sum("rows")).first()[0] == docs.count()
+    assert store.manifest().count() < count
+    assert plain(store.read().collect()) == plain(store.read(before).collect()) == first == plain(odd.collect())
+    assert store.manifest().agg(F.sum("rows")).first()[0] == docs.count() == store.read(shard="at").where("at IS NOT NULL").count()
     with pytest.raises(sharding.CommitConflict):
         store.commit(store.manifest(), store.version())
+    with pytest.raises(ValueError):
+        store.read(shard="_SHARD")
+    store.append(odd.withColumn("new", F.lit(2)).limit(4))
+    assert store.read().where("new = 2").count() == 4 and store.read().count() == docs.count() + 4
+    with pytest.raises(ValueError):
+        store.append(odd.withColumn("lang", F.lit(2)))
+    last = plain(store.read().collect())
+    assert store.vacuum(keep=1) > 0 and store.versions() == [store.version()] and plain(store.read().collect()) == last
+
+
+def test_shards_of_an_empty_table(spark, none, tmp_path):
     empty = sharding.ShardStore(spark, f"file://{tmp_path}/empty")
-    assert empty.version() == 0 and empty.manifest().count() == 0 and not empty.compact()
+    assert empty.version() == 0 and empty.manifest().count() == 0 and empty.read().count() == 0 and not empty.compact()
+    empty.append(none)
+    assert empty.read().columns == none.columns and empty.read().count() == 0 and not empty.compact()
+    none.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    assert sharding.op4_sharding(spark, f"file://{tmp_path}/sf").count() == 0
+
+
+def test_every_document_stands_in_the_shard_that_the_query_names(spark, docs, tmp_path):
+    docs.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    got = sharding.op4_sharding(spark, f"file://{tmp_path}/sf").collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in ROWS)
+    sizes = {(r.shard, r.shard_rows, r.shard_bytes, r.version) for r in got}
+    assert len(sizes) == len({s[0] for s in sizes}) and sum(s[1] for s in sizes) == len(ROWS)
+    assert all(sum(r.shard == s[0] for r in got) == s[1] for s in sizes)
+
+
+def test_one_of_many_writers_commits(spark, docs, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/race")
+    store.append(docs)
+
+    def attempt(_):
+        try:
+            store.commit(store.manifest(1), 2, store.schema(1))
+            return True
+        except sharding.CommitConflict:
+            return False
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sum(pool.map(attempt, range(4))) == 1
