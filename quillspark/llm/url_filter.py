@@ -1,13 +1,15 @@
 """URL filters: path rules, and for the rest gradient-boosted trees on lexical features.
 
-Labels come from a seed lexicon: a URL is labelled bad where its host holds one of SEED_WORDS. The trees never see words,
-only shape (lengths, depth, digits, hyphens, entropy, parameters, statistics of the host's suffix), so they carry the
-labels over to hosts that look alike. Suffixes are counted over all URLs. The trees are trained on the driver on a bounded
-sample (TRAIN_ROWS rows, least by hash of the URL), and judge every URL as one Spark expression of built-in functions.
+The trees are trained from labelled URLs: a table of url and bad (0 or 1), or, where none is given, the URLs of the pages
+that a path rule judges, with its verdict as the label; the trees then carry the rules' verdicts over to URLs that look
+alike. They see shape only (lengths, depth, digits, hyphens, entropy, parameters) and statistics of the host's suffix,
+which are counted over all URLs and all labels; a URL that the trees are trained on gets them without its own fold, as
+they would tell its label otherwise. The trees are trained on the driver on a bounded sample (TRAIN_ROWS rows, least by
+hash of the URL), and judge every URL as one Spark expression of built-in functions.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is judged by its shape alone; rows that
-repeat are judged alike; a sample with one class only gives a constant model; an empty table gives an empty result; other
-columns are ignored.
+repeat are judged alike; labels that are null, and labelled URLs without a host, do not count; a sample with one class
+only, or none, gives a constant model; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +31,12 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-SEED_WORDS = ("spam", "pills", "casino", "viagra", "porn", "xxx", "replica", "payday")
 #: At most so many labelled rows train the trees.
 TRAIN_ROWS = 20_000
+#: Parts of the labelled URLs; a suffix's rate is worked out for a part from the others.
+FOLDS = 5
+#: Suffixes up to this number are broadcast.
+SMALL_SUFFIXES = 50_000
 FEATURES = ("url_chars", "host_chars", "path_chars", "host_labels", "depth", "digit_ratio", "hyphens", "entropy", "n_params", "suffix_rate", "suffix_share")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -149,37 +154,54 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 20, depth: int = 3, rate:
 @dataclass
 class UrlModel:
     trees: Trees
-    #: suffix, n and bad: the URLs of every suffix of the pages that it was trained for, and those of them that are bad.
+    #: suffix, n (URLs), labelled and bad: of every suffix of the pages and labels that it was trained for.
     suffixes: DataFrame
+    n_suffixes: int
     total: int
     prior: float
 
     def with_features(self, parts: DataFrame) -> DataFrame:
         """parts with the features; suffixes that the model does not know get the prior and 0."""
-        return with_suffixes(parts.withColumns(shape_features()).withColumn("suffix", suffix_of(F.col("host"))), self.suffixes, self.total, self.prior)
-
-
-def with_suffixes(df: DataFrame, suffixes: DataFrame, total: int, prior: float) -> DataFrame:
-    """df with suffix_rate, the smoothed share of bad URLs of its suffix, and suffix_share, the suffix's share of all URLs."""
-    rate, share = (F.col("_bad") + 20 * prior) / (F.col("_n") + 20), F.col("_n") / total
-    known = suffixes.select("suffix", F.col("n").alias("_n"), F.col("bad").alias("_bad"))
-    both = df.join(known, "suffix", "left").withColumns({"suffix_rate": F.coalesce(rate, F.lit(prior)), "suffix_share": F.coalesce(share, F.lit(0.0))})
-    return both.drop("_n", "_bad", "suffix")
-
-
-def train(pages: DataFrame, rows: int = TRAIN_ROWS, seeds: tuple = SEED_WORDS) -> UrlModel:
-    """A model whose suffix statistics are those of all of pages, and its trees those of at most ``rows`` labelled URLs."""
-    parts = url_parts(pages).where("host <> ''")
-    bad = reduce(lambda a, b: a | b, [F.contains("host", F.lit(w)) for w in seeds]).cast("int").alias("bad")
-    suffix = suffix_of(F.col("host")).alias("suffix")
-    suffixes = written(parts.select(suffix, bad).groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad")), "suffixes")
-    total, n_bad = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    prior = n_bad / total if total else 0.0
-    sample = parts.select(F.xxhash64("url").alias("k"), bad, suffix, *[c.alias(n) for n, c in shape_features().items()]).orderBy("k").limit(rows)
-    got = with_suffixes(sample, suffixes, max(total, 1), prior).orderBy("k", *FEATURES).collect()
+        known = self.suffixes.select("suffix", F.col("n").alias("_n"), F.col("labelled").alias("_labelled"), F.col("bad").alias("_bad"))
+        both = parts.withColumns(shape_features()).withColumn("suffix", suffix_of(F.col("host")))
+        both = both.join(F.broadcast(known) if self.n_suffixes <= SMALL_SUFFIXES else known, "suffix", "left")
+        return both.withColumns(self.statistics()).drop("_n", "_labelled", "_bad", "suffix")
+
+    def statistics(self) -> dict[str, Column]:
+        """suffix_rate, the smoothed share of bad URLs among the suffix's labelled ones, and suffix_share of all URLs."""
+        rate = (F.col("_bad") + 20 * self.prior) / (F.col("_labelled") + 20)
+        return {"suffix_rate": F.coalesce(rate, F.lit(self.prior)), "suffix_share": F.coalesce(F.col("_n") / self.total, F.lit(0.0))}
+
+
+def ruled_labels(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """url and bad of the pages that a rule judges."""
+    judged = url_parts(pages).select("url", rule_column(rules).alias("_rule")).where("_rule IS NOT NULL")
+    return judged.select("url", (F.col("_rule.verdict") == "block").cast("int").alias("bad"))
+
+
+def train(pages: DataFrame, labelled: DataFrame | None = None, rows: int = TRAIN_ROWS) -> UrlModel:
+    """labelled: url, bad. A model whose suffix statistics are those of all pages and labels, its trees of at most ``rows`` labels."""
+    labelled = ruled_labels(pages) if labelled is None else labelled.where("bad IS NOT NULL")
+    suffix, fold = suffix_of(F.col("host")).alias("suffix"), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int").alias("fold")
+    parts = url_parts(labelled, "bad").where("host <> ''")
+    seen = url_parts(pages).where("host <> ''").select(suffix, F.lit(-1).alias("fold"), F.lit(1).alias("n"), F.lit(0).alias("labelled"), F.lit(0).alias("bad"))
+    told = parts.select(suffix, fold, F.lit(0).alias("n"), F.lit(1).alias("labelled"), F.col("bad").cast("int").alias("bad"))
+    sums = lambda *names: [F.sum(c).alias(c) for c in names]
+    folds = written(seen.unionByName(told).groupBy("suffix", "fold").agg(*sums("n", "labelled", "bad")), "suffixes")
+    suffixes = folds.groupBy("suffix").agg(*sums("n", "labelled", "bad"))
+    n_suffixes, total, n_labelled, n_bad = suffixes.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "labelled", "bad")]).first()
+    model = UrlModel(Trees(0.0), suffixes, n_suffixes, max(total, 1), n_bad / n_labelled if n_labelled else 0.0)
+    # a threshold on the hash lets through a few more than are wanted, so that no task brings more than its share
+    share = min(1.0, (1.1 * rows + 1000) / max(n_labelled, 1))
+    key = F.xxhash64("url", F.lit(1)).alias("k")
+    sample = parts.select(key, "bad", suffix, fold, *[c.alias(n) for n, c in shape_features().items()]).where(F.pmod("k", F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("k").limit(rows)
+    mine = folds.where("fold >= 0").select("suffix", "fold", F.col("labelled").alias("own"), F.col("bad").alias("own_bad"))
+    known = suffixes.join(mine, "suffix").select("suffix", "fold", F.col("n").alias("_n"), (F.col("labelled") - F.col("own")).alias("_labelled"), (F.col("bad") - F.col("own_bad")).alias("_bad"))
+    got = sample.join(known, ["suffix", "fold"], "left").withColumns(model.statistics()).orderBy("k", *FEATURES).collect()
     y = np.array([r["bad"] for r in got], float)
     x = np.array([[r[n] for n in FEATURES] for r in got], float).reshape(-1, len(FEATURES))
-    return UrlModel(boost(x, y), suffixes, max(total, 1), prior)
+    model.trees = boost(x, y)
+    return model
 
 
 def judge(pages: DataFrame, model: UrlModel, rules: tuple = RULES) -> DataFrame:
