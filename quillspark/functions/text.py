@@ -38,8 +38,18 @@ def first_truthy(*cols: Column) -> Column:
     return F.coalesce(*[F.when(strip(c) != "", c) for c in cols])
 
 
+#: What a line must be to be dropped, the marks that take no white space beside them, the limits of a large cleanup.
 _PAGE_NUMBER = r"^\s*[-—–]?\s*\d{1,4}\s*[-—–]?\s*$"
 _ORNAMENTS = ("|", "||", "_", "__", "·", "•")
+_CJK_MARKS = "，。；：、！？"
+_LARGE_CHARS, _LARGE_SHARE = 200, 0.5
+#: The names of notes.
+_NUMBER_NOTE, _ORNAMENT_NOTE, _LARGE_NOTE = "removed isolated page number", "removed ornamental noise", "large cleanup delta"
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value worked out once: a one-element array names it."""
+    return F.transform(F.array(value), then)[0]
 
 
 def _clean_lines(text: Column) -> Column:
@@ -47,23 +57,34 @@ def _clean_lines(text: Column) -> Column:
     return F.transform(F.split(unified, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t\x{3000}]+", " ")))
 
 
+def _cleaned(lines: Column) -> Column:
+    kept = F.filter(lines, lambda x: ~x.rlike(_PAGE_NUMBER) & ~x.isin(*_ORNAMENTS))
+    after = F.regexp_replace(F.array_join(kept, "\n"), f"([{_CJK_MARKS}]){WS}+", "$1")
+    return strip(F.regexp_replace(F.regexp_replace(after, f"{WS}+([{_CJK_MARKS}])", "$1"), r"\n{3,}", "\n\n"))
+
+
 def clean_ocr_text(text: Column) -> Column:
-    """Lines tidied, page numbers and ornaments dropped, no blanks after line ends before CJK marks, at most one empty line."""
-    kept = F.filter(_clean_lines(text), lambda x: ~x.rlike(_PAGE_NUMBER) & ~x.isin(*_ORNAMENTS))
-    joined = F.regexp_replace(F.array_join(kept, "\n"), r"[ \t\n]+([，。；：、！？])", "$1")
-    return strip(F.regexp_replace(joined, r"\n{3,}", "\n\n"))
-
-
-def cleaning_notes(text: Column, cleaned: Column) -> Column:
-    """What clean_ocr_text did, sorted and distinct."""
-    lines = _clean_lines(text)
-    before, after = F.length(or_empty(text)), F.length(cleaned)
-    notes = F.array(
-        F.when(F.exists(lines, lambda x: x.rlike(_PAGE_NUMBER)), "removed isolated page number"),
-        F.when(F.exists(lines, lambda x: x.isin(*_ORNAMENTS)), "removed ornamental noise"),
-        F.when((before > 200) & (after < before * 0.5), "large cleanup delta"),
-    )
-    return F.array_sort(F.array_distinct(F.filter(notes, lambda n: n.isNotNull())))
+    """Lines tidied, page numbers and ornaments dropped, no white space beside CJK marks, at most one empty line."""
+    return let(_clean_lines(text), _cleaned)
+
+
+def cleaned_with_notes(text: Column) -> Column:
+    """struct<cleaned, notes>: clean_ocr_text, and what it did, sorted and distinct. The lines are worked out once."""
+    before = F.length(or_empty(text))
+
+    def noted(lines: Column, cleaned: Column) -> Column:
+        notes = F.array(
+            F.when((before > _LARGE_CHARS) & (F.length(cleaned) < before * _LARGE_SHARE), _LARGE_NOTE),
+            F.when(F.exists(lines, lambda x: x.rlike(_PAGE_NUMBER)), _NUMBER_NOTE),
+            F.when(F.exists(lines, lambda x: x.isin(*_ORNAMENTS)), _ORNAMENT_NOTE),
+        )
+        return F.struct(cleaned.alias("cleaned"), F.array_compact(notes).alias("notes"))
+
+    return let(_clean_lines(text), lambda lines: let(_cleaned(lines), lambda cleaned: noted(lines, cleaned)))
+
+
+def cleaning_notes(text: Column) -> Column:
+    return cleaned_with_notes(text)["notes"]
 
 
 def count_of(c: Column, char_class: str) -> Column:
@@ -114,11 +135,16 @@ def paragraphs(text: Column, at: str = r"\n\s*\n+") -> Column:
     return F.filter(F.transform(F.split(or_empty(text), at), strip), lambda x: x != "")
 
 
+#: Fixed value: the number that opens a letter's heading.
+_LETTER_HEADING = r"^第\d+封\s"
+
+
 def usable_paragraphs(text: Column, title: Column, greeting_chars: int = 18, drop: tuple[str, ...] = ()) -> Column:
-    """Paragraphs without the title (or what begins with it) and short greetings that end in a colon. An empty title drops all."""
+    """Paragraphs, squashed, without the title (or what begins with it), headings of letters, and short greetings that end in
+    a colon. An empty title drops all."""
     greeting = lambda p: (F.length(p) <= greeting_chars) & p.rlike("[：:]$")
-    keep = lambda p: ~F.startswith(p, title) & ~greeting(p) & (~p.isin(*drop) if drop else F.lit(True))
-    return F.filter(paragraphs(text, r"\n+"), keep)
+    keep = lambda p: ~F.startswith(p, title) & ~p.rlike(_LETTER_HEADING) & ~greeting(p) & (~p.isin(*drop) if drop else F.lit(True))
+    return F.filter(F.transform(paragraphs(text, r"\n+"), squash), keep)
 
 
 def sentences(text: Column, ends: str = "。！？；.!?", least: int = 1) -> Column:
@@ -147,23 +173,44 @@ def block_of(parts: Column, whole: Column, low: int = 80, high: int = 320, enoug
     return F.when((n >= low) & (n <= high), whole).when(F.length(joined) >= low, joined).otherwise(F.substring(whole, 1, prefix))
 
 
-def claims(text: Column, hard: str = r"[。！？；;：:.\n\r]+", soft: str = r"[，,、（）()\[\]【】]+", longest: int = 42, stop: tuple[str, ...] = ()) -> Column:
-    """Hard splits; parts over the limit are split softly too; punctuation at the ends goes, so do empty and stop values."""
-    parts = F.flatten(F.transform(F.split(or_empty(text), hard), lambda p: F.when(F.length(p) <= longest, F.array(p)).otherwise(F.split(p, soft))))
-    tidy = F.transform(parts, lambda p: F.regexp_replace(strip(p), r"^[\s\p{P}]+|[\s\p{P}]+$", ""))
-    return F.filter(tidy, lambda p: (p != "") & (~F.lower(p).isin(*stop) if stop else F.lit(True)))
+#: What splits claims, what is trimmed from their ends, claims that say nothing, road codes, numbers.
+CLAIM_HARD, CLAIM_SOFT, CLAIM_ENDS = r"[。！？；;：:\n\r]+", r"[，,、（）()\[\]【】]+", " ，,。；;：:"
+CLAIM_STOP = ("null", "none", "书中未明示", "未明示", "无", "不详")
+ROAD_CODES, NUMBERS = r"(?iU)\b(?:G|S|X)\s*\d{2,4}\b|\b\d{3}\b", r"(?U)\d+(?:\.\d+)?"
+#: The characters that a match key leaves out.
+KEY_PUNCTUATION = r"""[`~!@#$%^&*_+=|\\/<>{}\[\]（）()【】《》“”"'‘’：:；;，,。.!！?？、-]"""
+
+
+def plain_key(c: Column) -> Column:
+    """What texts are compared by: lower case, without white space and punctuation. udf.match_key folds compatibility forms before."""
+    return F.regexp_replace(without_space(F.lower(c)), KEY_PUNCTUATION, "")
+
+
+def claims(text: Column, hard: str = CLAIM_HARD, soft: str = CLAIM_SOFT, longest: int = 42, stop: tuple[str, ...] = CLAIM_STOP) -> Column:
+    """Hard splits; parts over the limit are split softly too; separators at the ends go, so do empty and stop values."""
+    whole = F.filter(F.transform(F.split(or_empty(text), hard), strip), lambda p: p != "")
+    pieces = lambda p: let(F.filter(F.transform(F.split(p, soft), strip), lambda x: x != ""), lambda xs: F.when(F.size(xs) > 0, xs).otherwise(F.array(p)))
+    parts = F.flatten(F.transform(whole, lambda p: F.when(F.length(p) <= longest, F.array(p)).otherwise(pieces(p))))
+    tidy = F.transform(parts, lambda p: F.regexp_replace(p, f"^[{CLAIM_ENDS}]+|[{CLAIM_ENDS}]+$", ""))
+    return F.filter(tidy, lambda p: (p != "") & ~plain_key(p).isin(*stop))
+
 
+def anchors(text: Column, names: tuple[str, ...], keywords: tuple[str, ...] = (), codes: str = ROAD_CODES, plain: tuple[str, ...] = ("1", "2", "3")) -> Column:
+    """Names and keywords that the text holds by plain_key, road codes in capitals without blanks, numbers but the commonest.
 
-def anchors(text: Column, names: tuple[str, ...], codes: str = r"\b(?:G|S|X)\d{2,4}\b", plain: tuple[str, ...] = ("1", "2", "3")) -> Column:
-    """Names that the text holds, then road codes, then numbers but the commonest; distinct by lower case, first wins."""
+    Anchors of one key are one, the first; those without a key are none.
+    """
     t = or_empty(text)
+    listed = F.array(*[F.lit(n) for n in (*names, *keywords)]).cast("array<string>")
+    held = let(plain_key(t), lambda key: F.filter(listed, lambda n: F.contains(key, plain_key(n))))
     found = F.concat(
-        F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(F.lower(t), F.lower(n))),
-        F.regexp_extract_all(t, F.lit(codes), F.lit(0)),
-        F.filter(F.regexp_extract_all(t, F.lit(r"\d+"), F.lit(0)), lambda n: ~n.isin(*plain)),
+        held,
+        F.transform(F.regexp_extract_all(t, F.lit(codes), F.lit(0)), lambda c: F.replace(F.upper(c), F.lit(" "), F.lit(""))),
+        F.filter(F.regexp_extract_all(t, F.lit(NUMBERS), F.lit(0)), lambda n: ~n.isin(*plain)),
     )
-    seen = F.aggregate(found, F.array().cast("array<string>"), lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
-    return seen
+    keyed = F.transform(found, lambda x: F.struct(plain_key(x).alias("key"), x.alias("x")))
+    first = lambda ks: F.filter(ks, lambda p, i: (p["key"] != "") & (F.array_position(F.transform(ks, lambda q: q["key"]), p["key"]) == i + 1))
+    return F.transform(let(keyed, first), lambda p: p["x"])
 
 
 def page_numbers(text: Column) -> Column:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from quillspark.functions.text import plain_key
+
 
 @F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
@@ -17,32 +20,36 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
 
-_PUNCTUATION = r"""[,.;:!?'"()\[\]|，。；：！？、（）【】《》“”‘’—…·-]"""
-
-
 def match_key(text: Column) -> Column:
     """What quotes and pages are compared by: compatibility form, lower case, without white space and punctuation."""
-    folded = F.lower(nfkc(F.coalesce(text, F.lit(""))))
-    return F.regexp_replace(F.regexp_replace(folded, r"[\s\x{3000}]+", ""), _PUNCTUATION, "")
+    return plain_key(nfkc(F.coalesce(text, F.lit(""))))
+
+
+#: The widths of windows as shares of the quote's length, how many steps a quote's length is, and the length
+#: up to which a quote is compared with the whole text instead.
+WIDTHS, STEPS, WHOLE = (0.75, 0.9, 1.0, 1.1, 1.35), 5, 3
+
+
+def windows_of(text: str, n: int) -> Iterator[str]:
+    """The stretches of a text that a quote of n characters is compared with."""
+    if n <= WHOLE:
+        yield text
+        return
+    for width in sorted({int(n * share) for share in WIDTHS}):
+        yield from (text[at : at + width] for at in range(0, max(len(text) - width, 0) + 1, max(1, n // STEPS)))
 
 
-def window_ratio(needle: str, hay: str) -> float:
-    """The best similarity of needle with windows of hay of about its length."""
-    if not needle or not hay:
+def window_ratio(quote: str, text: str) -> float:
+    """The best similarity of the quote with a window. The ratio is not symmetric: the quote is the first sequence."""
+    if not quote or not text:
         return 0.0
-    if needle in hay:
+    if quote in text:
         return 1.0
-    n = len(needle)
-    if n <= 3:
-        return difflib.SequenceMatcher(None, needle, hay).ratio()
-    best, step = 0.0, max(1, n // 5)
-    matcher = difflib.SequenceMatcher(None, autojunk=True)
-    matcher.set_seq2(needle)
-    for width in sorted({n, int(n * 0.75), int(n * 0.9), int(n * 1.1), int(n * 1.35)}):
-        for at in range(0, max(1, len(hay) - width + 1), step):
-            matcher.set_seq1(hay[at : at + width])
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-                best = max(best, matcher.ratio())
+    best, matcher = 0.0, difflib.SequenceMatcher(None, quote, "")
+    for window in windows_of(text, len(quote)):
+        matcher.set_seq2(window)
+        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:  # upper bounds
+            best = max(best, matcher.ratio())
     return best
 
 

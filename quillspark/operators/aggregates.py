@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.windows import first_rows, numbered_rows
+
 
 def most_common(df: DataFrame, key: str, order: str) -> DataFrame:
     """key, n, first_seen and place: most frequent first, ties by first occurrence."""
@@ -31,10 +33,12 @@ def result_pivot(tasks: DataFrame, group: str, result: str, groups: tuple[str, .
 
 
 def inverted_index(df: DataFrame, labels: str, key: str, order: str, refs: int = 5) -> DataFrame:
-    """label, n, the first keys in order, and a place by (most, label)."""
-    pairs = df.select(F.explode(labels).alias("label"), F.struct(F.col(order).alias("o"), F.col(key).alias("k")).alias("ref"))
-    found = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("ref")), 1, refs).alias("refs"))
-    return found.select("label", "n", F.transform("refs", lambda r: r["k"]).alias("refs"), F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long").alias("place"))
+    """label, n, the first keys in order, and a place by (most, label). Only ``refs`` keys of a label ever stand together."""
+    pairs = df.select(F.explode(F.array_distinct(labels)).alias("label"), F.col(order).alias("o"), F.col(key).alias("k"))
+    counts = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    first = first_rows(pairs, ["label"], ["o", "k"], refs, "o").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("o", "k"))).alias("refs"))
+    found = counts.join(first, "label").select("label", "n", F.transform("refs", lambda r: r["k"]).alias("refs"))
+    return numbered_rows(found, "place", [F.desc("n"), "label"], [-F.col("n"), F.substring("label", 1, 2)])
 
 
 def first_seen_index(df: DataFrame, key: str, order: str, first: list[str], collect: str) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import anchors as text_anchors
+from quillspark.functions.text import plain_key
+from quillspark.functions.udf import best_window_ratio, match_key, nfkc
+
 
 def evidence_text(refs: DataFrame, pages: DataFrame, segment: str, page: str, text: str) -> DataFrame:
     """segment, evidence: the texts of all cited pages, in order of page."""
@@ -12,16 +16,43 @@ def evidence_text(refs: DataFrame, pages: DataFrame, segment: str, page: str, te
     return joined.groupBy(segment).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, text))), lambda x: x[text]), " ").alias("evidence"))
 
 
-def anchor_support(claim: Column, anchors: Column, evidence: Column, short: int = 12) -> Column:
-    """direct, anchors or none, by containment alone; a claim without anchors that is not contained stays none."""
-    found = F.size(F.filter(anchors, lambda a: F.contains(F.lower(evidence), F.lower(a))))
-    n = F.size(anchors)
-    return (
-        F.when(F.contains(F.lower(evidence), F.lower(claim)), "direct")
-        .when((n == 1) & (found == 1) & (F.length(claim) <= short), "anchors")
-        .when((n > 1) & (found >= F.ceil(n / 2)), "anchors")
-        .otherwise("none")
+#: The lengths of claims that one anchor, or none, is enough for, and the similarities that longer ones need.
+SHORT_ANCHORED, SHORT_BARE, NEAR_ANCHORED, NEAR_BARE = 12, 10, 0.42, 0.45
+
+
+def claims_by_anchors(claims: DataFrame, evidence: DataFrame, segment: str, anchors: Column, key) -> DataFrame:
+    """Adds support, anchors and the keys of claim and evidence to claims (segment, claim).
+
+    empty: nothing to carry; direct: the evidence holds the claim; anchor, anchors: its one anchor, or half of them, and it
+    is short, or has several; short: a short claim without anchors; none; similar?: similarity decides.
+    """
+    keyed = claims.withColumns({"anchors": anchors, "claim_key": key(F.col("claim"))})
+    joined = keyed.join(evidence.select(segment, key(F.col("evidence")).alias("evidence_key")), segment, "left").withColumn("evidence_key", F.coalesce("evidence_key", F.lit("")))
+    n, found = F.size("anchors"), F.size(F.filter("anchors", lambda a: F.contains(F.col("evidence_key"), plain_key(a))))
+    size = F.length("claim_key")
+    support = (
+        F.when(size == 0, "empty")
+        .when(F.contains(F.col("evidence_key"), F.col("claim_key")), "direct")
+        .when(n == 1, F.when(found == 0, "none").when(size <= SHORT_ANCHORED, "anchor").otherwise("similar?"))
+        .when(n > 1, F.when(found >= F.floor((n + 1) / 2), "anchors").otherwise("none"))
+        .when(size <= SHORT_BARE, "short")
+        .otherwise("similar?")
     )
+    return joined.withColumn("support", support)
+
+
+def audited_claims(claims: DataFrame, evidence: DataFrame, segment: str, names: tuple[str, ...] = (), keywords: tuple[str, ...] = ()) -> DataFrame:
+    """segment, claim, support: claims_by_anchors by match_key, and what it leaves open by similarity (similar or none).
+
+    Only claims that are left open reach the similarity function.
+    """
+    folded = claims.withColumn("_folded", nfkc(F.col("claim")))
+    judged = claims_by_anchors(folded, evidence, segment, text_anchors(F.col("_folded"), names, keywords), match_key)
+    columns = [segment, "claim", "support"]
+    open_ = judged.where("support = 'similar?'").withColumn("score", best_window_ratio("claim_key", "evidence_key"))
+    enough = F.when(F.size("anchors") == 1, F.lit(NEAR_ANCHORED)).otherwise(F.lit(NEAR_BARE))
+    open_ = open_.withColumn("support", F.when(F.col("score") >= enough, "similar").otherwise("none"))
+    return judged.where("support <> 'similar?'").select(*columns).unionByName(open_.select(*columns))
 
 
 def partition_refs(refs: Column, is_chapter) -> tuple[Column, Column]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import xml_escape
+from quillspark.functions.text import numbered, xml_escape
+from quillspark.operators.windows import NUMBERED_TOGETHER, numbered_rows
 
 EARTH_KM = 6371.0088
 
@@ -77,11 +78,11 @@ def gpx_track(points: Column, gap: Column) -> Column:
 
 
 def walkable_blocks(segments: DataFrame, key: str, order: str, gap: str, walked: Column, noted: Column, review: Column) -> DataFrame:
-    """A block for each segment that may be connected, numbered in order; review beats partial beats continuous."""
+    """A block for each segment that may be connected, numbered in order, a number; review beats partial beats continuous."""
     kept = segments.where(~F.coalesce(F.col(gap), F.lit(False)))
     status = F.when(review, "needs_review").when(~walked | noted, "partial").otherwise("continuous")
-    n = F.row_number().over(Window.orderBy(order))
-    return kept.select(F.concat(F.lit("walk-block-"), F.lpad(n.cast("string"), 5, "0")).alias("block_id"), key, status.alias("status"))
+    placed = numbered_rows(kept.select(key, order, status.alias("status")), "_n", [order], [F.floor(F.col(order) / NUMBERED_TOGETHER)])
+    return placed.select(numbered("walk-block-", F.col("_n"), 3).alias("block_id"), key, "status")
 
 
 def risk_score(blocked: Column, mixed: Column, unchecked: Column, approximate: Column, notes: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.udf import best_window_ratio
+from quillspark.functions.udf import best_window_ratio, match_key
 
 #: A dimension is broadcast only when its size estimate is under this; else Spark chooses a shuffle join.
 BROADCAST_BYTES = 8 << 20
@@ -72,11 +72,14 @@ def containment(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str,
 def quote_status(refs: DataFrame, pages: DataFrame, page: str = "page", quote: str = "quote", key: Column | None = None, text: str = "text", short: int = 30, near_short: float = 0.78, near: float = 0.72) -> DataFrame:
     """Adds status and score to references: the page is looked up, then the quote in it, exactly and at last by similarity.
 
-    Only references that exact containment leaves over reach the similarity function: they are filtered before it.
+    Only cited pages are normalised, and only references that exact containment leaves over reach the similarity function
+    with their texts; the others pass it as nulls.
     """
-    norm = key if key is not None else (lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", "")))
+    norm = key if key is not None else match_key
     number = F.col(page).try_cast("long")
-    joined = refs.withColumns({"_page": number, "_quote": norm(F.col(quote))}).join(pages.select(F.col("page").alias("_page"), norm(F.col(text)).alias("_text"), F.lit(True).alias("_there")), "_page", "left")
+    keyed = refs.withColumn("_page", number)
+    cited = pages.withColumnRenamed("page", "_page").join(keyed.select("_page").distinct(), "_page", "left_semi")
+    joined = keyed.withColumn("_quote", norm(F.col(quote))).join(cited.select("_page", norm(F.col(text)).alias("_text"), F.lit(True).alias("_there")), "_page", "left")
     exact = (
         F.when(F.col(page).isNull() | F.col(quote).isNull(), "missing_ref_field")
         .when(F.col("_page").isNull(), "invalid_page")
@@ -84,9 +87,9 @@ def quote_status(refs: DataFrame, pages: DataFrame, page: str = "page", quote: s
         .when(F.col("_quote") == "", "empty_quote")
         .when(F.contains("_text", F.col("_quote")), "found")
     )
-    staged = joined.withColumn("status", exact)
-    done = staged.where("status IS NOT NULL").withColumn("score", F.when(F.col("status") == "found", 1.0).otherwise(0.0))
-    rest = staged.where("status IS NULL").withColumn("score", best_window_ratio("_quote", "_text"))
+    left = F.col("_exact").isNull()
+    staged = joined.withColumn("_exact", exact).withColumn("_score", best_window_ratio(F.when(left, F.col("_quote")), F.when(left, F.col("_text"))))
     enough = F.when(F.length("_quote") < short, F.lit(near_short)).otherwise(F.lit(near))
-    rest = rest.withColumn("status", F.when(F.col("score") >= enough, "approximate").otherwise("citation_mismatch"))
-    return done.unionByName(rest).drop("_page", "_quote", "_text", "_there")
+    status = F.coalesce("_exact", F.when(F.col("_score") >= enough, "approximate").otherwise("citation_mismatch"))
+    score = F.when(left, F.col("_score")).when(F.col("_exact") == "found", 1.0).otherwise(0.0)
+    return staged.withColumns({"status": status, "score": score}).drop("_page", "_quote", "_text", "_there", "_exact", "_score")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import has_marker
+from quillspark.functions.text import has_marker, numbered
 
 
 def priority(core: Column, first: Column, linked: Column) -> Column:
@@ -23,7 +23,7 @@ def _text(c: str) -> Column:
 def judged_decisions(decisions: DataFrame, tasks: DataFrame, key: str, order: str, results: tuple[str, ...], need_notes: tuple[str, ...] = (), markers: tuple[str, ...] = (), overwrite: bool = False, markers_first: bool = False) -> DataFrame:
     """Adds problem (the first rule broken, else null) and usable to each decision row.
 
-    A row without result is no decision: neither usable nor a problem. A repeated key is a problem even where its first row
+    A row without result and notes is no decision: neither usable nor a problem; notes without a result are a problem. A repeated key is a problem even where its first row
     was one. tasks: key and current, the result that stands. markers_first turns the order of the last two rules.
     """
     known = tasks.select(F.col(key), F.col("current").alias("_current"), F.lit(True).alias("_known"))
@@ -37,6 +37,7 @@ def judged_decisions(decisions: DataFrame, tasks: DataFrame, key: str, order: st
         ("blank id", F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == ""),
         ("duplicate id", F.col("_turn") > 1),
         ("unknown id", F.col("_known").isNull()),
+        ("result missing", (result == "") & (notes != "")),
         (None, result == ""),
         ("invalid result", ~result.isin(*results)),
         ("notes missing", result.isin(*need_notes) & (notes == "") if need_notes else F.lit(False)),
@@ -61,7 +62,7 @@ def apply_decisions(tasks: DataFrame, judged: DataFrame, key: str, dry_run: bool
 def resolve_task(tasks: DataFrame, wanted: DataFrame, key: str, group: str, order: str) -> DataFrame:
     """wanted.ref -> key: the exact id, else without regard to case, else an alias like P0-001, the n-th of its group."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    names = tasks.select(key, F.concat(F.col(group), F.lit("-"), F.lpad(n.cast("string"), 3, "0")).alias("_alias"))
+    names = tasks.select(key, F.concat(F.col(group), numbered("-", n, 3)).alias("_alias"))
     ways = names.select(F.col(key).alias("_ref"), key, F.lit(0).alias("_rank")).unionByName(names.select(F.lower(F.col(key)).alias("_ref"), key, F.lit(1).alias("_rank"))).unionByName(names.select(F.col("_alias").alias("_ref"), key, F.lit(2).alias("_rank")))
     asked = wanted.select("ref", F.explode(F.array(F.col("ref"), F.lower("ref"))).alias("_ref")).distinct()
     return asked.join(ways, "_ref").groupBy("ref").agg(F.min_by(key, "_rank").alias(key))

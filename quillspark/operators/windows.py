@@ -6,6 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Values of a whole-number key that numbered_rows numbers together.
+NUMBERED_TOGETHER = 1 << 17
+
+
+def numbered_rows(df: DataFrame, name: str, order: list, buckets: list[Column]) -> DataFrame:
+    """df with the place of each row, from 1, in a total order.
+
+    buckets: what the order begins with, coarse enough to be few and fine enough that a bucket fits a task. Rows are
+    numbered within buckets; only the buckets' sizes, one row each, meet in one task.
+    """
+    keyed = df.withColumn("_bucket", F.struct(*buckets))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_size")).select("_bucket", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
+    return keyed.withColumn("_place", place).join(sizes, "_bucket").withColumn(name, (F.col("_before") + F.col("_place")).cast("long")).select(*df.columns, name)
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list, most: int, salt, salts: int = 32) -> DataFrame:
+    """The first ``most`` rows of each key. A hot key is cut down in ``salts`` parts first, by the hash of salt."""
+    def cut(rows: DataFrame, *part) -> DataFrame:
+        return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("_place") <= most).drop("_place")
+
+    return cut(cut(df.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts))), *keys, "_salt").drop("_salt"), *keys)
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key. An aggregate of structs, so duplicates shrink before the shuffle."""
     row = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in df.columns if c not in order])
@@ -81,15 +106,15 @@ def chunk_sliced(parts: Column, budget: int, gap: int = 2) -> Column:
     return F.aggregate(parts, start, add, flushed)
 
 
-def runs_with_start(df: DataFrame, order: str, score: str, strong: int, weak: int) -> DataFrame:
+def runs_with_start(df: DataFrame, order: str, score: str, strong: int, weak: int, part: list[str]) -> DataFrame:
     """Rows of weak score or better that stand in an unbroken run of such rows at or after a strong one; adds hit.
 
-    A run is a stretch of consecutive values of the integer column ``order``.
+    A run is a stretch of consecutive values of the integer column ``order`` within the columns ``part``.
     """
     weak_rows = df.where(F.col(score) >= weak)
-    island = F.col(order) - F.row_number().over(Window.orderBy(order))
+    island = F.col(order) - F.row_number().over(Window.partitionBy(*part).orderBy(order))
     placed = weak_rows.withColumn("_island", island)
-    so_far = F.max((F.col(score) >= strong).cast("int")).over(Window.partitionBy("_island").orderBy(order))
+    so_far = F.max((F.col(score) >= strong).cast("int")).over(Window.partitionBy(*part, "_island").orderBy(order))
     return placed.withColumn("hit", so_far == 1).where("hit").drop("_island")
 
 

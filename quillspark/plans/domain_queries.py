@@ -13,6 +13,7 @@ from quillspark.operators import review as R
 from quillspark.operators import windows as W
 from quillspark.plans.registry import query, table
 from quillspark.plans.relational_queries import _TASKS, tasks
+from quillspark.plans.text_queries import CLAIMS_SQL, anchors_sql, key_sql, numbered_sql
 
 #: Segments of the benchmark tables: an order is a segment, its lines are the points in order.
 SEG = """pt AS (SELECT l_orderkey AS id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS ord, 'P' || l_partkey AS name, CASE WHEN l_suppkey % 29 <> 0 THEN CAST((l_partkey * 7) % 120 - 60 AS DOUBLE) END AS lat,
@@ -37,7 +38,7 @@ def segments(spark, d):
 @query("w6_chain_distance", f"""WITH {SEG}, st AS (SELECT id, ps, n, unnest(range(1, n)) AS i FROM s WHERE n >= 2 AND len(list_filter(ps, lambda p: p.lat IS NULL)) = 0)
   SELECT id, CAST(floor(round(sum(2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(ps[i + 1].lat) - radians(ps[i].lat)) / 2), 2) + cos(radians(ps[i].lat)) * cos(radians(ps[i + 1].lat)) * pow(sin((radians(ps[i + 1].lng) - radians(ps[i].lng)) / 2), 2))))), 2)) AS BIGINT) AS km FROM st GROUP BY id""")
 def w6(spark, d):
-    return segments(spark, d).select("id", F.floor(G.path_km(F.col("ps"))).cast("long").alias("km")).where("km IS NOT NULL")
+    return segments(spark, d).select("id", F.explode(F.array(G.path_km(F.col("ps")))).alias("km")).where("km IS NOT NULL").select("id", F.floor("km").cast("long").alias("km"))
 
 
 @query("f5_coordinate_state", f"WITH {SEG} SELECT id, CASE WHEN len(list_filter(ps, lambda p: p.confidence = 'missing')) > 0 THEN 'missing' WHEN len(list_filter(ps, lambda p: p.confidence = 'approximate')) > 0 THEN 'approximate' ELSE 'verified' END AS state FROM s")
@@ -87,7 +88,7 @@ def g5(spark, d):
     return segments(spark, d).select("id", G.gpx_track(F.col("ps"), F.col("gap")).alias("track")).where("track IS NOT NULL")
 
 
-@query("g6_walkable_blocks", f"WITH {SEG} SELECT 'walk-block-' || lpad(CAST(row_number() OVER (ORDER BY id) AS VARCHAR), 5, '0') AS block_id, id, CASE WHEN prio = '5-LOW' THEN 'needs_review' WHEN status <> 'F' OR n > 5 THEN 'partial' ELSE 'continuous' END AS status FROM s WHERE NOT gap")
+@query("g6_walkable_blocks", f"WITH {SEG} SELECT {numbered_sql('walk-block-', 'row_number() OVER (ORDER BY id)', 3)} AS block_id, id, CASE WHEN prio = '5-LOW' THEN 'needs_review' WHEN status <> 'F' OR n > 5 THEN 'partial' ELSE 'continuous' END AS status FROM s WHERE NOT gap")
 def g6(spark, d):
     return G.walkable_blocks(segments(spark, d), "id", "id", "gap", F.col("status") == "F", F.col("n") > 5, F.col("prio") == "5-LOW")
 
@@ -123,7 +124,7 @@ def g13(spark, d):
 #: Decisions on labels: repeated, unknown, blank, invalid, marked and standing ones among them.
 _DEC = """dec AS (SELECT doc_id AS task_id, doc_id AS ord, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'odd' WHEN 2 THEN 'fail' ELSE 'pass' END AS result, CASE WHEN doc_id % 4 = 0 THEN 'see draft' WHEN doc_id % 4 = 1 THEN 'forbidden' ELSE '' END AS notes FROM documents WHERE doc_id % 3 <> 0
     UNION ALL SELECT doc_id, doc_id + 1000000, 'pass', '' FROM documents WHERE doc_id % 50 = 1), tk AS (SELECT doc_id AS task_id, CASE WHEN toxic = 1 THEN 'pass' ELSE '' END AS current FROM labels)"""
-_JUDGED = f"""{_DEC}, jd AS (SELECT dec.task_id, dec.ord, result, notes, CASE WHEN row_number() OVER (PARTITION BY dec.task_id ORDER BY dec.ord) > 1 THEN 'duplicate id' WHEN tk.task_id IS NULL THEN 'unknown id' WHEN result = '' THEN NULL WHEN result NOT IN ('pass', 'fail') THEN 'invalid result'
+_JUDGED = f"""{_DEC}, jd AS (SELECT dec.task_id, dec.ord, result, notes, CASE WHEN row_number() OVER (PARTITION BY dec.task_id ORDER BY dec.ord) > 1 THEN 'duplicate id' WHEN tk.task_id IS NULL THEN 'unknown id' WHEN result = '' AND notes <> '' THEN 'result missing' WHEN result = '' THEN NULL WHEN result NOT IN ('pass', 'fail') THEN 'invalid result'
     WHEN result = 'fail' AND notes = '' THEN 'notes missing' WHEN current <> '' THEN 'already decided' WHEN contains(notes, 'forbidden') THEN 'forbidden marker' END AS problem FROM dec LEFT JOIN tk ON dec.task_id = tk.task_id)"""
 
 
@@ -173,8 +174,8 @@ _REFS = """refs AS (SELECT doc_id AS ref_id, CASE WHEN doc_id % 7 = 0 THEN 'x' W
   CASE WHEN doc_id % 7 = 3 THEN ' ' ELSE substr(text, 10, 40) END AS quote FROM documents)"""
 
 
-@query("g1_citation_audit", f"""WITH {_REFS} SELECT ref_id, CASE WHEN page IS NULL THEN 'missing_ref_field' WHEN try_cast(page AS BIGINT) IS NULL THEN 'invalid_page' WHEN d.doc_id IS NULL THEN 'missing_page' WHEN trim(quote) = '' THEN 'empty_quote'
-  WHEN contains(lower(regexp_replace(text, '\\s+', '', 'g')), lower(regexp_replace(quote, '\\s+', '', 'g'))) THEN 'found' END AS status FROM refs LEFT JOIN documents d ON try_cast(page AS BIGINT) = d.doc_id""")
+@query("g1_citation_audit", f"""WITH {_REFS} SELECT ref_id, CASE WHEN page IS NULL THEN 'missing_ref_field' WHEN try_cast(page AS BIGINT) IS NULL THEN 'invalid_page' WHEN d.doc_id IS NULL THEN 'missing_page' WHEN {key_sql('quote')} = '' THEN 'empty_quote'
+  WHEN contains({key_sql('text')}, {key_sql('quote')}) THEN 'found' END AS status FROM refs LEFT JOIN documents d ON try_cast(page AS BIGINT) = d.doc_id""")
 def g1(spark, d):
     k = F.col("doc_id")
     docs = table(spark, d, "documents").select("doc_id", "text")
@@ -192,13 +193,25 @@ def j8(spark, d):
     return J.quote_status(refs, docs.withColumnRenamed("doc_id", "page")).select("ref_id", "status", F.round("score", 4).alias("score"))
 
 
-@query("g2_claim_audit", """WITH p AS (SELECT doc_id, lower(text) AS ev, substr(text, 1, 30) AS claim, [string_split(text, ' ')[1], string_split(text, ' ')[2], 'zzz'] AS anchors FROM documents),
-  f AS (SELECT *, len(list_filter(anchors, lambda a: contains(ev, lower(a)))) AS k FROM p) SELECT doc_id, CASE WHEN contains(ev, lower(CASE WHEN doc_id % 2 = 0 THEN claim ELSE claim || '!' END)) THEN 'direct' WHEN k >= 2 THEN 'anchors' ELSE 'none' END AS support FROM f""")
+_PLACES = ("casa", "maison", "haus", "house", "road")
+#: A conversation is a segment whose turns are audited; it cites the documents of its id and the next one.
+_AUDIT_SQL = f"""WITH ev AS (SELECT c.conv_id, string_agg(d.text, ' ' ORDER BY d.doc_id) AS evidence FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN documents d ON d.doc_id IN (c.conv_id, c.conv_id + 1) GROUP BY 1),
+  c0 AS (SELECT conv_id AS doc_id, text FROM conversations), CLAIMS,
+  u AS (SELECT DISTINCT doc_id AS conv_id, t FROM claim), {anchors_sql('u', 't', _PLACES)},
+  n AS (SELECT conv_id, t, {key_sql('t')} AS ck, {key_sql("coalesce(evidence, '')")} AS ek, anchors FROM f JOIN ev USING (conv_id)),
+  g AS (SELECT *, len(anchors) AS n, len(list_filter(anchors, lambda a: contains(ek, {key_sql('a')}))) AS hits FROM n)
+  SELECT conv_id, t AS claim, CASE WHEN ck = '' THEN 'empty' WHEN contains(ek, ck) THEN 'direct' WHEN n = 1 AND hits = 0 THEN 'none' WHEN n = 1 AND length(ck) <= 12 THEN 'anchor'
+    WHEN n = 1 THEN 'similar?' WHEN n > 1 AND hits >= (n + 1) // 2 THEN 'anchors' WHEN n > 1 THEN 'none' WHEN length(ck) <= 10 THEN 'short' ELSE 'similar?' END AS support FROM g"""
+
+
+@query("g2_claim_audit", _AUDIT_SQL.replace("CLAIMS", CLAIMS_SQL.replace("FROM documents", "FROM c0")))
 def g2(spark, d):
-    words = F.split("text", " ")
-    anchors = F.filter(F.array(F.try_element_at(words, F.lit(1)), F.try_element_at(words, F.lit(2)), F.lit("zzz")), lambda a: F.lit(True))
-    claim = F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 30)).otherwise(F.concat(F.substring("text", 1, 30), F.lit("!")))
-    return table(spark, d, "documents").select("doc_id", E.anchor_support(claim, anchors, F.col("text")).alias("support"))
+    """What containment and anchors decide; "similar?" is what claim_support goes on to compare (tests do that on small rows)."""
+    turns, docs = table(spark, d, "conversations").select("conv_id", "text"), table(spark, d, "documents").select(F.col("doc_id").alias("page"), "text")
+    refs = turns.select("conv_id").distinct().select("conv_id", F.explode(F.array(F.col("conv_id"), F.col("conv_id") + 1)).alias("page"))
+    evidence = E.evidence_text(refs, docs, "conv_id", "page", "text")
+    claims = turns.select("conv_id", F.explode(T.claims(F.col("text"))).alias("claim")).distinct()
+    return E.claims_by_anchors(claims, evidence, "conv_id", T.anchors(F.col("claim"), _PLACES), T.plain_key).select("conv_id", "claim", "support")
 
 
 @query("u8_upsert_refs", "SELECT o_orderkey, concat_ws(',', o_orderpriority, CASE WHEN lower(o_orderstatus) <> lower(o_orderpriority) THEN o_orderstatus END) AS refs FROM orders")
@@ -233,20 +246,18 @@ def g15(spark, d):
     return table(spark, d, "customer").where("c_acctbal > 0").groupBy("c_nationkey").agg(F.array_join(listed, "|").alias("names"), F.min("c_custkey").alias("first_order"))
 
 
-@query("g30_strengthen_place", "SELECT n_nationkey, CASE WHEN s.n > 0 THEN 'public' ELSE 'pending' END AS source, s.n > 0 OR n_nationkey % 2 = 0 AS is_key FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON n_nationkey = s_nationkey WHERE s.n > 0 OR TRUE")
+@query("g30_strengthen_place", "SELECT n_nationkey, CASE WHEN s.n > 0 THEN 'public' ELSE 'pending' END AS source, coalesce(s.n > 0, FALSE) OR n_nationkey % 2 = 0 AS is_key FROM nation LEFT JOIN (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON n_nationkey = s_nationkey WHERE s.n > 0 OR TRUE")
 def g30(spark, d):
     rich = table(spark, d, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
     j = table(spark, d, "nation").join(rich, "n_nationkey", "left")
-    there = F.col("n") > 0
-    return j.select("n_nationkey", F.when(there, "public").otherwise("pending").alias("source"), F.when(there.isNull() & (F.col("n_nationkey") % 2 != 0), F.lit(None).cast("boolean")).otherwise(F.coalesce(there, F.lit(False)) | (F.col("n_nationkey") % 2 == 0)).alias("is_key"))
+    there = F.coalesce(F.col("n") > 0, F.lit(False))
+    return j.select("n_nationkey", F.when(there, "public").otherwise("pending").alias("source"), (there | (F.col("n_nationkey") % 2 == 0)).alias("is_key"))
 
 
-@query("g25_cards", "SELECT 'letter-' || lpad(CAST(row_number() OVER (ORDER BY doc_id) AS VARCHAR), 4, '0') AS letter_id, doc_id, array_to_string(list_slice(string_split(substr(text, 1, 60), ' '), 1, 3), '、') AS hint FROM documents WHERE source = 'src2'")
+@query("g25_cards", f"SELECT {numbered_sql('letter-', 'row_number() OVER (ORDER BY doc_id)', 4)} AS letter_id, doc_id, array_to_string(list_slice(string_split(text, ' '), 1, 3), '、') AS hint FROM documents")
 def g25(spark, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.orderBy("doc_id"))
-    return table(spark, d, "documents").where("source = 'src2'").select(F.concat(F.lit("letter-"), F.lpad(n.cast("string"), 4, "0")).alias("letter_id"), "doc_id", F.array_join(F.slice(F.split(F.substring("text", 1, 60), " "), 1, 3), "、").alias("hint"))
+    cards = table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " ", 4), 1, 3), "、").alias("hint"))
+    return W.numbered_rows(cards, "_n", ["doc_id"], [F.floor(F.col("doc_id") / W.NUMBERED_TOGETHER)]).select(T.numbered("letter-", F.col("_n"), 4).alias("letter_id"), "doc_id", "hint")
 
 
 @query("g7_checklist", f"""WITH {SEG} SELECT 'gap' AS family, id FROM s WHERE gap UNION ALL SELECT 'unspecified', id FROM s WHERE prio = '4-NOT SPECIFIED' UNION ALL SELECT 'approximate', id FROM s, (SELECT unnest(ps) AS p, id AS pid FROM s) WHERE pid = id AND p.confidence = 'approximate'""")

@@ -10,6 +10,7 @@ from quillspark.operators import aggregates as A
 from quillspark.operators import joins as J
 from quillspark.operators import windows as W
 from quillspark.plans.registry import query, table
+from quillspark.plans.text_queries import numbered_sql
 
 
 def t(name):
@@ -41,11 +42,16 @@ def f7(spark, d):
     return table(spark, d, "documents").where(F.col("doc_id").between(6, 30)).select("doc_id")
 
 
-@query("f12_toc_runs", """WITH s AS (SELECT doc_id, (doc_id * 7) % 11 AS score FROM documents WHERE doc_id < 600), w AS (SELECT *, doc_id - row_number() OVER (ORDER BY doc_id) AS isl FROM s WHERE score >= 5),
-  m AS (SELECT *, max(CASE WHEN score >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY isl ORDER BY doc_id) AS hit FROM w) SELECT doc_id FROM m WHERE hit = 1""")
+@query("f12_toc_runs", """WITH s AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, CASE WHEN regexp_matches(text, '^The') THEN 5 ELSE 0 END + least(len(regexp_extract_all(text, '\\n')), 5) + least(len(regexp_extract_all(text, '\\d+')), 4) AS score FROM documents),
+  w AS (SELECT *, page - row_number() OVER (PARTITION BY source ORDER BY page) AS isl FROM s WHERE page <= 60 AND score >= 5),
+  m AS (SELECT *, max(CASE WHEN score >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY source, isl ORDER BY page) AS hit FROM w) SELECT source, doc_id FROM m WHERE hit = 1""")
 def f12(spark, d):
-    s = table(spark, d, "documents").where("doc_id < 600").select("doc_id", (F.col("doc_id") * 7 % 11).alias("score"))
-    return W.runs_with_start(s, "doc_id", "score", 8, 5).select("doc_id")
+    """The survey's rule looks at the first 60 pages of a book; a source's documents are its pages here."""
+    docs = table(spark, d, "documents")
+    first = W.first_rows(docs.select("source", "doc_id"), ["source"], ["doc_id"], 60, "doc_id")
+    score = T.toc_score(F.col("text"), "^The", (("\n", 5), (r"\d+", 4)))
+    pages = first.withColumn("page", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).join(docs.select("doc_id", score.alias("score")), "doc_id")
+    return W.runs_with_start(pages, "page", "score", 8, 5, ["source"]).select("source", "doc_id")
 
 
 # joins
@@ -192,18 +198,18 @@ def a8(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("book_id")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(n == 0).alias("empty"), F.count_if((n > 0) & (n < 80)).alias("short"), F.floor(F.avg(n)).cast("long").alias("mean_chars"), short.alias("short_pages"))
 
 
-_WORDS4 = "list_distinct(string_split(substr(text, 1, 60), ' '))"
+_WORDS4 = "list_distinct(string_split(text, ' '))"
 
 
 @query("a9_distinct_exploded", f"SELECT lang, count(DISTINCT w) AS words FROM (SELECT lang, unnest({_WORDS4}) AS w FROM documents) GROUP BY lang")
 def a9(spark, d):
-    return table(spark, d, "documents").select("lang", F.explode(F.split(F.substring("text", 1, 60), " ")).alias("w")).groupBy("lang").agg(F.countDistinct("w").alias("words"))
+    return table(spark, d, "documents").select("lang", F.explode(F.split("text", " ")).alias("w")).groupBy("lang").agg(F.countDistinct("w").alias("words"))
 
 
 @query("a10_inverted_index", f"""WITH p AS (SELECT unnest({_WORDS4}) AS label, doc_id FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS i FROM p),
   g AS (SELECT label, count(*) AS n, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (i <= 5) AS refs FROM r GROUP BY label) SELECT label, n, refs, row_number() OVER (ORDER BY n DESC, label) AS place FROM g""")
 def a10(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.array_distinct(F.split(F.substring("text", 1, 60), " ")).alias("labels"))
+    words = table(spark, d, "documents").select("doc_id", F.split("text", " ").alias("labels"))
     return A.inverted_index(words, "labels", "doc_id", "doc_id").withColumn("refs", F.array_join(F.transform("refs", lambda x: x.cast("string")), ","))
 
 
@@ -309,16 +315,17 @@ def w8(spark, d):
     return W.duplicates_in_order(table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha")), ["sha"], ["doc_id"]).select("doc_id")
 
 
-@query("w14_sample_rows", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents WHERE source = 'src1') WHERE i IN (0, 6, 12, 18, 24)")
+@query("w14_sample_rows", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM documents) WHERE i IN (0, 6, 12, 18, 24)")
 def w14(spark, d):
-    i = F.row_number().over(Window.orderBy("doc_id")) - 1
-    return table(spark, d, "documents").where("source = 'src1'").select("doc_id", i.alias("i")).where(F.col("i").isin(0, 6, 12, 18, 24)).select("doc_id")
+    first = W.first_rows(table(spark, d, "documents").select("source", "doc_id"), ["source"], ["doc_id"], 25, "doc_id")
+    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return first.select("source", "doc_id", i.alias("i")).where(F.col("i").isin(0, 6, 12, 18, 24)).select("source", "doc_id")
 
 
-@query("w15_nth_alias", f"WITH {_TASKS} SELECT priority || '-' || lpad(CAST(row_number() OVER (PARTITION BY priority ORDER BY doc_id) AS VARCHAR), 3, '0') AS alias, doc_id FROM tasks WHERE priority = 'P0'")
+@query("w15_nth_alias", f"WITH {_TASKS}, n AS (SELECT *, row_number() OVER (PARTITION BY priority ORDER BY doc_id) AS i FROM tasks) SELECT priority || {numbered_sql('-', 'i', 3)} AS alias, doc_id FROM n")
 def w15(spark, d):
     n = F.row_number().over(Window.partitionBy("priority").orderBy("doc_id"))
-    return tasks(spark, d).where("priority = 'P0'").select(F.concat("priority", F.lit("-"), F.lpad(n.cast("string"), 3, "0")).alias("alias"), "doc_id")
+    return tasks(spark, d).select(F.concat("priority", T.numbered("-", n, 3)).alias("alias"), "doc_id")
 
 
 @query("w16_out_of_order", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, expected FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS expected FROM lineitem) WHERE l_linenumber <> expected")
@@ -353,7 +360,8 @@ def w9(spark, d):
 @query("o2_custom_rank", "SELECT doc_id, row_number() OVER (ORDER BY CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN 1 ELSE 2 END, source, doc_id) AS place FROM documents")
 def o2(spark, d):
     rank = F.when(F.col("lang") == "fr", 0).when(F.col("lang") == "de", 1).otherwise(2)
-    return table(spark, d, "documents").select("doc_id", F.row_number().over(Window.orderBy(rank, "source", "doc_id")).cast("long").alias("place"))
+    ranked = table(spark, d, "documents").select("doc_id", "source", rank.alias("rank"))
+    return W.numbered_rows(ranked, "place", ["rank", "source", "doc_id"], [F.col("rank"), F.col("source"), F.floor(F.col("doc_id") / W.NUMBERED_TOGETHER)]).select("doc_id", "place")
 
 
 @query("o3_first_element_sort", "SELECT doc_id, coalesce(try_cast(string_split(text, ' ')[1] AS BIGINT), 999) AS first FROM documents")
@@ -399,18 +407,18 @@ def u6(spark, d):
     return table(spark, d, "conversations").groupBy("conv_id").agg(listed.alias("x")).select("conv_id", (F.col("x") == F.sequence(F.lit(0).cast("long"), F.size("x").cast("long") - 1)).alias("covered"))
 
 
-@query("u9_difference_keeps_repeats", "SELECT doc_id, array_to_string(list_filter(string_split(substr(text, 1, 80), ' '), lambda w: w NOT IN ('the', 'of', 'de')), ' ') AS rest FROM documents")
+@query("u9_difference_keeps_repeats", "SELECT doc_id, array_to_string(list_filter(string_split(text, ' '), lambda w: w NOT IN ('the', 'of', 'de')), ' ') AS rest FROM documents")
 def u9(spark, d):
     drop = F.array(*[F.lit(w) for w in ("the", "of", "de")])
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(F.split(F.substring("text", 1, 80), " "), lambda w: ~F.array_contains(drop, w)), " ").alias("rest"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.filter(F.split("text", " "), lambda w: ~F.array_contains(drop, w)), " ").alias("rest"))
 
 
 # arrays and JSON
 
 
-@query("n1_posexplode", "SELECT conv_id, turn::BIGINT AS turn, i - 1 AS i, ws[i] AS w FROM (SELECT conv_id, turn, string_split(substr(text, 1, 40), ' ') AS ws, unnest(range(1, len(string_split(substr(text, 1, 40), ' ')) + 1)) AS i FROM conversations)")
+@query("n1_posexplode", "SELECT conv_id, turn::BIGINT AS turn, i - 1 AS i, ws[i] AS w FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM conversations)")
 def n1(spark, d):
-    return table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.posexplode(F.split(F.substring("text", 1, 40), " ")).alias("i", "w")).withColumn("i", F.col("i").cast("long"))
+    return table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), F.posexplode(F.split("text", " ")).alias("i", "w")).withColumn("i", F.col("i").cast("long"))
 
 
 @query("n4_json_blob_scan", "SELECT event_id, contains(props, '\"k\": 6') AS hit FROM events")
@@ -418,9 +426,9 @@ def n4(spark, d):
     return table(spark, d, "events").select("event_id", F.contains("props", F.lit('"k": 6')).alias("hit"))
 
 
-@query("n7_stable_merge", "SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS merged FROM (SELECT doc_id, string_split(substr(text, 1, 30), ' ') AS a, string_split(substr(text, 20, 40), ' ') AS b FROM documents)")
+@query("n7_stable_merge", "SELECT doc_id, array_to_string(list_concat(a, list_filter(b, lambda x: NOT list_contains(a, x))), ' ') AS merged FROM (SELECT doc_id, ['the', source, 'de'] AS a, string_split(text, ' ') AS b FROM documents)")
 def n7(spark, d):
-    s = table(spark, d, "documents").select("doc_id", F.split(F.substring("text", 1, 30), " ").alias("a"), F.split(F.substring("text", 20, 40), " ").alias("b"))
+    s = table(spark, d, "documents").select("doc_id", F.array(F.lit("the"), F.col("source"), F.lit("de")).alias("a"), F.split("text", " ").alias("b"))
     return s.select("doc_id", F.array_join(F.concat("a", F.filter("b", lambda x: ~F.array_contains(F.col("a"), x))), " ").alias("merged"))
 
 

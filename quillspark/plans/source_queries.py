@@ -17,10 +17,10 @@ def s11(spark, d):
     return H.html_blocks(table(spark, d, "pages"), "page_id", "html")
 
 
-@query("s11_html_headings", r"SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(html, '(?s)<(head|nav|aside|script|style)[ >].*?</(head|nav|aside|script|style)>', '', 'g'), '<h[1-6][^>]*>[^<]*\S[^<]*</h[1-6]>')) AS BIGINT) AS headings FROM pages WHERE regexp_matches(html, '<h1>[^<]+</h1>')")
+@query("s11_html_headings", r"SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(html, '(?s)<(head|nav|aside|script|style)[ >].*?</(head|nav|aside|script|style)>', '', 'g'), '<h[1-6][^>]*>[^<]*\S[^<]*</h[1-6]>')) AS BIGINT) AS headings FROM pages WHERE headings > 0")
 def s11h(spark, d):
-    b = H.html_blocks(table(spark, d, "pages").where(F.col("html").rlike("<h1>[^<]+</h1>")), "page_id", "html")
-    return b.groupBy("page_id").agg(F.count_if(F.col("kind") == "heading").alias("headings"))
+    b = H.html_blocks(table(spark, d, "pages"), "page_id", "html")
+    return b.groupBy("page_id").agg(F.count_if(F.col("kind") == "heading").alias("headings")).where("headings > 0")
 
 
 @query("s5_pages_normalised", "SELECT doc_id AS page, text, CAST(length(text) AS BIGINT) AS char_count FROM documents")

@@ -26,17 +26,30 @@ def count_sql(x: str, cls: str) -> str:
 _LINES = f"""list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)),
   lambda x: {strip_sql("regexp_replace(x, '[ \\t\\x{3000}]+', ' ', 'g')")})"""
 _NUM, _ORN = r"regexp_matches(x, '^\s*[-—–]?\s*\d{1,4}\s*[-—–]?\s*$')", "x IN ('|', '||', '_', '__', '·', '•')"
+_KEPT = f"array_to_string(list_filter(lines, lambda x: NOT {_NUM} AND NOT {_ORN}), chr(10))"
+_MARKS = "，。；：、！？"
+_JOINED = f"regexp_replace(regexp_replace({_KEPT}, '([{_MARKS}]){WS}+', '\\1', 'g'), '{WS}+([{_MARKS}])', '\\1', 'g')"
 CLEAN_SQL = f"""
 WITH l AS (SELECT doc_id, source, text, {_LINES} AS lines FROM documents),
-c AS (SELECT *, {strip_sql("regexp_replace(regexp_replace(array_to_string(list_filter(lines, lambda x: NOT " + _NUM + " AND NOT " + _ORN + "), chr(10)), '[ \\t\\n]+([，。；：、！？])', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS cleaned FROM l)
+c AS (SELECT *, {strip_sql("regexp_replace(" + _JOINED + ", '\\n{3,}', chr(10) || chr(10), 'g')")} AS cleaned FROM l)
 """
 
 
+def numbered_sql(prefix: str, n: str, width: int) -> str:
+    """The number with zeros up to the width, and whole where it is longer."""
+    return f"'{prefix}' || CASE WHEN length(CAST({n} AS VARCHAR)) >= {width} THEN CAST({n} AS VARCHAR) ELSE lpad(CAST({n} AS VARCHAR), {width}, '0') END"
+
+
+def key_sql(x: str) -> str:
+    cls = T.KEY_PUNCTUATION.replace("'", "''")
+    return f"regexp_replace(regexp_replace(lower({x}), '{WS}+', '', 'g'), '{cls}', '', 'g')"
+
+
 @query("t1_clean_text", CLEAN_SQL + f"""SELECT doc_id, cleaned, concat_ws('|', CASE WHEN length(text) > 200 AND length(cleaned) < length(text) * 0.5 THEN 'large cleanup delta' END,
   CASE WHEN len(list_filter(lines, lambda x: {_NUM})) > 0 THEN 'removed isolated page number' END, CASE WHEN len(list_filter(lines, lambda x: {_ORN})) > 0 THEN 'removed ornamental noise' END) AS notes FROM c""")
 def t1(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text").withColumn("cleaned", T.clean_ocr_text(F.col("text")))
-    return docs.select("doc_id", "cleaned", F.array_join(T.cleaning_notes(F.col("text"), F.col("cleaned")), "|").alias("notes"))
+    done = table(spark, d, "documents").select("doc_id", F.inline(F.array(T.cleaned_with_notes(F.col("text")))))
+    return done.select("doc_id", "cleaned", F.array_join("notes", "|").alias("notes"))
 
 
 @query("t2_suspect_text", f"""SELECT doc_id, length({strip_sql("text")}) < 80 OR {count_sql("text", "[�□■◆◇]")} > 5
@@ -51,7 +64,7 @@ def t3(spark, d):
     return table(spark, d, "documents").select("doc_id", T.needs_review(F.col("text")).alias("review"))
 
 
-@query("t4_normalize_key", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(lower(text), '[\s\x{3000}]+', '', 'g'), '[,.;:!?''"()\[\]|，。；：！？、（）【】《》“”‘’—…·-]', '', 'g')) AS key_sha FROM documents""")
+@query("t4_normalize_key", f"SELECT doc_id, sha256({key_sql('text')}) AS key_sha FROM documents")
 def t4(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(udf.match_key(F.col("text")), 256).alias("key_sha"))
 
@@ -101,8 +114,8 @@ def t11(spark, d):
 _PARAS = f"list_filter(list_transform(regexp_split_to_array(text, '\\n+'), lambda x: {strip_sql('x')}), lambda x: x <> '')"
 
 
-@query("t12_usable_paragraphs", f"""WITH p AS (SELECT doc_id, {_PARAS} AS ps, substr(text, 1, 12) AS title FROM documents)
-  SELECT doc_id, CAST(len(list_filter(ps, lambda x: NOT starts_with(x, title) AND NOT (length(x) <= 18 AND regexp_matches(x, '[：:]$')))) AS BIGINT) AS usable FROM p""")
+@query("t12_usable_paragraphs", f"""WITH p AS (SELECT doc_id, list_transform({_PARAS}, lambda x: {squash_sql('x')}) AS ps, substr(text, 1, 12) AS title FROM documents)
+  SELECT doc_id, CAST(len(list_filter(ps, lambda x: NOT starts_with(x, title) AND NOT regexp_matches(x, '^第\\d+封\\s') AND NOT (length(x) <= 18 AND regexp_matches(x, '[：:]$')))) AS BIGINT) AS usable FROM p""")
 def t12(spark, d):
     kept = T.usable_paragraphs(F.col("text"), F.substring("text", 1, 12))
     return table(spark, d, "documents").select("doc_id", F.size(kept).cast("long").alias("usable"))
@@ -114,11 +127,11 @@ def t13(spark, d):
     return parts.select("doc_id", F.size("s").cast("long").alias("n"), F.array_join("s", "¶").alias("parts"))
 
 
-@query("t14_clip_piece", """WITH p AS (SELECT doc_id, substr(text, 1, 400) AS t FROM documents),
+@query("t14_clip_piece", """WITH p AS (SELECT doc_id, text AS t FROM documents),
   m AS (SELECT doc_id, t, list_filter(list_transform([';', ',', '.'], lambda k: CASE WHEN strpos(substr(t, 49), k) > 0 THEN strpos(substr(t, 49), k) + 48 ELSE 0 END), lambda x: x > 48 AND x <= 151) AS cuts FROM p)
   SELECT doc_id, CASE WHEN len(cuts) > 0 THEN substr(t, 1, cuts[1]) WHEN length(t) >= 80 THEN substr(t, 1, 120) END AS clipped FROM m""")
 def t14(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clip(F.substring("text", 1, 400), ";,.").alias("clipped"))
+    return table(spark, d, "documents").select("doc_id", T.clip(F.col("text"), ";,.").alias("clipped"))
 
 
 @query("t15_block_from_paragraph", f"""WITH RECURSIVE p AS (SELECT doc_id, {_PARAS}[1] AS whole FROM documents),
@@ -134,9 +147,15 @@ def t15(spark, d):
     return first.select("doc_id", T.block_of(T.sentences(F.col("whole"), "."), F.col("whole")).alias("block"))
 
 
-@query("t16_split_claims", r"""WITH h AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[。！？；;：:.\n\r]+')) AS p FROM documents),
-  s AS (SELECT doc_id, unnest(CASE WHEN length(p) <= 42 THEN [p] ELSE regexp_split_to_array(p, '[，,、（）()\[\]【】]+') END) AS c FROM h)
-  SELECT doc_id, count(*) AS n_claims, CAST(sum(length(t)) AS BIGINT) AS chars FROM (SELECT doc_id, regexp_replace(regexp_replace(c, '^\s+|\s+$', '', 'g'), '^[\s\p{P}]+|[\s\p{P}]+$', '', 'g') AS t FROM s) WHERE t <> '' GROUP BY doc_id""")
+_STOP = ", ".join(f"'{x}'" for x in T.CLAIM_STOP)
+CLAIMS_SQL = f"""h AS (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '{T.CLAIM_HARD}'), lambda x: {strip_sql('x')}), lambda x: x <> '')) AS p FROM documents),
+  q AS (SELECT doc_id, p, list_filter(list_transform(regexp_split_to_array(p, '{T.CLAIM_SOFT}'), lambda x: {strip_sql('x')}), lambda x: x <> '') AS xs FROM h),
+  s AS (SELECT doc_id, unnest(CASE WHEN length(p) <= 42 OR len(xs) = 0 THEN [p] ELSE xs END) AS c FROM q),
+  t AS (SELECT doc_id, regexp_replace(c, '^[{T.CLAIM_ENDS}]+|[{T.CLAIM_ENDS}]+$', '', 'g') AS t FROM s),
+  claim AS (SELECT doc_id, t FROM t WHERE t <> '' AND {key_sql('t')} NOT IN ({_STOP}))"""
+
+
+@query("t16_split_claims", f"WITH {CLAIMS_SQL} SELECT doc_id, count(*) AS n_claims, CAST(sum(length(t)) AS BIGINT) AS chars FROM claim GROUP BY doc_id")
 def t16(spark, d):
     found = table(spark, d, "documents").select("doc_id", F.explode(T.claims(F.col("text"))).alias("t"))
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_claims"), F.sum(F.length("t")).cast("long").alias("chars"))
@@ -145,11 +164,16 @@ def t16(spark, d):
 _NAMES = ("tion", "ment", "lich", "aire", "ous")
 
 
-@query("t17_extract_anchors", f"""WITH a AS (SELECT doc_id, list_concat(list_filter([{", ".join(f"'{n}'" for n in _NAMES)}], lambda n: contains(lower(text), n)),
-    list_concat(regexp_extract_all(text, '\\b(?:G|S|X)\\d{{2,4}}\\b'), list_filter(regexp_extract_all(text, '\\d+'), lambda n: n NOT IN ('1', '2', '3')))) AS xs FROM documents),
-  u AS (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM a),
-  f AS (SELECT doc_id, arg_min(x, i) AS x, min(i) AS i FROM u GROUP BY doc_id, lower(x))
-  SELECT doc_id, string_agg(x, '|' ORDER BY i) AS anchors FROM f GROUP BY doc_id""")
+def anchors_sql(source: str, text: str, names: tuple) -> str:
+    """Rows (every column of source, x, i): the anchors of text, each key's first."""
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""a AS (SELECT *, list_concat(list_filter([{listed}], lambda n: contains({key_sql(text)}, n)),
+    list_concat(list_transform(regexp_extract_all({text}, '(?i)\\b(?:G|S|X)\\s*\\d{{2,4}}\\b|\\b\\d{{3}}\\b'), lambda c: replace(upper(c), ' ', '')), list_filter(regexp_extract_all({text}, '\\d+(?:\\.\\d+)?'), lambda n: n NOT IN ('1', '2', '3')))) AS xs FROM {source}),
+  k AS (SELECT *, list_transform(xs, lambda x: {key_sql('x')}) AS keys FROM a),
+  f AS (SELECT *, list_filter(xs, lambda x, i: keys[i] <> '' AND list_position(keys, keys[i]) = i) AS anchors FROM k)"""
+
+
+@query("t17_extract_anchors", f"WITH {anchors_sql('documents', 'text', _NAMES)} SELECT doc_id, array_to_string(anchors, '|') AS anchors FROM f WHERE len(anchors) > 0")
 def t17(spark, d):
     found = table(spark, d, "documents").select("doc_id", T.anchors(F.col("text"), _NAMES).alias("a"))
     return found.where(F.size("a") > 0).select("doc_id", F.array_join("a", "|").alias("anchors"))
@@ -163,12 +187,12 @@ def t18(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.array_join(T.page_numbers(text).cast("array<string>"), ",").alias("pages"))
 
 
-@query("t19_derive_places", r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(substr(text, 1, 120), '[，,、/／—\-→：:\s]+'), lambda x: length(x) >= 4) AS xs FROM documents),
+@query("t19_derive_places", r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[，,、/／—\-→：:\s]+'), lambda x: length(x) >= 4) AS xs FROM documents),
   u AS (SELECT doc_id, unnest(xs) AS x, unnest(range(len(xs))) AS i FROM s), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY doc_id, x),
   r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS rn FROM f)
   SELECT doc_id, string_agg(x, '|' ORDER BY i) AS places FROM r WHERE rn <= 6 GROUP BY doc_id""")
 def t19(spark, d):
-    found = table(spark, d, "documents").select("doc_id", T.name_parts(F.substring("text", 1, 120), least=4).alias("p"))
+    found = table(spark, d, "documents").select("doc_id", T.name_parts(F.col("text"), least=4).alias("p"))
     return found.where(F.size("p") > 0).select("doc_id", F.array_join("p", "|").alias("places"))
 
 

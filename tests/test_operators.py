@@ -21,10 +21,11 @@ def one(spark, value, *columns):
 
 def test_clean_text_drops_page_numbers_and_ornaments(spark):
     text = "第一行　　文字 ， 好\r\n - 12 - \n||\n\n\n\nend"
-    r = one(spark, text, T.clean_ocr_text, lambda c: T.cleaning_notes(c, T.clean_ocr_text(c)))
-    assert r.c0 == "第一行 文字， 好\n\nend"
+    r = one(spark, text, T.clean_ocr_text, T.cleaning_notes)
+    assert r.c0 == "第一行 文字，好\n\nend"
     assert r.c1 == ["removed isolated page number", "removed ornamental noise"]
     assert one(spark, None, T.clean_ocr_text).c0 == ""
+    assert one(spark, "第一行，\n 第二行。 第三 ！\nx", T.clean_ocr_text).c0 == "第一行，第二行。第三！x"
 
 
 def test_clean_text_is_idempotent(spark):
@@ -121,6 +122,64 @@ def test_window_ratio():
     assert 0.8 < window_ratio("the quick brown fox jumps", "say the quick brawn fox jumps now") < 1.0
 
 
+def test_window_ratio_is_the_best_of_all_windows():
+    """Worked out with the quote first, over the five widths and a step of a fifth, as the fixed values say."""
+    import difflib
+    import random
+
+    r = random.Random(8)
+    for _ in range(60):
+        quote, text = ("".join(r.choice("abcd ") for _ in range(n)) for n in (r.randint(2, 40), r.randint(1, 120)))
+        n, windows = len(quote), [text]
+        if n > 3:
+            windows = [text[a : a + w] for w in (n, int(n * 0.75), int(n * 0.9), int(n * 1.1), int(n * 1.35)) for a in range(0, max(len(text) - w, 0) + 1, max(1, n // 5))]
+        best = 1.0 if quote in text else max(difflib.SequenceMatcher(None, quote, w).ratio() for w in windows)
+        assert abs(window_ratio(quote, text) - best) < 1e-12
+
+
+def test_claims_keep_decimals_and_drop_what_says_nothing(spark):
+    long = "一" * 30 + "，" + "二" * 20
+    r = one(spark, f"全程3.5公里，海拔1200.5米。 无 ；None；{long}：，，。", T.claims).c0
+    assert r == ["全程3.5公里，海拔1200.5米", "一" * 30, "二" * 20]
+    assert one(spark, None, T.claims).c0 == [] and one(spark, "书中未明示", T.claims).c0 == []
+
+
+def test_anchors_of_road_codes_names_and_numbers(spark):
+    t = "沿 G 108 和 s12 到 Old  Town，再走 109 线 3 小时 4.5 公里，共 2 次"
+    assert one(spark, t, lambda c: T.anchors(c, ("old town", "nowhere"), ("公里", "old-town"))).c0 == ["old town", "公里", "G108", "S12", "109", "108", "12", "4.5"]
+    assert one(spark, "", lambda c: T.anchors(c, ("a",))).c0 == []
+
+
+def test_claims_are_audited_by_five_rules(spark):
+    from quillspark.operators import evidence as E
+
+    text = "we left the Old Town by road G108 and walked to the river bank before noon with heavy bags"
+    cases = {
+        "The old-town by ROAD": "direct", "Old Town g": "anchor", "Old Town, left by the road G 108, on foot": "anchors", "Old Town 77 88 99": "none", "nowhere": "none",
+        "tiny": "short", "the Old Town was left by roads and walks": "similar", "walkers to the river bank before a noon with heavy bag": "similar", "zzzz qqqq xxxx jjjj vvvv kkkk": "none", "…": "empty",
+    }
+    claims = spark.createDataFrame([(1, c) for c in cases] + [(2, "left the Old Town")], "seg int, claim string")
+    pages = spark.createDataFrame([(7, text), (8, "other")], "page int, text string")
+    refs = spark.createDataFrame([(1, 7), (1, 7), (1, 8)], "seg int, page int")
+    got = {(r.seg, r.claim): r.support for r in E.audited_claims(claims, E.evidence_text(refs, pages, "seg", "page", "text"), "seg", ("Old Town", "nowhere")).collect()}
+    assert got.pop((2, "left the Old Town")) == "none"
+    assert {c: s for (_, c), s in got.items()} == cases
+
+
+def test_numbered_rows_and_first_rows(spark):
+    df = spark.createDataFrame([(i * 7 % 101, i % 3) for i in range(101)], "o int, k int").repartition(5)
+    assert sorted((r.o, r.n) for r in W.numbered_rows(df, "n", [F.desc("o")], [F.floor(-F.col("o") / 10)]).collect()) == [(i, 101 - i) for i in range(101)]
+    got = W.first_rows(df, ["k"], ["o"], 4, "o", salts=3).collect()
+    want = {k: sorted(i * 7 % 101 for i in range(101) if i % 3 == k)[:4] for k in range(3)}
+    assert {k: sorted(r.o for r in got if r.k == k) for k in range(3)} == want
+
+
+def test_numbers_wider_than_their_field_stay_whole(spark):
+    tasks = spark.range(1200).select(F.format_string("T%05d", "id").alias("id"), F.lit("P0").alias("priority"), F.col("id").alias("o"))
+    wanted = spark.createDataFrame([("P0-100",), ("P0-1000",)], "ref string")
+    assert {r.ref: r.id for r in R.resolve_task(tasks, wanted, "id", "priority", "o").collect()} == {"P0-100": "T00099", "P0-1000": "T00999"}
+
+
 def test_every_reference_is_compared_with_its_page(spark, tmp_path):
     from quillspark.plans.domain_queries import j8
 
@@ -137,13 +196,13 @@ def test_every_reference_is_compared_with_its_page(spark, tmp_path):
 
 
 def test_decisions_are_all_or_nothing(spark):
-    tasks = spark.createDataFrame([("a", ""), ("b", ""), ("c", "pass")], "id string, current string")
-    bad = spark.createDataFrame([("a", 1, "pass", ""), ("a", 2, "fail", "n"), ("x", 3, "pass", ""), ("c", 4, "fail", "n"), ("b", 5, "", "")], "id string, o int, result string, notes string")
+    tasks = spark.createDataFrame([("a", ""), ("b", ""), ("c", "pass"), ("d", "")], "id string, current string")
+    bad = spark.createDataFrame([("a", 1, "pass", ""), ("a", 2, "fail", "n"), ("x", 3, "pass", ""), ("c", 4, "fail", "n"), ("b", 5, "", ""), ("d", 6, "", "why")], "id string, o int, result string, notes string")
     judged = R.judged_decisions(bad, tasks, "id", "o", ("pass", "fail"), ("fail",))
-    assert {r.o: r.problem for r in judged.collect()} == {1: None, 2: "duplicate id", 3: "unknown id", 4: "already decided", 5: None}
+    assert {r.o: r.problem for r in judged.collect()} == {1: None, 2: "duplicate id", 3: "unknown id", 4: "already decided", 5: None, 6: "result missing"}
     assert not any(r.updated for r in R.apply_decisions(tasks, judged, "id", dry_run=False).collect())
     good = judged.where("o = 1 or o = 5")
-    assert {r.id: r.current for r in R.apply_decisions(tasks, good, "id", dry_run=False).collect()} == {"a": "pass", "b": "", "c": "pass"}
+    assert {r.id: r.current for r in R.apply_decisions(tasks, good, "id", dry_run=False).collect()} == {"a": "pass", "b": "", "c": "pass", "d": ""}
     assert not any(r.updated for r in R.apply_decisions(tasks, good, "id").collect())
 
 
@@ -167,3 +226,10 @@ def test_stream_counts_each_event_once(spark, tmp_path):
     q.awaitTermination(120)
     got = {str(r.window_start): r.n for r in spark.table("counts").collect()}
     assert got["2024-01-01 00:00:00"] == 10 and all(n == 10 for n in got.values())
+
+
+def test_quotes_are_found_without_regard_to_form_and_marks(spark):
+    pages = spark.createDataFrame([(1, "Ｔｈｅ　old-town, by the river."), (2, None)], "page int, text string")
+    refs = spark.createDataFrame([(1, "1", "THE OLD TOWN"), (2, "1", "…"), (3, "2", "x"), (4, "9", "x"), (5, "no", "x"), (6, None, "x"), (7, "1", "old townes by a river"), (8, "1", "zzzzzz")], "r int, page string, quote string")
+    got = {r.r: r.status for r in J.quote_status(refs, pages).collect()}
+    assert got == {1: "found", 2: "empty_quote", 3: "citation_mismatch", 4: "missing_page", 5: "invalid_page", 6: "missing_ref_field", 7: "approximate", 8: "citation_mismatch"}
