@@ -534,3 +534,76 @@ def test_one_of_many_writers_commits(spark, docs, tmp_path):
 
     with ThreadPoolExecutor(4) as pool:
         assert sum(pool.map(attempt, range(4))) == 1
+
+
+# the pipeline
+
+
+def brute_quality(text):
+    n, chars, symbols, dup, rep = base_counts(text)
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    stop = sum(w in quality.STOP_WORDS for w in re.split(r"[\x20\x09-\x0D]", text or ""))
+    return n >= 50 and 100 * rep <= 50 * n and 2 <= chars / n <= 15 and symbols / n <= 0.2 and stop / n >= 0.01 and (not lines or dup / len(lines) <= 0.6)
+
+
+def brute_pipeline(rows):
+    """doc_id and what stays of its text, stage by stage; doc_ids are unique."""
+    kept = [(d, t) for d, t in rows if brute_quality(t)]
+    first = {}
+    for d, t in sorted(kept):
+        first.setdefault(norm(t), d)
+    kept = [(d, t) for d, t in kept if first[norm(t)] == d]
+    label = brute_components([fingerprint(t) for _, t in kept])
+    least = {}
+    for (d, _), k in zip(kept, label):
+        least[k] = min(least.get(k, d), d)
+    kept = [(d, t) for (d, t), k in zip(kept, label) if least[k] == d]
+    grams, out = {}, {}
+    for d, t in sorted(kept):
+        b = t.encode()
+        hit = np.zeros(len(b), bool)
+        for p in range(len(b) - 49):
+            if grams.setdefault(b[p : p + 50], d) != d:
+                hit[p : p + 50] = True
+        if stays := bytes(np.frombuffer(b, np.uint8)[~hit]).decode("utf-8", "ignore"):
+            out[d] = stays
+    return out
+
+
+def prose(seed, n):
+    ws = words(seed, n, 3000).split()
+    return " ".join(w if i % 9 else "the" for i, w in enumerate(ws))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline as C
+
+    shared = prose(77, 70)
+    texts = [prose(k, 90 + 7 * k) for k in range(24)] + [None, "", " \n", "x" * 3000, "same line of the text\n" * 40, "# * $ % & | < > " * 30]
+    texts += [texts[3], texts[3].replace(" ", "\n\t"), texts[5] + " éé", texts[6].replace(" the ", " a ", 1)]
+    texts += [f"{prose(100 + k, 80)} {shared} {prose(200 + k, 60 + k)}" for k in range(5)] + [prose(300, 20_000)]
+    rows = list(zip(random.Random(3).sample(range(1000), len(texts)), texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_chars": F.length("text"), "_row": F.lit(1), "_keep": F.lit("k"), "fp": F.lit(2), "block": F.lit(None).cast("int")})
+    df.repartition(3).write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    want = brute_pipeline(rows)
+    docs = spark.read.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        docs = C.written(stage(spark, docs, ""), "test")
+        assert docs.columns == df.columns
+    assert {r.doc_id: r.text for r in docs.collect()} == want
+    tok, pieces = tokenizer(WORD), C.run(spark, f"file://{tmp_path}/sf").collect()
+    length, at = {}, {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.piece)):
+        assert r.start == length.get(r.doc_id, 0)
+        length[r.doc_id] = r.start + r.length
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert length == {d: len(tok.encode(t, add_special_tokens=False).ids) + 1 for d, t in want.items()} and max(at.values()) <= 2048
+
+
+def test_pipeline_of_an_empty_table(spark, none, tmp_path):
+    import corpus_pipeline as C
+
+    none.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
+    assert C.run(spark, f"file://{tmp_path}/sf").count() == 0
