@@ -1,4 +1,9 @@
-"""The corpus pipeline: each stage works on all that the one before it kept, written as Parquet and read again."""
+"""The corpus pipeline: each stage works on all that the one before it kept, written as Parquet and read again.
+
+Defined cases: null and empty texts fail the quality rules and go with them; of equal or linked documents the smallest
+doc_id stays; rows that share a doc_id are one document, so they stay or go together; an empty table gives an empty result;
+extra columns pass through every stage but the last, whatever their names.
+"""
 
 from __future__ import annotations
 
