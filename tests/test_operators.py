@@ -69,6 +69,11 @@ def test_html_blocks_in_both_tempers():
     assert H.blocks_of(page, strict=True) == []
     assert H.blocks_of("<p>a</p>tail", strict=True) == [("paragraph", 0, "a")]
     assert H.blocks_of("") == []
+    assert H.blocks_of("<p>one<h2>Head</h2>two</p>") == [("heading", 2, "Head"), ("paragraph", 0, "onetwo")]  # a heading ends no paragraph
+    assert H.blocks_of("<h1>lost<h2>Kept</h2><p>x<h3>open") == [("heading", 2, "Kept"), ("paragraph", 0, "x")]
+    assert H.blocks_of("</nav><nav><aside>a</aside>b</nav><p>c\nd</p>") == [("paragraph", 0, "c d")]
+    assert H.blocks_of("<meta/><p>c\n \td</p>", strict=True) == [("paragraph", 0, "c\n d")]
+    assert H.blocks_of("<table><tr><td>a</td><td>b</td></tr></table>") == [("paragraph", 0, "a"), ("paragraph", 0, "b")]
 
 
 def epub():
@@ -87,6 +92,24 @@ def test_epub_sections(spark):
     assert [(x.section_id, x.title, x.text, x.paragraph_count, x.book_title) for x in r] == [("sec-001", "Named", "Text one.\n\nTwo.", 2, "Book")]
 
 
+def test_epub_with_a_navigation_page_and_lost_items():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="b.opf"/></rootfiles></container>')
+        items = "".join(f'<item id="{i}" href="{h}" media-type="{m}"/>' for i, h, m in (("a", "a.xhtml", H.XHTML), ("gone", "gone.xhtml", H.XHTML), ("css", "c.css", "text/css"), ("b", "../b.xhtml", H.XHTML), ("v", "toc/nav.xhtml", H.XHTML)))
+        refs = "".join(f'<itemref idref="{i}"/>' for i in ("unlisted", "gone", "css", "a", "b"))
+        z.writestr("b.opf", f'<package xmlns="http://www.idpf.org/2007/opf"><manifest>{items}</manifest><spine>{refs}</spine></package>')
+        z.writestr("toc/nav.xhtml", f'<nav><a href="../a.xhtml#top">Named <b>so</b></a><a href="../b.xhtml">{"x" * 201}</a></nav>')
+        z.writestr("a.xhtml", "<h1>Own</h1><p>A.</p>")
+        z.writestr("b.xhtml", "<h3>Third</h3><p>B.</p>")
+    got = H.epub_sections_of(out.getvalue())
+    assert [(r["section_id"], r["title"], r["text"], r["book_title"]) for r in got] == [("sec-004", "Named so", "A.", None), ("sec-005", "Third", "B.", None)]
+    bare = io.BytesIO()
+    with zipfile.ZipFile(bare, "w") as z:
+        z.writestr("META-INF/container.xml", "<container/>")
+    assert H.epub_sections_of(bare.getvalue()) == []
+
+
 def test_csv_keeps_empty_strings_and_drops_the_byte_order_mark(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿id,name\n1,"a ""q"", b"\n2,\n', encoding="utf-8")
     assert [tuple(r) for r in readers.csv(spark, f"file://{tmp_path}/a.csv").collect()] == [("1", 'a "q", b'), ("2", "")]
