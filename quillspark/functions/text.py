@@ -316,3 +316,14 @@ def snippet(text: Column, quote: Column, before: int = 120, after: int = 180, de
     at = F.position(q, t)
     start = F.greatest(at - before, F.lit(1))
     return F.when((q != "") & (at > 0), F.substr(t, start, at - start + F.length(q) + after)).otherwise(F.substring(t, 1, default))
+
+
+def filled(items: Column, spare: Column, same, most: int) -> Column:
+    """Up to most items: all that there are, then the spare ones, in order, that are like none before. same: item -> what is compared."""
+    add = lambda acc, x: F.when((F.size(acc) < most) & ~F.exists(acc, lambda y: same(y).eqNullSafe(same(x))), F.array_append(acc, x)).otherwise(acc)
+    return F.slice(F.aggregate(spare, items, add), 1, most)
+
+
+def appended(items: Column, item: Column) -> Column:
+    """The array with the item at its end, unless it holds an equal one; repeats that are there stay."""
+    return F.when(F.exists(items, lambda x: x.eqNullSafe(item)), items).otherwise(F.array_append(items, item))

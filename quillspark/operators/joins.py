@@ -93,3 +93,49 @@ def quote_status(refs: DataFrame, pages: DataFrame, page: str = "page", quote: s
     status = F.coalesce("_exact", F.when(F.col("_score") >= enough, "approximate").otherwise("citation_mismatch"))
     score = F.when(left, F.col("_score")).when(F.col("_exact") == "found", 1.0).otherwise(0.0)
     return staged.withColumns({"status": status, "score": score}).drop("_page", "_quote", "_text", "_there", "_exact", "_score")
+
+
+def by_array_key(df: DataFrame, key: str, groups: DataFrame, members: str, order: str) -> DataFrame:
+    """df with the group whose members hold the key; of several the last in order, of none nulls. members is dropped."""
+    each = groups.withColumn(key, F.explode(members)).drop(members)
+    return df.join(last_wins(each, key, order), key, "left")
+
+
+def memberships(items: DataFrame, item: str, groups: DataFrame, lists: list[str]) -> DataFrame:
+    """Each group's row, without its lists, for each item that is in one of them; once, however often it is listed."""
+    empty = F.array().cast(f"array<{dict(items.dtypes)[item]}>")
+    members = F.array_distinct(F.concat(*[F.coalesce(F.col(c), empty) for c in lists]))
+    return groups.withColumn(item, F.explode(members)).drop(*lists).join(items.select(item).distinct(), item)
+
+
+def by_rule(df: DataFrame, rules: DataFrame, keys: list[str], defaults: dict[str, Column]) -> DataFrame:
+    """df with the columns of the rule for its keys, or their defaults where no rule is. A null in a rule stays null."""
+    joined = df.join(small(rules.withColumn("_hit", F.lit(True))), keys, "left")
+    return joined.withColumns({c: F.when(F.col("_hit"), F.col(c)).otherwise(v) for c, v in defaults.items()}).drop("_hit")
+
+
+def question_of(chapters: DataFrame, questions: DataFrame) -> DataFrame:
+    """chapter_id, question_id: the first question, in the order of ord, that is on the chapter's letter or links it with the
+    scope letter; else the first whose id ends in the chapter's number, of three digits at least; else null.
+
+    chapters: chapter_id, letter_id, number. questions: question_id, letter_id, linked (array), scope, ord. Two null letters agree.
+    """
+    own = questions.select("letter_id", "question_id", "ord")
+    linked = questions.where("scope = 'letter'").select(F.explode("linked").alias("letter_id"), "question_id", "ord").where("letter_id <> ''")
+    first = own.unionByName(linked).groupBy("letter_id").agg(F.min_by("question_id", "ord").alias("_own"))
+    ending = F.expr("lpad(cast(coalesce(number, 0) as string), greatest(3, length(cast(coalesce(number, 0) as string))), '0')")
+    numbered = chapters.select("chapter_id", "letter_id", ending.alias("_end"))
+    ends = numbered.select("_end").distinct().withColumn("_tail", F.right("_end", F.lit(3)))
+    tails = questions.select("question_id", "ord", F.right("question_id", F.lit(3)).alias("_tail"))
+    by_end = ends.join(tails, "_tail").where(F.endswith("question_id", "_end")).groupBy("_end").agg(F.min_by("question_id", "ord").alias("_numbered"))
+    found = numbered.alias("c").join(first.alias("f"), F.col("c.letter_id").eqNullSafe(F.col("f.letter_id")), "left").select("chapter_id", "_end", "_own")
+    return found.join(by_end, "_end", "left").select("chapter_id", F.coalesce("_own", "_numbered").alias("question_id"))
+
+
+def navigation_of(questions: DataFrame, chapters: DataFrame, fields: list[str], position: str, whole: str) -> DataFrame:
+    """questions with the chapter's letter_id and fields, by the question's letter or else the first that it links; nulls and
+    whole as the position where no chapter has it. chapters: letter_id, ord and the fields; of several the last counts."""
+    known = last_wins(chapters.select("letter_id", "ord", *fields), "letter_id", "ord").drop("ord")
+    asked = questions.withColumn("_letter", F.coalesce(F.when(F.col("letter_id") != "", F.col("letter_id")), F.get("linked", F.lit(0)))).drop("letter_id")
+    joined = asked.join(known.withColumn("_hit", F.lit(True)), F.col("_letter") == F.col("letter_id"), "left")
+    return joined.withColumn(position, F.when(F.col("_hit"), F.col(position)).otherwise(F.lit(whole))).drop("_letter", "_hit")

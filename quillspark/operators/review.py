@@ -66,3 +66,9 @@ def resolve_task(tasks: DataFrame, wanted: DataFrame, key: str, group: str, orde
     ways = names.select(F.col(key).alias("_ref"), key, F.lit(0).alias("_rank")).unionByName(names.select(F.lower(F.col(key)).alias("_ref"), key, F.lit(1).alias("_rank"))).unionByName(names.select(F.col("_alias").alias("_ref"), key, F.lit(2).alias("_rank")))
     asked = wanted.select("ref", F.explode(F.array(F.col("ref"), F.lower("ref"))).alias("_ref")).distinct()
     return asked.join(ways, "_ref").groupBy("ref").agg(F.min_by(key, "_rank").alias(key))
+
+
+def decision_records(judged: DataFrame, columns: list[str]) -> DataFrame:
+    """The usable decisions as a table of their own: the columns without outer white space, empty for null, and the time of the
+    import. The task table stays as it is."""
+    return judged.where("usable").select(*[_text(c).alias(c) for c in columns], F.current_timestamp().alias("imported_at"))

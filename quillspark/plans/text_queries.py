@@ -134,17 +134,17 @@ def t14(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clip(F.col("text"), ";,.").alias("clipped"))
 
 
-@query("t15_block_from_paragraph", f"""WITH RECURSIVE p AS (SELECT doc_id, {_PARAS}[1] AS whole FROM documents),
-  s AS (SELECT doc_id, whole, list_filter(list_transform(regexp_extract_all(whole, '[^.]*[.]|[^.]+'), lambda x: {strip_sql('x')}), lambda x: length(x) >= 1) AS parts FROM p),
-  f AS (SELECT doc_id, 0 AS i, '' AS acc, FALSE AS done FROM s UNION ALL
-        SELECT f.doc_id, i + 1, CASE WHEN NOT done AND length(acc) + length(parts[i + 1]) <= 320 THEN acc || parts[i + 1] ELSE acc END,
+@query("t15_block_from_paragraph", f"""WITH RECURSIVE w AS (SELECT doc_id, {_PARAS} AS ps FROM documents), p AS (SELECT doc_id, unnest(ps) AS whole, unnest(range(len(ps))) AS place FROM w),
+  s AS (SELECT doc_id, place, whole, list_filter(list_transform(regexp_extract_all(whole, '[^.]*[.]|[^.]+'), lambda x: {strip_sql('x')}), lambda x: length(x) >= 1) AS parts FROM p),
+  f AS (SELECT doc_id, place, 0 AS i, '' AS acc, FALSE AS done FROM s UNION ALL
+        SELECT f.doc_id, f.place, i + 1, CASE WHEN NOT done AND length(acc) + length(parts[i + 1]) <= 320 THEN acc || parts[i + 1] ELSE acc END,
           done OR length(acc) + length(parts[i + 1]) > 320 OR length(CASE WHEN NOT done AND length(acc) + length(parts[i + 1]) <= 320 THEN acc || parts[i + 1] ELSE acc END) >= 160
-        FROM f JOIN s USING (doc_id) WHERE i < len(parts)),
-  j AS (SELECT doc_id, arg_max(acc, i) AS joined FROM f GROUP BY doc_id)
-  SELECT doc_id, CASE WHEN length(whole) BETWEEN 80 AND 320 THEN whole WHEN length(joined) >= 80 THEN joined ELSE substr(whole, 1, 260) END AS block FROM s JOIN j USING (doc_id)""")
+        FROM f JOIN s USING (doc_id, place) WHERE i < len(parts)),
+  j AS (SELECT doc_id, place, arg_max(acc, i) AS joined FROM f GROUP BY doc_id, place)
+  SELECT doc_id, place, CASE WHEN length(whole) BETWEEN 80 AND 320 THEN whole WHEN length(joined) >= 80 THEN joined ELSE substr(whole, 1, 260) END AS block FROM s JOIN j USING (doc_id, place)""")
 def t15(spark, d):
-    first = table(spark, d, "documents").select("doc_id", F.get(T.paragraphs(F.col("text"), r"\n+"), 0).alias("whole")).where("whole IS NOT NULL")
-    return first.select("doc_id", T.block_of(T.sentences(F.col("whole"), "."), F.col("whole")).alias("block"))
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(T.paragraphs(F.col("text"), r"\n+")).alias("place", "whole"))
+    return each.select("doc_id", F.col("place").cast("long").alias("place"), T.block_of(T.sentences(F.col("whole"), "."), F.col("whole")).alias("block"))
 
 
 _STOP = ", ".join(f"'{x}'" for x in T.CLAIM_STOP)
