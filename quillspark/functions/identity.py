@@ -18,41 +18,55 @@ ISBN = r"ISBN\s*([0-9\-]{10,20})"
 OCR_TITLE, TITLE_MARKS, TITLE_LINES, AUTHOR_LINES, QUOTE_CHARS = "OCR 文本", " ：:，,。.", 20, 80, 120
 
 
-def found(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, null without one."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+def first_match(text: Column, pattern: str, needs: str) -> Column:
+    """The first match, empty without one; needs: characters that every match holds, looked for first as that is cheap."""
+    return F.when(F.contains(text, F.lit(needs)), F.regexp_extract(text, pattern, 0)).otherwise("")
+
+
+def part_of(match: Column, pattern: str, group: int) -> Column:
+    """A group of what first_match found, null without a match."""
+    return F.when(match != "", F.regexp_extract(match, pattern, group))
 
 
 def identity(text: Column, fallback: Column) -> Column:
     """A struct of title, author, publication_info, publisher, publication_date, isbn and evidence (field, quote).
 
     The first way that finds a value gives it: title and author together, then a heading, then the first line that can be a title,
-    then the fallback; an imprint, then a publisher alone. A null text is an empty one.
+    then the fallback; an imprint, then a publisher alone. A null text is an empty one. Each pattern meets the text once.
     """
-    return T.let(F.struct(T.or_empty(text).alias("raw"), T.lines(text).alias("lines")), lambda x: _of(x["raw"], x["lines"], F.array_join(x["lines"], "\n"), fallback))
+    lines = T.let(T.lines(text), lambda ls: F.struct(F.slice(ls, 1, AUTHOR_LINES).alias("lines"), F.array_join(ls, "\n").alias("all")))
+    matches = lambda x: F.struct(
+        x["lines"].alias("lines"),
+        first_match(x["all"], TITLE_AUTHOR, "著").alias("both"),
+        first_match(T.or_empty(text), TITLE_HEADING, "OCR").alias("heading"),
+        first_match(x["all"], IMPRINT, "出版社").alias("imprint"),
+        first_match(x["all"], PUBLISHER, "出版社").alias("press"),
+        first_match(x["all"], ISBN, "ISBN").alias("isbn"),
+    )
+    return T.let(lines, lambda x: T.let(matches(x), lambda m: _told(m, fallback)))
 
 
-def _of(raw: Column, lines: Column, joined: Column, fallback: Column) -> Column:
-    both = joined.rlike(TITLE_AUTHOR)
+def _told(m: Column, fallback: Column) -> Column:
     clean = lambda s: T.squash(F.replace(s, F.lit(OCR_TITLE), F.lit("")))
-    titled = F.get(F.filter(F.slice(lines, 1, TITLE_LINES), lambda s: F.length(clean(s)).between(2, 50) & ~clean(s).rlike(NO_TITLE)), F.lit(0))
-    signed = F.get(F.filter(F.slice(lines, 1, AUTHOR_LINES), lambda s: T.squash(s).rlike(AUTHOR_LINE)), F.lit(0))
-    first = F.nullif(T.squash(F.trim(found(joined, TITLE_AUTHOR), F.lit(TITLE_MARKS))), F.lit(""))
-    heading = F.when(first.isNull(), found(raw, TITLE_HEADING))
-    line = F.when(first.isNull() & heading.isNull(), titled)
-    author_line = F.when(~both, signed)
-    imprint, press = found(joined, IMPRINT, 0), F.when(~joined.rlike(IMPRINT), found(joined, PUBLISHER))
-    told = lambda field, quote: F.when(quote.isNotNull(), F.struct(F.lit(field).alias("field"), F.substring(quote, 1, QUOTE_CHARS).alias("quote")))
+    can_be_title = lambda c: F.length(c).between(2, 50) & ~c.rlike(NO_TITLE)
+    titled = F.get(F.filter(F.slice(m["lines"], 1, TITLE_LINES), lambda s: can_be_title(clean(s))), F.lit(0))
+    signed = F.get(F.filter(m["lines"], lambda s: T.squash(s).rlike(AUTHOR_LINE)), F.lit(0))
+    joint = F.nullif(T.squash(F.trim(part_of(m["both"], TITLE_AUTHOR, 1), F.lit(TITLE_MARKS))), F.lit(""))
+    heading = F.when(joint.isNull() & (m["heading"] != ""), m["heading"])
+    line = F.when(joint.isNull() & heading.isNull(), titled)
+    author_line = F.when(m["both"] == "", signed)
+    press = F.when((m["imprint"] == "") & (m["press"] != ""), m["press"])
+    told = lambda field, quote: F.when(quote != "", F.struct(F.lit(field).alias("field"), F.substring(quote, 1, QUOTE_CHARS).alias("quote")))
     evidence = F.array(
-        told("title_author", found(joined, TITLE_AUTHOR, 0)), told("title", F.when(first.isNull(), found(raw, TITLE_HEADING, 0))), told("title", line), told("author", author_line),
-        told("publication_info", imprint), told("publisher", press), told("isbn", found(joined, ISBN, 0)),
+        told("title_author", m["both"]), told("title", heading), told("title", line), told("author", author_line),
+        told("publication_info", m["imprint"]), told("publisher", press), told("isbn", m["isbn"]),
     )
     return F.struct(
-        F.coalesce(first, T.squash(heading), clean(line), fallback).alias("title"),
-        F.coalesce(T.squash(found(joined, TITLE_AUTHOR, 2)), F.regexp_extract(T.squash(author_line), AUTHOR_LINE, 1)).alias("author"),
-        T.squash(imprint).alias("publication_info"),
-        F.coalesce(found(joined, IMPRINT, 2), press).alias("publisher"),
-        found(joined, IMPRINT, 3).alias("publication_date"),
-        found(joined, ISBN).alias("isbn"),
+        F.coalesce(joint, T.squash(part_of(heading, TITLE_HEADING, 1)), clean(line), fallback).alias("title"),
+        F.coalesce(T.squash(part_of(m["both"], TITLE_AUTHOR, 2)), F.regexp_extract(T.squash(author_line), AUTHOR_LINE, 1)).alias("author"),
+        F.nullif(T.squash(m["imprint"]), F.lit("")).alias("publication_info"),
+        F.coalesce(part_of(m["imprint"], IMPRINT, 2), press).alias("publisher"),
+        part_of(m["imprint"], IMPRINT, 3).alias("publication_date"),
+        part_of(m["isbn"], ISBN, 1).alias("isbn"),
         F.filter(evidence, lambda e: e.isNotNull()).alias("evidence"),
     )
