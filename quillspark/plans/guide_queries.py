@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import checks as C
+from quillspark.functions import text as T
 from quillspark.operators import guide as U
+from quillspark.operators import suites as S
 from quillspark.operators import windows as W
 from quillspark.plans.domain_queries import SEG, segments
 from quillspark.plans.registry import query, table
@@ -208,3 +209,162 @@ def g23(spark, d):
     k = F.col("doc_id")
     files = table(spark, d, "documents").select(F.concat("source", F.lit("-"), (k % 20).cast("string")).alias("project"), F.col("lang").alias("kind"), (k % 5 != 0).alias("present"), F.when(k % 90 == 0, "marker").alias("finding"))
     return U.inspected(files, ("en",), ("fr", "de")).withColumns({c: F.array_join(c, "|") for c in ("missing_next", "next_actions")})
+
+
+# constraint suites
+
+
+def _found(rule: str, severity: str, path: str, message: str, source: str) -> str:
+    said = message if message.startswith("(") else f"'{message}'"
+    return f"SELECT '{rule}' AS rule_id, '{severity}' AS severity, CAST({path} AS VARCHAR) AS path, {said} AS message FROM {source}"
+
+
+def _all(rules) -> str:
+    return " UNION ALL ".join(_found(*r) for r in rules)
+
+
+_ROUTE = f"""{SEG}, g0 AS (SELECT id, CASE WHEN id % 50 = 0 THEN id + 1 WHEN id % 51 <> 0 THEN id END AS ord, CASE WHEN status <> 'P' THEN prio ELSE '' END AS title, list_transform(ps, lambda p: {{'name': p.name, 'lat': p.lat * 2, 'lng': p.lng}}) AS pts, n, gap, status FROM s),
+  g AS (SELECT id, ord, title, CASE WHEN id % 37 <> 0 THEN pts[1] END AS st, pts[n] AS en, CASE WHEN id % 37 <> 0 THEN [pts[1]] ELSE [] END || CASE WHEN n > 2 THEN pts[2:n - 1] ELSE [] END || [pts[n]] AS pts,
+    CASE WHEN id % 7 = 0 THEN [] ELSE list_transform(pts, lambda p: {{'page': p.lat, 'quote': CASE WHEN id % 5 = 0 THEN repeat(p.name, 60) ELSE p.name END, 'note': CASE WHEN id % 11 <> 0 THEN 'n' ELSE '' END}}) END AS refs,
+    CASE WHEN id % 41 <> 0 THEN CASE status WHEN 'F' THEN 'walked' WHEN 'O' THEN 'vehicle' ELSE 'flown' END END AS movement, id % 43 <> 0 AS walk, id % 47 <> 0 AS modern, CASE WHEN id % 29 <> 0 THEN gap END AS gap, id % 3 AS noted, id % 2 = 0 AS reviewed FROM g0),
+  rf AS (SELECT id, unnest(refs) AS r, unnest(range(1, len(refs) + 1)) AS i FROM g), pp AS (SELECT id, unnest(pts) AS p FROM g)"""
+_BAD = "NOT ((({p}.lat IS NULL) AND ({p}.lng IS NULL)) OR coalesce({p}.lat BETWEEN -90 AND 90 AND {p}.lng BETWEEN -180 AND 180, FALSE))"
+_ROUTE_SQL = f"WITH {_ROUTE} " + _all([
+    ("C1.order", "error", "'route'", "order must be consecutive", "(SELECT 1 WHERE EXISTS (FROM g WHERE ord IS DISTINCT FROM id))"),
+    ("C1.field", "error", "id", "missing order", "g WHERE ord IS NULL OR ord = 0"), ("C1.field", "error", "id", "missing title", "g WHERE title = ''"),
+    ("C1.point", "error", "id", "missing start.name", "g WHERE st IS NULL"),
+    ("C1.point", "error", "id", "('invalid coordinate for start ' || st.name)", "g WHERE st IS NOT NULL AND " + _BAD.format(p="st")), ("C1.point", "error", "id", "('invalid coordinate for end ' || en.name)", "g WHERE " + _BAD.format(p="en")),
+    ("C1.point", "error", "id", "('invalid coordinate for ' || p.name)", "pp WHERE " + _BAD.format(p="p")),
+    ("C1.refs", "error", "id", "missing book_refs", "g WHERE len(refs) = 0"), ("C1.refs", "error", "id", "('book_ref #' || i || ' must include page, quote, note')", "rf WHERE r.page IS NULL OR r.note = ''"),
+    ("C1.quote", "warning", "id", "('book_ref #' || i || ' quote longer than 120 chars')", "rf WHERE length(r.quote) > 120"),
+    ("C1.coordinates", "error", "id", "missing coordinates but no review_notes", "g WHERE NOT reviewed AND len(list_filter(pts, lambda p: p.lat IS NULL)) > 0"),
+    ("C1.gap", "error", "id", "missing gap_notes", "g WHERE noted = 0"), ("C1.gap", "error", "id", "missing do_not_connect", "g WHERE gap IS NULL"), ("C1.gap", "error", "id", "do_not_connect requires gap_notes", "g WHERE gap AND noted < 2"),
+    ("C1.info", "info", "id", "('movement_type=' || movement)", "g WHERE movement <> 'walked'"), ("C1.info", "info", "id", "do_not_connect", "g WHERE gap"),
+    ("C1.enum", "error", "id", "missing movement_type", "g WHERE movement IS NULL"), ("C1.enum", "error", "id", "invalid movement_type", "g WHERE movement = 'flown'"),
+    ("C1.enum", "error", "id", "missing walkability_status", "g WHERE NOT walk"), ("C1.enum", "error", "id", "invalid modern_followability", "g WHERE NOT modern"),
+])
+
+
+@query("c1_route", _ROUTE_SQL)
+def c1(spark, d):
+    i, n, status = F.col("id"), F.col("n"), F.col("status")
+    pts = F.transform("ps", lambda p: F.struct(p["name"].alias("name"), (p["lat"] * 2).alias("lat"), p["lng"].alias("lng")))
+    s = segments(spark, d).withColumn("pts", pts)
+    quote = lambda p: F.when(i % 5 == 0, F.repeat(p["name"], 60)).otherwise(p["name"])
+    refs = F.transform("pts", lambda p: F.struct(p["lat"].cast("long").alias("page"), quote(p).alias("quote"), F.when(i % 11 != 0, "n").otherwise("").alias("note")))
+    walked = F.when(status == "F", "walked").when(status == "O", "vehicle").otherwise("flown")
+    notes = F.when(i % 3 == 1, F.array().cast("array<string>")).when(i % 3 == 2, F.array(F.lit("g")))
+    return S.route(s.select(
+        "id", i.alias("place"), F.when(i % 50 == 0, i + 1).when(i % 51 != 0, i).alias("order"), F.when(status != "P", F.col("prio")).otherwise("").alias("title"), F.when(i % 37 != 0, F.col("pts")[0]).alias("start"), F.element_at("pts", -1).alias("end"),
+        F.when(n > 2, F.slice("pts", F.lit(2), n - 2)).alias("via"), F.when(i % 7 != 0, refs).alias("refs"), F.when(i % 41 != 0, walked).alias("movement_type"), F.lit("continuous").alias("continuity_status"),
+        F.when(i % 43 != 0, "needs_review").alias("walkability_status"), F.when(i % 47 != 0, "approximate_only").otherwise("x").alias("modern_followability"), notes.alias("gap_notes"), F.when(i % 29 != 0, F.col("gap")).alias("do_not_connect"), F.when(i % 2 == 0, "r").alias("review_notes"),
+    ))
+
+
+_EXPECTED = tuple(f"sec-{i:03d}" for i in range(6, 31))
+_LT = f"""lt AS (SELECT doc_id AS k, CASE WHEN doc_id % 8 = 0 THEN 'L' || doc_id ELSE {numbered_sql('letter-', '(doc_id % 150)', 3)} END AS letter_id, CASE WHEN doc_id % 6 = 5 THEN 'sec-031' ELSE {numbered_sql('sec-', '(doc_id + 6)', 3)} END AS section_id, CASE WHEN doc_id % 14 <> 0 THEN doc_id + 1 END AS ord,
+    CASE WHEN doc_id % 13 <> 0 THEN text ELSE ' ' END AS brief, source, doc_id % 9 AS chunks, doc_id % 10 <> 0 AS placed, CASE WHEN doc_id % 12 = 0 THEN [] ELSE [text, source] END AS notes FROM documents),
+  ln AS (SELECT k, unnest(notes) AS x, unnest(range(len(notes))) AS i FROM lt)"""
+
+
+@query("c2_letters", f"WITH {_LT} " + _all([
+    ("C2.count", "error", "'letters'", "('expected 25, got ' || n)", "(SELECT count(*) AS n FROM lt) WHERE n <> 25"), ("C2.list", "error", "'letters[' || k || '].places'", "places must be a list", "lt WHERE NOT placed"),
+    ("C2.list", "error", "'letters[' || k || '].chunk_ids'", "chunk_ids must be a non-empty list", "lt WHERE chunks < 2"), ("C2.list", "error", "'letters[' || k || '].notes'", "notes must be a non-empty list", "lt WHERE len(notes) = 0"),
+    ("C2.id", "error", "'letters[' || k || '].letter_id'", "invalid letter_id", "lt WHERE k % 8 = 0"), ("C2.id", "error", "'letters[' || k || '].letter_id'", "duplicate letter_id", "(SELECT *, row_number() OVER (PARTITION BY letter_id ORDER BY k) AS i FROM lt) WHERE i > 1"),
+    ("C2.order", "error", "'letters[' || k || '].order'", "out of order", "lt WHERE ord IS NULL"), ("C2.section", "error", "'letters[' || k || '].section_id'", "section out of order", "lt WHERE k >= 25 OR k % 6 = 5"),
+    ("C2.section", "error", "'letters[' || k || '].section_id'", "forbidden section", "lt WHERE section_id IN ('sec-031', 'sec-001')"), ("C2.brief", "error", "'letters[' || k || '].brief'", "brief must be a non-empty string", f"lt WHERE coalesce({strip_sql('brief')}, '') = ''"),
+    ("C2.marker", "error", "'letters[' || k || ']'", "forbidden marker", "lt WHERE contains(coalesce(brief, ''), 'license') OR contains(source, 'license')"), ("C2.note", "error", "'letters[' || k || '].evidence_refs[' || i || ']'", "evidence note too long", "ln WHERE length(x) > 160"),
+    ("C2.marker", "error", "'letters[' || k || '].evidence_refs[' || i || ']'", "forbidden marker", "ln WHERE contains(x, 'license')"),
+]))
+def c2(spark, d):
+    k = F.col("doc_id")
+    none = F.array().cast("array<string>")
+    rows = table(spark, d, "documents").select(
+        (k + 1).alias("place"), F.when(k % 8 == 0, F.concat(F.lit("L"), k.cast("string"))).otherwise(T.numbered("letter-", k % 150, 3)).alias("letter_id"), F.when(k % 6 == 5, "sec-031").otherwise(T.numbered("sec-", k + 6, 3)).alias("section_id"), F.when(k % 14 != 0, k + 1).alias("order"), F.col("source").alias("title"),
+        F.when(k % 9 == 0, none).when(k % 9 > 1, F.array(F.lit("c"))).alias("chunk_ids"), F.when(k % 13 != 0, F.col("text")).otherwise(" ").alias("brief"), F.when(k % 10 != 0, none).alias("places"), none.alias("themes"), F.when(k % 12 == 0, none).otherwise(F.array("text", "source")).alias("notes"),
+    )
+    return S.letters(rows, _EXPECTED, ("license",), ("sec-031", "sec-001"))
+
+
+_PASSAGES = """ch AS (SELECT DISTINCT conv_id AS chapter FROM conversations UNION ALL SELECT n_nationkey + 9000000 FROM nation),
+  it AS (SELECT conv_id AS chapter, turn::BIGINT AS item, CASE WHEN turn <> 4 THEN conv_id ELSE conv_id + 1 END AS section_id, CASE turn % 3 WHEN 1 THEN text || 'zz' WHEN 2 THEN replace(text, ' ', '  ') ELSE text END AS t, turn < 2 AS core, turn > 2 AS extra, CASE WHEN turn % 4 <> 3 THEN role ELSE ' ' END AS note FROM conversations),
+  sized AS (SELECT ch.chapter, count(item) AS a, count(*) FILTER (core) AS c, count(*) FILTER (extra) AS e FROM ch LEFT JOIN it USING (chapter) GROUP BY 1)"""
+_AT, _CH = "'chapters[' || chapter || '][' || item || ']'", "'chapters[' || chapter || ']'"
+
+
+@query("c7_reading_blocks", f"WITH {_PASSAGES} " + _all([
+    ("C7.chapters", "error", "'chapters'", "('expected 25, got ' || n)", "(SELECT count(*) AS n FROM ch) WHERE n <> 25"), ("C7.few", "error", _CH, "('expected >=5 all, got ' || a)", "sized WHERE a < 5"), ("C7.few", "error", _CH, "('expected >=2 core, got ' || c)", "sized WHERE c < 2"), ("C7.few", "error", _CH, "('expected >=3 extra, got ' || e)", "sized WHERE e < 3"),
+    ("C7.field", "error", _AT, "missing note", f"it WHERE {strip_sql('note')} = ''"), ("C7.field", "error", _AT, "missing text", f"it WHERE coalesce({strip_sql('t')}, '') = ''"), ("C7.section", "error", _AT, "section mismatch", "it WHERE item = 4"), ("C7.length", "error", _AT, "too short", "it WHERE length(coalesce(t, '')) < 70"), ("C7.length", "warning", _AT, "near the long limit", "it WHERE length(t) > 340"),
+    ("C7.placeholder", "error", _AT, "placeholder marker found", "it WHERE contains(t, 'zz')"),
+    ("C7.source", "error", _AT, "text not found in its section", f"it WHERE NOT EXISTS (FROM conversations c WHERE c.conv_id = chapter AND {strip_sql('t')} <> '' AND (contains(c.text, t) OR contains(regexp_replace(c.text, '\\s+', ' ', 'g'), trim(regexp_replace(t, '\\s+', ' ', 'g')))))"),
+]))
+def c7(spark, d):
+    turns = table(spark, d, "conversations")
+    k, t = F.col("conv_id"), F.col("turn")
+    chapters = turns.select(k.alias("chapter")).distinct().unionByName(table(spark, d, "nation").select((F.col("n_nationkey") + 9000000).alias("chapter"))).withColumn("section_id", F.col("chapter"))
+    text = F.when(t % 3 == 1, F.concat("text", F.lit("zz"))).when(t % 3 == 2, F.replace(F.col("text"), F.lit(" "), F.lit("  "))).otherwise(F.col("text"))
+    items = turns.select(k.alias("chapter"), t.cast("long").alias("item"), F.when(t != 4, k).otherwise(k + 1).alias("section_id"), text.alias("text"), (t < 2).alias("core"), (t > 2).alias("extra"), F.when(t % 4 != 3, F.col("role")).otherwise(" ").alias("note"))
+    return S.passages(chapters, items, turns.select(k.alias("section_id"), "text"), "C7", {"all": 5, "core": 2, "extra": 3}, ("text", "note"), ("zz",), 70, 340)
+
+
+@query("c7_average", f"""WITH b AS (SELECT round_even(avg(length(coalesce(text, ''))), 1) AS b FROM documents), e AS (SELECT round_even(avg(length(text)), 1) AS e FROM benchmark WHERE text <> ''), x AS (SELECT round_even(avg(length(text)), 1) AS e FROM documents WHERE text <> ''), y AS (SELECT round_even(avg(length(coalesce(text, ''))), 1) AS b FROM benchmark)
+  {_found('C7.average', 'error', "'average_length'", 'average block length is not clearly above excerpt average', 'b, e WHERE b < greatest(90, e + 35)')} UNION ALL {_found('C7.average', 'error', "'average_length'", 'average block length is not clearly above excerpt average', 'x, y WHERE b < greatest(90, e + 35)')}""")
+def c7_average(spark, d):
+    docs, marks = table(spark, d, "documents").select("text"), table(spark, d, "benchmark").select("text")
+    return S.longer_blocks(docs, marks).unionByName(S.longer_blocks(marks, docs))
+
+
+@query("c8_workbench", f"""WITH {_BLOCKS}, tk AS (SELECT {numbered_sql("block-' || letter_id || '-", 'block_index', 3)} AS id, *, length(t) + CASE WHEN block_index % 3 = 0 THEN 1 ELSE 0 END AS stated, CASE WHEN core AND block_index = 1 THEN 'P0' END AS p0 FROM b1), pl AS (SELECT letter_id, count(*) AS n FROM tk GROUP BY 1) """ + _all([
+    ("C8.count", "error", "'tasks'", "('expected 125, got ' || n)", "(SELECT count(*) AS n FROM tk) WHERE n <> 125"), ("C8.letters", "error", "'tasks'", "('expected 25, got ' || n)", "(SELECT count(*) AS n FROM pl) WHERE n <> 25"), ("C8.p0", "error", "'tasks'", "('expected at least 25, got ' || n)", "(SELECT count(p0) AS n FROM tk) WHERE n < 25"),
+    ("C8.letter", "error", "letter_id", "fewer than 5 tasks", "pl WHERE n < 5"), ("C8.field", "error", "id", "missing block_text", f"tk WHERE {strip_sql('t')} = ''"), ("C8.length", "error", "id", "length does not match the text", "tk WHERE stated <> length(t)"), ("C8.blank", "error", "id", "reviewer must be blank", "tk WHERE block_index % 4 = 0"),
+]))
+def c8_workbench(spark, d):
+    made = U.review_tasks(blocks(spark, d), questions(spark, d))
+    i = F.col("block_index")
+    odd = made.withColumns({"reviewer": F.when(i % 4 == 0, "x").otherwise(""), "block_length": F.col("block_length") + F.when(i % 3 == 0, 1).otherwise(0)})
+    return S.workbench(odd, "block_task_id", ["letter_id", "block_index", "block_text", "review_question"], 125)
+
+
+_MANUAL = f"""{_TASKS}, mt AS (SELECT doc_id AS place, CASE WHEN doc_id % 20 <> 19 THEN 't' || (doc_id % 180) ELSE '' END AS task_id, CASE WHEN doc_id % 33 = 0 THEN 'P3' ELSE priority END AS priority,
+    CASE doc_id % 6 WHEN 0 THEN 'public_boundary' WHEN 1 THEN 'chapter_card' WHEN 2 THEN 'key_concept' WHEN 3 THEN 'chapter_card_sample' WHEN 4 THEN 'web_mirror' ELSE '' END AS category, CASE WHEN doc_id % 11 <> 0 THEN 'x' || (doc_id % 50) ELSE '' END AS target_id, result FROM tasks),
+  sm(kind, name, n) AS (VALUES ('total', '', 200), ('priority', 'P0', 18), ('priority', 'P1', 100), ('category', 'chapter_card', 33), ('category', 'key_concept', 33), ('category', 'web_mirror', NULL)),
+  rc AS (SELECT 'total' AS kind, '' AS name, count(*) AS m FROM mt UNION ALL SELECT 'priority', priority, count(*) FROM mt GROUP BY 2 UNION ALL SELECT 'category', category, count(*) FROM mt GROUP BY 2)"""
+
+
+@query("c12_manual_tasks", f"WITH {_MANUAL} " + _all([
+    ("C12.id", "error", "place", "task_id is required", "mt WHERE task_id = ''"), ("C12.id", "error", "place", "duplicate task_id", "(SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY place) AS i FROM mt) WHERE i > 1 AND task_id <> ''"),
+    ("C12.enum", "error", "place", "invalid priority", "mt WHERE priority = 'P3'"), ("C12.field", "error", "place", "missing category", "mt WHERE category = ''"), ("C12.field", "error", "place", "missing target_id", "mt WHERE target_id = ''"), ("C12.blank", "error", "place", "manual_result must be blank", "mt WHERE result <> ''"),
+    ("C12.summary", "error", "kind || '.' || name", "does not match the recount", "rc LEFT JOIN sm USING (kind, name) WHERE n IS DISTINCT FROM m"), ("C12.summary", "error", "kind", "counts do not sum to the total", "(SELECT kind, sum(n) AS s FROM sm WHERE kind <> 'total' GROUP BY 1) WHERE s <> (SELECT count(*) FROM mt)"),
+    *[("C12.coverage", "error", f"'{c}'", "no P0 task", f"(SELECT count(*) AS n FROM mt WHERE priority = 'P0' AND category = '{c}') WHERE n = 0") for c in ("public_boundary", "schema_status", "web_mirror", "quote_policy", "book_overview")],
+    *[("C12.coverage", "error", f"'{c}'", f"('expected {w}, got ' || n)", f"(SELECT count(DISTINCT target_id) AS n FROM mt WHERE category = '{c}') WHERE n <> {w}") for c, w in (("chapter_card", 25), ("key_concept", 5), ("reading_question", 26), ("quote_structural_entry", 25))],
+    ("C12.coverage", "error", "'chapter_card_sample'", "fewer than 5 P0 tasks", "(SELECT count(*) AS n FROM mt WHERE priority = 'P0' AND category = 'chapter_card_sample') WHERE n < 5"),
+]))
+def c12(spark, d):
+    k = F.col("doc_id")
+    kinds = F.array(*map(F.lit, ("public_boundary", "chapter_card", "key_concept", "chapter_card_sample", "web_mirror", "")))
+    made = tasks(spark, d).select(k.alias("place"), F.when(k % 20 != 19, F.concat(F.lit("t"), (k % 180).cast("string"))).alias("task_id"), F.when(k % 33 == 0, "P3").otherwise(F.col("priority")).alias("priority"), kinds[(k % 6).cast("int")].alias("category"),
+                                  F.when(k % 11 != 0, F.concat(F.lit("x"), (k % 50).cast("string"))).alias("target_id"), F.lit("q").alias("review_question"), F.col("result").alias("manual_result"))
+    stated = spark.createDataFrame([("total", "", 200), ("priority", "P0", 18), ("priority", "P1", 100), ("category", "chapter_card", 33), ("category", "key_concept", 33), ("category", "web_mirror", None)], "kind string, name string, n long")
+    return S.manual_tasks(made, stated)
+
+
+@query("c18_place_sources", "WITH p AS (SELECT c_custkey AS k, c_acctbal > 0 AS public, c_nationkey = 3 AS odd, c_nationkey < 5 AS bare FROM customer), n AS (SELECT count(*) FILTER (public AND NOT odd) AS n FROM p) " + _all([
+    ("C18.count", "error", "'places'", "not above 11 public sources", "n WHERE n <= 11"), ("C18.count", "warning", "'places'", "below 20 public sources", "n WHERE n < 20"), ("C18.stats", "error", "'stats'", "does not match the recount", "n WHERE n <> 7"),
+    ("C18.status", "error", "'places[' || k || ']'", "unexpected source_status", "p WHERE odd"), ("C18.field", "error", "'places[' || k || ']'", "missing source_url", "p WHERE public AND bare AND NOT odd"), ("C18.field", "error", "'places[' || k || ']'", "missing source_review_note", "p WHERE public AND bare AND NOT odd"),
+    ("C18.note", "error", "'places[' || k || ']'", "missing review note", "p WHERE NOT public AND bare AND NOT odd"),
+]))
+def c18(spark, d):
+    bare = F.col("c_nationkey") < 5
+    status = F.when(F.col("c_nationkey") == 3, None).when(F.col("c_acctbal") > 0, "public_source").otherwise("needs_source_review")
+    return S.place_sources(table(spark, d, "customer").select(F.col("c_custkey").alias("place"), status.alias("source_status"), F.col("c_name").alias("source_name"), F.when(~bare, "u").alias("source_url"), F.col("c_mktsegment").alias("source_type"), F.when(~bare, "n").otherwise("").alias("source_review_note"), F.lit(12).alias("updated_in")), 7)
+
+
+@query("c19_coordinates", "WITH p AS (SELECT c_custkey AS k, CASE WHEN c_acctbal > 5000 THEN 'public_coordinate' WHEN c_acctbal > 0 THEN 'needs_coordinate_review' WHEN c_nationkey < 9 THEN 'odd' END AS s, c_nationkey * 8 AS lat, c_nationkey AS nk FROM customer) " + _all([
+    ("C19.count", "error", "'places'", "('expected 66, got ' || n)", "(SELECT count(*) AS n FROM p) WHERE n <> 66"), ("C19.coverage", "warning", "'places'", "fewer than 35 places with a coordinate", "(SELECT count(*) AS n FROM p WHERE s = 'public_coordinate') WHERE n < 35"),
+    ("C19.status", "error", "'places[' || k || ']'", "missing coordinate_status", "p WHERE s IS NULL"), ("C19.status", "error", "'places[' || k || ']'", "unexpected coordinate_status", "p WHERE s = 'odd'"),
+    ("C19.point", "error", "'places[' || k || ']'", "missing or invalid lat/lng", "p WHERE s = 'public_coordinate' AND (lat > 90 OR nk = 2)"), ("C19.note", "error", "'places[' || k || ']'", "missing review note", "p WHERE s = 'needs_coordinate_review' AND nk < 12"),
+]))
+def c19(spark, d):
+    a, n = F.col("c_acctbal"), F.col("c_nationkey")
+    status = F.when(a > 5000, "public_coordinate").when(a > 0, "needs_coordinate_review").when(n < 9, "odd")
+    return S.coordinates(table(spark, d, "customer").select(F.col("c_custkey").alias("place"), status.alias("coordinate_status"), (n * 8.0).alias("lat"), F.when(n != 2, n * 1.0).alias("lng"), F.when(n >= 12, "n").alias("coordinate_review_note")))
