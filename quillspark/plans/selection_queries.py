@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.identity import identity
+from quillspark.operators import books as B
 from quillspark.operators import joins as J
 from quillspark.operators import selection as S
 from quillspark.operators import walks as K
 from quillspark.plans.registry import query, table
 from quillspark.plans.relational_queries import _KIND
-from quillspark.plans.text_queries import squash_sql, strip_sql
+from quillspark.plans.text_queries import count_sql, squash_sql, strip_sql
 
 # roles, scores, choice
 
@@ -160,13 +161,46 @@ _HEAD = "CASE doc_id % 5 WHEN 0 THEN '远行/张三 著' || chr(10) || '北京
 _HAN = "[\\x{4e00}-\\x{9fff}·]"
 
 
-@query("t24_identity", f"""WITH x AS (SELECT doc_id, {_HEAD} AS raw FROM documents), l AS (SELECT doc_id, raw, list_filter(list_transform(regexp_split_to_array(raw, '[\\r\\n]+'), lambda s: {strip_sql('s')}), lambda s: s <> '') AS ls FROM x),
+#: The identity of documents as books, by the heads above: m has what was found, _TOLD names it.
+_FOUND = f"""x AS (SELECT doc_id, {_HEAD} AS raw FROM documents), l AS (SELECT doc_id, raw, list_filter(list_transform(regexp_split_to_array(raw, '[\\r\\n]+'), lambda s: {strip_sql('s')}), lambda s: s <> '') AS ls FROM x),
   j AS (SELECT *, array_to_string(ls, chr(10)) AS t, list_transform(ls, lambda s: {squash_sql("replace(s, 'OCR 文本', '')")}) AS cs FROM l),
   m AS (SELECT *, nullif(regexp_extract(t, '([^\\n/]{{2,100}})/({_HAN}{{2,12}})\\s*著', 1), '') AS first, nullif(regexp_extract(raw, '(?m)^#\\s*(.+?)\\s+OCR\\s*文本', 1), '') AS heading,
     list_filter(cs[1:20], lambda c: length(c) BETWEEN 2 AND 50 AND NOT regexp_matches(c, 'ISBN|出版社|NEWSTAR|定价|上架建议'))[1] AS line, list_filter(ls[1:80], lambda s: regexp_matches(s, '^{_HAN}{{2,12}}\\s*[—\\-－]*\\s*著$'))[1] AS signed,
-    nullif(regexp_extract(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,12}}[：:]\\s*([^，,\\n]{{2,40}}出版社)[，,]\\s*\\d{{4}}(?:\\.\\d+)?', 1), '') AS press, nullif(regexp_extract(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,12}}[：:]\\s*[^，,\\n]{{2,40}}出版社[，,]\\s*(\\d{{4}}(?:\\.\\d+)?)', 1), '') AS day FROM j)
-  SELECT doc_id, coalesce(first, heading, line, 'none') AS title, coalesce(nullif(regexp_extract(t, '[^\\n/]{{2,100}}/({_HAN}{{2,12}})\\s*著', 1), ''), nullif(regexp_extract(signed, '^({_HAN}{{2,12}})', 1), '')) AS author,
-    coalesce(press, nullif(regexp_extract(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,30}}出版社'), '')) AS publisher, day AS publication_date, nullif(regexp_extract(t, 'ISBN\\s*([0-9\\-]{{10,20}})', 1), '') AS isbn FROM m""")
+    nullif(regexp_extract(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,12}}[：:]\\s*([^，,\\n]{{2,40}}出版社)[，,]\\s*\\d{{4}}(?:\\.\\d+)?', 1), '') AS press, nullif(regexp_extract(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,12}}[：:]\\s*[^，,\\n]{{2,40}}出版社[，,]\\s*(\\d{{4}}(?:\\.\\d+)?)', 1), '') AS day FROM j)"""
+_TOLD = f"""coalesce(first, heading, line, 'none') AS title, coalesce(nullif(regexp_extract(t, '[^\\n/]{{2,100}}/({_HAN}{{2,12}})\\s*著', 1), ''), nullif(regexp_extract(signed, '^({_HAN}{{2,12}})', 1), '')) AS author,
+    coalesce(press, nullif(regexp_extract(t, '[\\x{{4e00}}-\\x{{9fff}}]{{2,30}}出版社'), '')) AS publisher, day AS publication_date, nullif(regexp_extract(t, 'ISBN\\s*([0-9\\-]{{10,20}})', 1), '') AS isbn"""
+
+
+@query("t24_identity", f"WITH {_FOUND} SELECT doc_id, {_TOLD} FROM m")
 def t24(spark, d):
     book = table(spark, d, "documents").selectExpr("doc_id", f"{_HEAD} AS raw").select("doc_id", identity(F.col("raw"), F.lit("none")).alias("x"))
     return book.select("doc_id", "x.title", "x.author", "x.publisher", "x.publication_date", "x.isbn")
+
+
+def _occurs(word: str) -> str:
+    return f"(length(raw) - length(replace(raw, '{word}', ''))) // {len(word)}"
+
+
+_WORDS = {"route": (("tion", 3), ("ing", 1)), "letters": (("lich", 3), ("und", 1))}
+
+
+@query("g21_book_summary", f"""WITH {_FOUND}, t AS (SELECT m.doc_id, {_TOLD} FROM m), b AS (SELECT x.doc_id, raw, d.text, lang, source FROM x JOIN documents d USING (doc_id)),
+  h AS (SELECT b.*, doc_id % 3 = 0 AS opf, CASE WHEN length(t.title) <= 8 AND NOT contains(t.title, lang || '!') THEN lang || '!' WHEN t.title = 'none' THEN lang || '!' ELSE t.title END AS found, t.author AS by_line, t.publisher AS press, t.isbn AS num FROM b JOIN t USING (doc_id)),
+  r AS (SELECT doc_id, CASE WHEN opf THEN source ELSE found END AS title, CASE WHEN opf THEN CASE WHEN doc_id % 2 = 0 THEN lang END ELSE by_line END AS author, CASE WHEN NOT opf THEN press END AS publisher, CASE WHEN opf THEN 'id' || doc_id ELSE num END AS isbn, raw,
+    CASE doc_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS is_scanned_likely, CASE WHEN doc_id % 4 < 2 THEN 12 ELSE 1 END AS total_pages FROM h),
+  y AS (SELECT *, {count_sql("substr(raw, 1, 200000)", "[\\x{4e00}-\\x{9fff}]")} AS cjk, {count_sql("substr(raw, 1, 200000)", "[A-Za-z]")} AS lat, {_occurs('tion')} * 3 + {_occurs('ing')} AS a, {_occurs('lich')} * 3 + {_occurs('und')} AS b FROM r)
+  SELECT doc_id, CASE WHEN title IS NOT NULL AND author IS NOT NULL THEN 'identified' ELSE 'partial' END AS identity_status, title, author, publisher, isbn, is_scanned_likely, total_pages,
+    CASE doc_id % 4 WHEN 0 THEN 'scanned_pdf' WHEN 2 THEN 'epub' ELSE CASE WHEN doc_id % 5 = 0 THEN 'unknown' ELSE 'pdf' END END AS source_type, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 2 END AS chapter_candidates, round_even(CAST(length(raw) AS DOUBLE), 2) AS average_chars, CASE WHEN doc_id % 7 = 0 THEN '1' ELSE '' END AS review,
+    CASE WHEN cjk + lat = 0 THEN 'unknown' WHEN cjk > 0.7 * (cjk + lat) THEN 'zh-Hans' WHEN lat > 0.7 * (cjk + lat) THEN 'en' ELSE 'mixed' END AS language,
+    concat_ws('|', CASE WHEN a > b AND a >= 50 THEN 'route' WHEN b >= a AND b >= 50 THEN 'letters' END, CASE WHEN b >= a AND a >= greatest(50, floor(0.08 * b)) THEN 'route' WHEN a > b AND b >= greatest(50, floor(0.08 * a)) THEN 'letters' END) AS types FROM y""")
+def g21(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").selectExpr("doc_id", "lang", "source", f"{_HEAD} AS raw")
+    none = F.lit(None).cast("string")
+    opf = F.when(k % 3 == 0, F.struct(F.col("source").alias("title"), F.when(k % 2 == 0, F.col("lang")).alias("creator"), none.alias("language"), F.lit("").alias("publisher"), none.alias("date"), F.concat(F.lit("id"), k.cast("string")).alias("identifier"), none.alias("description")))
+    page = F.struct(F.lit(1).cast("long").alias("page"), F.col("raw").alias("text"), F.length("raw").cast("long").alias("char_count"), (k % 7 == 0).alias("needs_review"))
+    pdf = F.when(k % 4 < 2, F.array_repeat(F.when(k % 4 == 0, 29).otherwise(30), 12))
+    titles = F.when(k % 4 != 3, F.array(F.lit("one"), F.lit(" "), none, F.lit("two")))
+    made = rows.select("doc_id", F.concat("lang", F.lit("!")).alias("title"), F.col("raw").alias("text"), F.array(page).alias("pages"), opf.alias("metadata"), titles.alias("chapters"), F.when(k % 5 != 0, "pdf").alias("source_type"), pdf.alias("pdf_chars"), (k % 4 == 2).alias("epub"))
+    s = B.summaries(made, "doc_id", _WORDS)
+    return s.select("doc_id", "identity_status", "title", "author", "publisher", "isbn", "is_scanned_likely", "total_pages", "source_type", "chapter_candidates", F.col("ocr_status.average_chars").alias("average_chars"), F.array_join(F.transform("ocr_status.needs_review_pages", lambda p: p.cast("string")), ",").alias("review"), "language", F.array_join("content_types", "|").alias("types"))
