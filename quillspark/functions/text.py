@@ -52,8 +52,12 @@ def let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+#: What ends a line (form feeds stand between the pages of a PDF's text), what becomes a blank, what goes.
+_LINE_ENDS, _BLANK, _ZERO_WIDTH = "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029", "\xa0", "\u200b"
+
+
 def _clean_lines(text: Column) -> Column:
-    unified = F.replace(F.replace(F.replace(F.replace(or_empty(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(" "), F.lit(" ")), F.lit("​"), F.lit(""))
+    unified = F.translate(F.replace(or_empty(text), F.lit("\r\n"), F.lit("\n")), _LINE_ENDS + _BLANK + _ZERO_WIDTH, "\n" * len(_LINE_ENDS) + " ")
     return F.transform(F.split(unified, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t\x{3000}]+", " ")))
 
 
@@ -195,14 +199,16 @@ def claims(text: Column, hard: str = CLAIM_HARD, soft: str = CLAIM_SOFT, longest
     return F.filter(tidy, lambda p: (p != "") & ~plain_key(p).isin(*stop))
 
 
-def anchors(text: Column, names: tuple[str, ...], keywords: tuple[str, ...] = (), codes: str = ROAD_CODES, plain: tuple[str, ...] = ("1", "2", "3")) -> Column:
+def anchors(text: Column, names: tuple[str, ...] | Column, keywords: tuple[str, ...] = (), codes: str = ROAD_CODES, plain: tuple[str, ...] = ("1", "2", "3"), named_in: Column | None = None) -> Column:
     """Names and keywords that the text holds by plain_key, road codes in capitals without blanks, numbers but the commonest.
 
-    Anchors of one key are one, the first; those without a key are none.
+    Anchors of one key are one, the first; those without a key are none. names: given ones, or an array. named_in: the form of
+    the text that names are looked for in, where it is another; codes and numbers are those of the text as it stands.
     """
     t = or_empty(text)
-    listed = F.array(*[F.lit(n) for n in (*names, *keywords)]).cast("array<string>")
-    held = let(plain_key(t), lambda key: F.filter(listed, lambda n: F.contains(key, plain_key(n))))
+    fixed = F.array(*[F.lit(n) for n in keywords]).cast("array<string>")
+    listed = F.concat(names if isinstance(names, Column) else F.array(*[F.lit(n) for n in names]).cast("array<string>"), fixed)
+    held = let(plain_key(t if named_in is None else or_empty(named_in)), lambda key: F.filter(listed, lambda n: (n != "") & F.contains(key, plain_key(n))))
     found = F.concat(
         held,
         F.transform(F.regexp_extract_all(t, F.lit(codes), F.lit(0)), lambda c: F.replace(F.upper(c), F.lit(" "), F.lit(""))),

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import difflib
 import unicodedata
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,30 +30,75 @@ def match_key(text: Column) -> Column:
 WIDTHS, STEPS, WHOLE = (0.75, 0.9, 1.0, 1.1, 1.35), 5, 3
 
 
-def windows_of(text: str, n: int) -> Iterator[str]:
-    """The stretches of a text that a quote of n characters is compared with."""
-    if n <= WHOLE:
-        yield text
-        return
-    for width in sorted({int(n * share) for share in WIDTHS}):
-        yield from (text[at : at + width] for at in range(0, max(len(text) - width, 0) + 1, max(1, n // STEPS)))
+#: Characters of the quote that one machine word stands for in a bound; of longer quotes the parts' bounds add up.
+_WORD = 63
+
 
+def window_bounds(quote: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bound, start, end) of every window of the text that the quote is compared with.
 
-def window_ratio(quote: str, text: str) -> float:
-    """The best similarity of the quote with a window. The ratio is not symmetric: the quote is the first sequence."""
+    What two texts have in common in blocks, in order, is a common subsequence of both; so the ratio of a window is at most
+    twice the longest one over both lengths. That is found for all windows at once, a bit for each character of the quote:
+    windows of one start are prefixes of each other, so one pass over the widest gives the bounds of all.
+    """
+    n, size = len(quote), len(text)
+    if n <= WHOLE:
+        return np.array([1.0]), np.array([0]), np.array([size])
+    step, widths = max(1, n // STEPS), sorted({int(n * share) for share in WIDTHS})
+    q, t = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (quote, text))
+    letters, letter = np.unique(q, return_inverse=True)
+    place = np.minimum(np.searchsorted(letters, t), len(letters) - 1)
+    known = letters[place] == t
+    starts = np.arange(0, max(size - widths[0], 0) + 1, step)
+    common = np.zeros((len(widths), len(starts)), np.int64)
+    for at in range(0, n, _WORD):
+        part = letter[at : at + _WORD]
+        masks = np.zeros(len(letters), np.uint64)
+        np.bitwise_or.at(masks, part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
+        here = np.append(np.where(known, masks[place], np.uint64(0)), np.zeros(widths[-1], np.uint64))
+        full = np.uint64((1 << len(part)) - 1)
+        free = np.full(len(starts), full)
+        for k in range(widths[-1]):
+            hit = free & here[starts + k]
+            free = ((free + hit) | (free - hit)) & full
+            if k + 1 in widths:
+                common[widths.index(k + 1)] += len(part) - np.bitwise_count(free)
+    found = []
+    for row, width in zip(common, widths):
+        fits = starts <= max(size - width, 0)
+        ends = np.minimum(starts[fits] + width, size)
+        found.append((np.minimum(2.0 * row[fits] / (n + ends - starts[fits]), 1.0), starts[fits], ends))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def window_ratio(quote: str, text: str, floor: float = 0.0, first: bool = False) -> float | None:
+    """The best similarity of the quote with a window, or the first one found that reaches the floor; None if none does. The
+    ratio is not symmetric: the quote is the first sequence. Windows are compared from the highest bound down, until no bound is
+    above the best or reaches the floor."""
     if not quote or not text:
-        return 0.0
+        return 0.0 if floor <= 0 else None
     if quote in text:
         return 1.0
     best, matcher = 0.0, difflib.SequenceMatcher(None, quote, "")
-    for window in windows_of(text, len(quote)):
-        matcher.set_seq2(window)
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:  # upper bounds
+    bound, start, end = window_bounds(quote, text)
+    for k in np.argsort(-bound, kind="stable"):
+        if bound[k] <= best or bound[k] < floor:
+            break
+        matcher.set_seq2(text[start[k] : end[k]])
+        if matcher.quick_ratio() > best:
             best = max(best, matcher.ratio())
-    return best
+            if first and best >= floor:
+                break
+    return best if best >= floor else None
 
 
 @F.pandas_udf(DoubleType())
 def best_window_ratio(needles: pd.Series, hays: pd.Series) -> pd.Series:
     """window_ratio for each pair; meant for the few pairs that exact containment left over."""
     return pd.Series([window_ratio(a or "", b or "") for a, b in zip(needles, hays)])
+
+
+@F.pandas_udf(DoubleType())
+def near_window_ratio(needles: pd.Series, hays: pd.Series, floors: pd.Series) -> pd.Series:
+    """A similarity that reaches the floor, the first one found; null where none does, which most pairs' bounds tell alone."""
+    return pd.Series([window_ratio(a, b, f, True) if a and b else None for a, b, f in zip(needles, hays, floors)], dtype="float64")

@@ -5,16 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.udf import best_window_ratio, match_key
-
-#: A dimension is broadcast only when its size estimate is under this; else Spark chooses a shuffle join.
-BROADCAST_BYTES = 8 << 20
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if the optimiser's estimate of its size allows it."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+from quillspark.functions.text import strip
+from quillspark.functions.udf import best_window_ratio, match_key, near_window_ratio
+from quillspark.operators.qgrams import contained
+from quillspark.operators.qgrams import sent as small
+from quillspark.sources.kept import kept
 
 
 def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -35,13 +30,16 @@ def unknown_keys(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 def gazetteer_match(names: DataFrame, gazetteer: DataFrame, name: str = "name", entry: str = "entry", order: str = "ord") -> DataFrame:
     """name, entry, how: the exact entry, else the first in order that contains the name or lies in it, else missing.
 
-    Distinct names only are matched, and only those without an exact entry meet the gazetteer row by row: a bounded table,
-    broadcast under BROADCAST_BYTES.
+    Distinct names only are matched, and of those only the ones without an exact entry; an index over runs of characters
+    tells which entries may contain them or lie in them, so both sides may be large. Empty names and entries match nothing.
     """
+    first = gazetteer.groupBy(F.col(entry).alias("_entry")).agg(F.min(order).alias("_o"))
     distinct = names.select(name).distinct()
-    exact = distinct.join(gazetteer.groupBy(F.col(entry).alias(name)).agg(F.min(order).alias("_o")), name, "left")
-    rest = exact.where("_o IS NULL").select(name).where(F.col(name) != "")
-    near = rest.join(small(gazetteer), F.contains(F.col(name), F.col(entry)) | F.contains(F.col(entry), F.col(name))).groupBy(name).agg(F.min_by(entry, order).alias("_near"))
+    exact = kept(distinct.join(first.withColumnRenamed("_entry", name), name, "left"))
+    rest = exact.where("_o IS NULL").select(name)
+    within = contained(rest.select(name, F.col(name).alias("_n")), name, "_n", first.select("_entry", F.col("_entry").alias("_e")), "_entry", "_e")
+    around = contained(first.select("_entry", F.col("_entry").alias("_e")), "_entry", "_e", rest.select(name, F.col(name).alias("_n")), name, "_n")
+    near = within.unionByName(around).join(first, "_entry").groupBy(name).agg(F.min_by("_entry", "_o").alias("_near"))
     out = exact.join(near, name, "left")
     return out.select(name, F.when(F.col("_o").isNotNull(), F.col(name)).otherwise(F.col("_near")).alias(entry), F.when(F.col("_o").isNotNull(), "exact").when(F.col("_near").isNotNull(), "substring").otherwise("missing").alias("how"))
 
@@ -54,42 +52,54 @@ def shingles(text: Column, n: int) -> Column:
 
 
 def containment(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, text_id: str, text: str, gram: int = 5) -> DataFrame:
-    """(quote_id, text_id) where the text contains the quote.
+    """(quote_id, text_id) where the text contains the quote. Empty quotes lie in every text; those pairs are not listed.
 
     An equi join on one word n-gram of each quote finds the candidates (a quote's words all stand in a text that contains
-    it, but for the first and last, which a text may hold as parts of longer words), then the strings are compared. Quotes
-    of fewer than gram + 2 words are compared with every text; they are few and short.
+    it, but for the first and last, which a text may hold as parts of longer words), then the strings are compared. Where
+    the quotes' n-grams are of a size to be sent to every task, the text is at hand when one is met; else it is joined to
+    the candidates. Quotes of fewer than gram + 2 words are found by an index over runs of characters.
     """
     q = quotes.select(quote_id, quote).withColumn("_g", shingles(F.regexp_replace(F.col(quote), r"^\S*\s+|\s+\S*$", ""), gram))
-    probe = q.where(F.size("_g") > 0).select(quote_id, quote, F.array_min("_g").alias("_k"))
-    grams = texts.select(text_id, F.explode(F.array_distinct(shingles(F.col(text), gram))).alias("_k"))
-    candidates = grams.join(probe, "_k").select(text_id, quote_id, quote)
-    long = candidates.join(texts.select(text_id, text), text_id).where(F.contains(F.col(text), F.col(quote))).select(quote_id, text_id)
-    short = q.where(F.size("_g") == 0).join(texts.select(text_id, text), F.contains(F.col(text), F.col(quote))).select(quote_id, text_id)
-    return long.unionByName(short).distinct()
-
-
-def quote_status(refs: DataFrame, pages: DataFrame, page: str = "page", quote: str = "quote", key: Column | None = None, text: str = "text", short: int = 30, near_short: float = 0.78, near: float = 0.72) -> DataFrame:
+    q = kept(q.select(quote_id, quote, F.array_min("_g").alias("_k")))
+    probe, t = q.where("_k IS NOT NULL"), texts.select(text_id, text)
+    met = F.contains(F.col(text), F.col(quote))
+    sent = small(probe)
+    if sent is probe:
+        grams = t.select(text_id, F.explode(F.array_distinct(shingles(F.col(text), gram))).alias("_k"))
+        long = grams.join(probe, "_k").select(text_id, quote_id, quote).join(t, text_id).where(met)
+    else:
+        long = t.withColumn("_k", F.explode(F.array_distinct(shingles(F.col(text), gram)))).join(sent, "_k").where(met)
+    short = contained(q.where("_k IS NULL"), quote_id, quote, t, text_id, text)
+    return long.select(quote_id, text_id).unionByName(short).distinct()
+
+
+def quote_status(
+    refs: DataFrame, pages: DataFrame, page: str = "page", quote: str = "quote", key: Column | None = None, text: str = "text", short: int = 30, near_short: float = 0.78, near: float = 0.72, note: str | None = None, scores: bool = True
+) -> DataFrame:
     """Adds status and score to references: the page is looked up, then the quote in it, exactly and at last by similarity.
 
-    Only cited pages are normalised, and only references that exact containment leaves over reach the similarity function
-    with their texts; the others pass it as nulls.
+    missing_ref_field: no page, or a blank quote (or note, where a column of notes is named); invalid_page: no whole number;
+    missing_page; empty_quote: nothing but marks; found; approximate; citation_mismatch. Only cited pages are normalised, and
+    only references that exact containment leaves over reach the similarity function with their texts; the others pass it as
+    nulls. Without scores, the first window that is near decides; the score is then that one's, and null where none is near.
     """
     norm = key if key is not None else match_key
     number = F.col(page).try_cast("long")
     keyed = refs.withColumn("_page", number)
     cited = pages.withColumnRenamed("page", "_page").join(keyed.select("_page").distinct(), "_page", "left_semi")
     joined = keyed.withColumn("_quote", norm(F.col(quote))).join(cited.select("_page", norm(F.col(text)).alias("_text"), F.lit(True).alias("_there")), "_page", "left")
+    blank = lambda c: F.coalesce(strip(F.col(c).cast("string")) == "", F.lit(True))
     exact = (
-        F.when(F.col(page).isNull() | F.col(quote).isNull(), "missing_ref_field")
+        F.when(F.coalesce(F.col(page).cast("string") == "", F.lit(True)) | blank(quote) | (blank(note) if note else F.lit(False)), "missing_ref_field")
         .when(F.col("_page").isNull(), "invalid_page")
         .when(F.col("_there").isNull(), "missing_page")
         .when(F.col("_quote") == "", "empty_quote")
         .when(F.contains("_text", F.col("_quote")), "found")
     )
     left = F.col("_exact").isNull()
-    staged = joined.withColumn("_exact", exact).withColumn("_score", best_window_ratio(F.when(left, F.col("_quote")), F.when(left, F.col("_text"))))
     enough = F.when(F.length("_quote") < short, F.lit(near_short)).otherwise(F.lit(near))
+    pair = F.when(left, F.col("_quote")), F.when(left, F.col("_text"))
+    staged = joined.withColumn("_exact", exact).withColumn("_score", best_window_ratio(*pair) if scores else near_window_ratio(*pair, enough))
     status = F.coalesce("_exact", F.when(F.col("_score") >= enough, "approximate").otherwise("citation_mismatch"))
     score = F.when(left, F.col("_score")).when(F.col("_exact") == "found", 1.0).otherwise(0.0)
     return staged.withColumns({"status": status, "score": score}).drop("_page", "_quote", "_text", "_there", "_exact", "_score")

@@ -23,7 +23,9 @@ def count_sql(x: str, cls: str) -> str:
     return f"CAST(len(regexp_extract_all({x}, '{cls}')) AS BIGINT)"
 
 
-_LINES = f"""list_transform(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)),
+#: The ends of lines of Python's splitlines, as code points; then what becomes a blank and what goes.
+_ENDS = " || ".join(f"chr({c})" for c in (13, 11, 12, 28, 29, 30, 0x85, 0x2028, 0x2029))
+_LINES = f"""list_transform(string_split(translate(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), {_ENDS} || chr(160) || chr(8203), repeat(chr(10), 9) || ' '), chr(10)),
   lambda x: {strip_sql("regexp_replace(x, '[ \\t\\x{3000}]+', ' ', 'g')")})"""
 _NUM, _ORN = r"regexp_matches(x, '^\s*[-—–]?\s*\d{1,4}\s*[-—–]?\s*$')", "x IN ('|', '||', '_', '__', '·', '•')"
 _KEPT = f"array_to_string(list_filter(lines, lambda x: NOT {_NUM} AND NOT {_ORN}), chr(10))"
