@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.operators.windows import first_rows, numbered_rows
+from quillspark.operators.windows import numbered_rows
+from quillspark.sources.kept import kept
 
 
 def most_common(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -33,11 +34,13 @@ def result_pivot(tasks: DataFrame, group: str, result: str, groups: tuple[str, .
 
 
 def inverted_index(df: DataFrame, labels: str, key: str, order: str, refs: int = 5) -> DataFrame:
-    """label, n, the first keys in order, and a place by (most, label). Only ``refs`` keys of a label ever stand together."""
-    pairs = df.select(F.explode(F.array_distinct(labels)).alias("label"), F.col(order).alias("o"), F.col(key).alias("k"))
+    """label, n, the first keys in order, and a place by (most, label). Labels are taken apart once; a label's count is partly
+    made, and its rows cut down to ``refs``, in each task before the shuffle, so that a hot label is no more than that."""
+    pairs = kept(df.select(F.explode(F.array_distinct(labels)).alias("label"), F.col(order).alias("o"), F.col(key).alias("k")))
     counts = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    first = first_rows(pairs, ["label"], ["o", "k"], refs, "o").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("o", "k"))).alias("refs"))
-    found = counts.join(first, "label").select("label", "n", F.transform("refs", lambda r: r["k"]).alias("refs"))
+    placed = pairs.withColumn("_place", F.row_number().over(Window.partitionBy("label").orderBy("o", "k"))).where(F.col("_place") <= refs)
+    first = placed.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("o", "k"))).alias("refs"))
+    found = kept(counts.join(first, "label").select("label", "n", F.transform("refs", lambda r: r["k"]).alias("refs")))
     return numbered_rows(found, "place", [F.desc("n"), "label"], [-F.col("n"), F.substring("label", 1, 2)])
 
 

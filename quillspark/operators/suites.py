@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import checks as C
 from quillspark.operators import geo as G
+from quillspark.operators.rules import Each, Row, Total, compiled
 
 # What a segment's enumerations may hold, and what marks a text that stands for another.
 SEGMENT_VALUES = {
@@ -70,29 +71,29 @@ def route(segments: DataFrame, place: str = "place") -> DataFrame:
     refs = F.coalesce("refs", F.array().cast("array<struct<page:bigint,quote:string,note:string>>"))
     nothing = lambda c: F.coalesce(c, F.lit("")) == ""
     gap, noted = F.col("do_not_connect"), F.coalesce(F.size("gap_notes"), F.lit(0)) > 0
-    single = [_when("C1.field", "error", sid, f"missing {c}", nothing(F.col(c).cast("string")) | (F.col(c).cast("string") == "0" if c == "order" else F.lit(False))) for c in ("id", "order", "title")]
+    single = [Row("C1.field", "error", sid, f"missing {c}", nothing(F.col(c).cast("string")) | (F.col(c).cast("string") == "0" if c == "order" else F.lit(False))) for c in ("id", "order", "title")]
     for role in ("start", "end"):
         named = ~nothing(F.col(role)["name"])
-        single += [_when("C1.point", "error", sid, f"missing {role}.name", ~named), _when("C1.point", "error", sid, F.concat(F.lit(f"invalid coordinate for {role} "), F.col(role)["name"]), named & bad(F.col(role)))]
+        single += [Row("C1.point", "error", sid, f"missing {role}.name", ~named), Row("C1.point", "error", sid, F.concat(F.lit(f"invalid coordinate for {role} "), F.col(role)["name"]), named & bad(F.col(role)))]
     unplaced = F.exists(points, lambda p: p["lat"].isNull() | p["lng"].isNull())
     single += [
-        _when("C1.refs", "error", sid, "missing book_refs", F.size(refs) == 0),
-        _when("C1.coordinates", "error", sid, "missing coordinates but no review_notes", unplaced & (F.coalesce(F.col("review_notes"), F.lit("")) == "")),
-        _when("C1.gap", "error", sid, "missing gap_notes", F.col("gap_notes").isNull()),
-        _when("C1.gap", "error", sid, "missing do_not_connect", gap.isNull()),
-        _when("C1.gap", "error", sid, "do_not_connect requires gap_notes", gap & ~noted),
-        _when("C1.info", "info", sid, F.concat(F.lit("movement_type="), F.col("movement_type")), (F.col("movement_type") != "walked") & (F.col("movement_type") != "")),
-        _when("C1.info", "info", sid, "do_not_connect", gap),
+        Row("C1.refs", "error", sid, "missing book_refs", F.size(refs) == 0),
+        Row("C1.coordinates", "error", sid, "missing coordinates but no review_notes", unplaced & (F.coalesce(F.col("review_notes"), F.lit("")) == "")),
+        Row("C1.gap", "error", sid, "missing gap_notes", F.col("gap_notes").isNull()),
+        Row("C1.gap", "error", sid, "missing do_not_connect", gap.isNull()),
+        Row("C1.gap", "error", sid, "do_not_connect requires gap_notes", gap & ~noted),
+        Row("C1.info", "info", sid, F.concat(F.lit("movement_type="), F.col("movement_type")), (F.col("movement_type") != "walked") & (F.col("movement_type") != "")),
+        Row("C1.info", "info", sid, "do_not_connect", gap),
     ]
     for c, values in SEGMENT_VALUES.items():
-        single += [_when("C1.enum", "error", sid, f"missing {c}", F.col(c).isNull()), _when("C1.enum", "error", sid, f"invalid {c}", ~F.col(c).isin(*values))]
+        single += [Row("C1.enum", "error", sid, f"missing {c}", F.col(c).isNull()), Row("C1.enum", "error", sid, f"invalid {c}", ~F.col(c).isin(*values))]
     number = lambda what, i, rest: F.concat(F.lit(what), i.cast("string"), F.lit(rest))
     lists = [
-        _each(refs, lambda r, i: [_when("C1.refs", "error", sid, number("book_ref #", i, " must include page, quote, note"), r["page"].isNull() | nothing(r["quote"]) | nothing(r["note"])), _when("C1.quote", "warning", sid, number("book_ref #", i, " quote longer than 120 chars"), F.length(r["quote"]) > 120)]),
-        _each(points, lambda p, i: [_when("C1.point", "error", sid, F.concat(F.lit("invalid coordinate for "), F.coalesce(p["name"], F.lit(""))), bad(p))]),
+        Each(refs, lambda r, i: [Row("C1.refs", "error", sid, number("book_ref #", i, " must include page, quote, note"), r["page"].isNull() | nothing(r["quote"]) | nothing(r["note"])), Row("C1.quote", "warning", sid, number("book_ref #", i, " quote longer than 120 chars"), F.length(r["quote"]) > 120)]),
+        Each(points, lambda p, i: [Row("C1.point", "error", sid, F.concat(F.lit("invalid coordinate for "), F.coalesce(p["name"], F.lit(""))), bad(p))]),
     ]
-    order = segments.agg(F.bool_or(~F.col("order").eqNullSafe(F.col(place))).alias("_odd")).select(F.inline(F.array_compact(F.array(_when("C1.order", "error", F.lit("route"), "order must be consecutive", F.col("_odd"))))))
-    return order.unionByName(_inlined(segments, single, lists))
+    order = Total("C1.order", "error", "route", "order must be consecutive", {"odd": F.bool_or(~F.col("order").eqNullSafe(F.col(place)))}, lambda v: v["odd"])
+    return compiled(segments, [*single, *lists, order])
 
 
 def letters(df: DataFrame, expected: tuple[str, ...], markers: tuple[str, ...] = (), forbidden: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, StringType
 
+from quillspark.functions.text import strip
+from quillspark.sources.kept import kept
+
 PAGES = "page int, text string, char_count int, ocr_engine string, needs_review boolean, ocr_avg_score double"
 SECTIONS = "section_id string, `order` int, title string, href string, text string, char_count int, paragraph_count int, chunk_count int"
 CHUNKS = "chunk_id string, page_start int, page_end int, text string, char_count int"
@@ -28,6 +31,34 @@ def jsonl_bad_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.try_parse_json("value").isNull())
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1) and text of every line, however many blocks a file is read in.
+
+    A block's lines are counted where they are read; only the blocks' counts, a row each, are summed up by file. The rows of a
+    block stand together in one task, so the difference of their running ids to the block's first one is their place in it.
+    """
+    at = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*at, F.monotonically_increasing_id().alias("_id"), F.col("value").alias("text"))
+    blocks = lines.groupBy("file", "block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = kept(blocks.select("file", "block", (before - F.col("_first") + 1).alias("_shift")))
+    return lines.join(shifts, ["file", "block"]).select("file", (F.col("_id") + F.col("_shift")).alias("line"), "text")
+
+
+def line_findings(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """file, line, label, text: a row for each pattern that a line holds, in one pass over the lines."""
+    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(label)) for label, p in patterns.items()]))
+    return lines.select("file", "line", F.explode(hits).alias("label"), strip(F.col("text")).alias("text"))
+
+
+def jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines. Blank lines are skipped; the read fails at a line that is no JSON and says where that stands."""
+    lines = numbered_lines(spark, path).where(strip(F.col("text")) != "")
+    said = F.concat(F.lit("Invalid JSONL at "), F.col("file"), F.lit(":"), F.col("line").cast("string"))
+    checked = lines.select(F.when(F.try_parse_json("text").isNull(), F.raise_error(said).cast("string")).otherwise(F.col("text")).alias("text"))
+    return checked.select(F.from_json("text", schema).alias("_row")).select("_row.*")
+
+
 def jsonl_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A missing file is an empty table."""
     return jsonl(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
