@@ -607,3 +607,53 @@ def test_pipeline_of_an_empty_table(spark, none, tmp_path):
 
     none.write.parquet(f"file://{tmp_path}/sf/documents.parquet")
     assert C.run(spark, f"file://{tmp_path}/sf").count() == 0
+
+
+def test_a_dead_writer_stops_no_one(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/dead", target_bytes=60_000)
+    store.append(spark.range(10).select(F.col("id").alias("a")))
+    (tmp_path / "dead/versions/v00000002").write_text("")  # died before it wrote what the version is
+    (tmp_path / "dead/versions/_draft-1").write_text("{")
+    assert store.version() == 1 and store.append(spark.range(10, 13).select(F.col("id").alias("a"))) == 2
+    with pytest.raises(sharding.CommitConflict):
+        store.commit(store.manifest(), 2)
+    assert sorted(r.a for r in store.read().collect()) == list(range(13)) and sorted(r.a for r in store.read(1).collect()) == list(range(10))
+
+
+def test_names_that_differ_by_case_are_one_column(spark, tmp_path):
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/case")
+    store.append(spark.createDataFrame([(1, "x")], "A long, text string"))
+    store.append(spark.createDataFrame([(2, "y", 5)], "a long, TEXT string, New int"))
+    assert store.read().columns == ["A", "text", "New"] and plain(store.read().collect()) == plain([(1, "x", None), (2, "y", 5)])
+    for bad in ("a string", "b int, B int"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([], bad))
+    assert store.version() == 2
+
+
+def test_appends_between_compactions_and_what_vacuum_leaves(spark, tmp_path):
+    root = tmp_path / "many"
+    store = sharding.ShardStore(spark, f"file://{root}", target_bytes=4_000)
+    for k in range(4):
+        store.append(spark.range(k * 50, k * 50 + 50).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")).repartition(3), rows=5)
+        while store.compact():
+            pass
+    assert sorted(r.id for r in store.read().collect()) == list(range(200))
+    (root / "data/c99-orphan").mkdir()
+    (root / "data/c99-orphan/part-0").write_text("left by a failed attempt")
+    assert store.vacuum() > 0 and (root / "data/c99-orphan").exists()
+    store.vacuum(keep=1, grace_hours=-1)
+    live = {r.shard.rsplit("/", 1)[1] for r in store.manifest().collect()}
+    assert {f.name for f in root.glob("data/*/*.parquet")} == live
+    assert len(store.versions()) == len(list((root / "manifests").iterdir())) == 1 and not (root / "data/c99-orphan").exists()
+    assert sorted(r.id for r in store.read().collect()) == list(range(200))
+
+
+def test_one_round_merges_a_bounded_number_of_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "ROUND_SHARDS", 5)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/rounds", target_bytes=3_000)
+    store.append(spark.range(200).select("id").repartition(4), rows=10)
+    n, rounds = store.manifest().count(), 0
+    while store.compact():
+        rounds += 1
+    assert rounds > 1 and store.manifest().count() < n and store.read().count() == 200
