@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import has_marker, numbered
+from quillspark.sources.versioned import VersionedTable
 
 
 def priority(core: Column, first: Column, linked: Column) -> Column:
@@ -72,3 +73,74 @@ def decision_records(judged: DataFrame, columns: list[str]) -> DataFrame:
     """The usable decisions as a table of their own: the columns without outer white space, empty for null, and the time of the
     import. The task table stays as it is."""
     return judged.where("usable").select(*[_text(c).alias(c) for c in columns], F.current_timestamp().alias("imported_at"))
+
+
+# decisions that are written: a version of the task table, or nothing
+
+#: What an import and an update must be confirmed with, word for word, before the project or the task.
+IMPORT_PHRASE, UPDATE_PHRASE, UNCONFIRMED = "IMPORT MANUAL REVIEW DECISIONS INTO ", "UPDATE MANUAL REVIEW TASK ", "missing_exact_import_confirmation"
+
+
+def decided(tasks: DataFrame, usable: DataFrame, key: str, result: str = "manual_result") -> DataFrame:
+    """tasks with the result, notes, reviewer and time of the usable decisions (key, result, notes, reviewer, reviewed_at; a key once).
+
+    Columns for reviewer and time are added where there are none; what stays undecided keeps its values, null ones as empty texts.
+    A decision without a time takes the time of the import.
+    """
+    columns = [result, "notes", "reviewer", "reviewed_at"]
+    given = {"result": result, "notes": "notes", "reviewer": "reviewer", "reviewed_at": "reviewed_at"}
+    text = lambda c: _text(c) if c in usable.columns else F.lit("")
+    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    new = usable.select(key, *[text(c).alias(f"_new_{n}") for c, n in given.items()], F.lit(True).alias("_hit")).withColumn("_new_reviewed_at", F.when(F.col("_new_reviewed_at") == "", now).otherwise(F.col("_new_reviewed_at")))
+    for c in columns:
+        if c not in tasks.columns:
+            tasks = tasks.withColumn(c, F.lit(""))
+    joined = tasks.join(new, key, "left")
+    kept = [F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) if c in columns else F.col(c) for c in tasks.columns]
+    return joined.select(*kept)
+
+
+def import_decisions(store: VersionedTable, judged: DataFrame, key: str, project: str, apply: bool = False, confirm: str = "") -> dict:
+    """Writes the usable decisions as the table's next version, if that is asked for, confirmed word for word, and no row has a problem.
+
+    judged: what judged_decisions made of the file, with notes, reviewer and reviewed_at. Returns version (the newest after the call),
+    rows, usable, would_update, invalid, blockers (the problems by name, in order) and applied. Without apply it is a dry run.
+    """
+    version = store.version()
+    counts = judged.agg(F.count(F.lit(1)).alias("rows"), F.count_if("usable").alias("usable"), F.count_if(F.col("problem").isNotNull()).alias("invalid"), F.array_sort(F.collect_set("problem")).alias("blockers")).first()  # as many names as there are rules
+    blockers = list(counts["blockers"])
+    would = 0 if blockers else counts["usable"]
+    if apply and confirm != IMPORT_PHRASE + project:
+        blockers.append(UNCONFIRMED)
+    applied = apply and not blockers
+    if applied:
+        version = store.write(decided(store.read(version), judged.where("usable"), key), after=version)
+    return {"version": version, "rows": counts["rows"], "usable": counts["usable"], "would_update": would, "invalid": counts["invalid"], "blockers": blockers, "applied": applied}
+
+
+def update_result(
+    store: VersionedTable, ref: str, result: str, key: str, group: str, order: str, results: tuple[str, ...], need_notes: tuple[str, ...] = (), markers: tuple[str, ...] = (), notes: str = "", reviewer: str = "", apply: bool = False, confirm: str = ""
+) -> dict:
+    """One task's result as the table's next version: the task by its id, or as resolve_task finds it. Returns version, task and applied.
+
+    A result that is not among ``results``, lacks notes it needs, or has notes with a marker is refused; so are an unknown task and,
+    where the update is to be applied, another phrase than UPDATE_PHRASE and the task's id.
+    """
+    if result not in results:
+        raise ValueError(f"invalid result {result!r}: one of {sorted(results)}")
+    if result in need_notes and not notes.strip():
+        raise ValueError(f"{result} requires notes")
+    if held := [m for m in markers if m.lower() in notes.lower()]:
+        raise ValueError(f"notes hold forbidden markers: {held}")
+    version = store.version()
+    tasks = store.read(version)
+    found = resolve_task(tasks, tasks.sparkSession.createDataFrame([(ref,)], "ref string"), key, group, order).first()
+    if found is None:
+        raise ValueError(f"no task {ref!r}")
+    task = found[key]
+    if apply:
+        if confirm != f"{UPDATE_PHRASE}{task}":
+            raise ValueError(f"missing exact confirmation: {UPDATE_PHRASE}{task}")
+        one = tasks.sparkSession.createDataFrame([(task, result, notes, reviewer)], f"{key} {dict(tasks.dtypes)[key]}, result string, notes string, reviewer string")
+        version = store.write(decided(tasks, one, key), after=version)
+    return {"version": version, "task": task, "applied": apply}

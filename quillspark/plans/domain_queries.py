@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -14,6 +16,8 @@ from quillspark.operators import windows as W
 from quillspark.plans.registry import query, table
 from quillspark.plans.relational_queries import _TASKS, tasks
 from quillspark.plans.text_queries import CLAIMS_SQL, anchors_sql, key_sql, numbered_sql, strip_sql
+from quillspark.sources.kept import shared_folder
+from quillspark.sources.versioned import VersionedTable
 
 #: Segments of the benchmark tables: an order is a segment, its lines are the points in order.
 SEG = """pt AS (SELECT l_orderkey AS id, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS ord, 'P' || l_partkey AS name, CASE WHEN l_suppkey % 29 <> 0 THEN CAST((l_partkey * 7) % 120 - 60 AS DOUBLE) END AS lat,
@@ -165,6 +169,19 @@ def g11d(spark, d):
     return R.apply_decisions(standing, judged, "task_id")
 
 
+@query("g11_versioned_import", f"WITH {_JUDGED}, ok AS (SELECT task_id, result, notes FROM jd WHERE problem IS NULL AND result <> '') SELECT tk.task_id, coalesce(ok.result, current) AS manual_result, coalesce(ok.notes, '') AS notes, CASE WHEN ok.result IS NOT NULL THEN 'r' ELSE '' END AS reviewer, ok.result IS NOT NULL AS dated, CAST(2 AS BIGINT) AS version FROM tk LEFT JOIN ok USING (task_id)")
+def g11_versioned(spark, d):
+    """The task table after a broken file, which changes nothing, and a clean one, which makes its second version."""
+    judged, standing = decisions(spark, d)
+    judged = judged.withColumns({"reviewer": F.lit(" r "), "reviewed_at": F.lit("")})
+    store = VersionedTable(spark, f"{shared_folder(spark)}/tasks-{uuid.uuid4().hex[:12]}")
+    store.write(standing.withColumnRenamed("current", "manual_result"))
+    phrase = f"{R.IMPORT_PHRASE}guide"
+    R.import_decisions(store, judged, "task_id", "guide", apply=True, confirm=phrase)
+    R.import_decisions(store, judged.where("problem IS NULL"), "task_id", "guide", apply=True, confirm=phrase)
+    return store.read().select("task_id", "manual_result", "notes", "reviewer", (F.col("reviewed_at") != "").alias("dated"), F.lit(store.version()).cast("long").alias("version"))
+
+
 @query("g32_decision_template", f"WITH {_TASKS} SELECT doc_id, priority, '' AS review_result, '' AS reviewer FROM tasks")
 def g32(spark, d):
     return R.decision_template(tasks(spark, d), ["doc_id", "priority"], ["review_result", "reviewer"])
