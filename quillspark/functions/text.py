@@ -24,6 +24,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+def rstrip(c: Column) -> Column:
+    return F.regexp_replace(c, f"{WS}+$", "")
+
+
 def squash(c: Column) -> Column:
     """Runs of white space as one blank, none at the ends."""
     return strip(F.regexp_replace(c, f"{WS}+", " "))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.operators import release as R
 from quillspark.plans.guide_queries import _all
 from quillspark.plans.registry import query, table
-from quillspark.plans.text_queries import strip_sql
-from quillspark.sources import readers
+from quillspark.plans.text_queries import WS, strip_sql
+from quillspark.sources import readers, sinks
 from quillspark.sources.kept import shared_folder
 
 # C27: documents as text files, a file for each range of ids, and what their lines hold
@@ -137,3 +138,36 @@ def g39(spark, d):
     web = docs.where(k % 23 != 0).select(*columns, F.when(k % 19 == 0, "see Book.md").otherwise(F.col("text")).alias("body"))
     tasks = table(spark, d, "labels").select(F.when(k % 2 == 0, "tasks").otherwise("template").alias("kind"), k.cast("string").alias("task_id"), F.when(F.col("toxic") == 0, " ").otherwise("pass").alias("manual_result"))
     return R.preview_state(public, web, tasks)
+
+
+# K9, K10: sources as books whose pages are documents; sections that are put into texts again
+
+_PAGES_SQL = r"""SELECT source, count(*) AS pages, min(doc_id) AS first, max(doc_id) AS last, TRUE AS ordered, CAST(sum(length(doc_id::VARCHAR) * 2 + 33 + length(regexp_replace(replace(coalesce(text, ''), chr(13), ' '), '[\s\x{3000}\x{00A0}\x{0085}\x{2028}\x{2029}]+$', ''))) AS BIGINT) + length(source) + 4 AS chars FROM documents GROUP BY source"""
+
+
+@query("k9_book_pages", _PAGES_SQL)
+def k9(spark, d):
+    """The books as they are read back: their pages in order of the files' names and lines, and all their characters."""
+    path = f"{shared_folder(spark)}/books-{uuid.uuid4().hex[:12]}"
+    docs = table(spark, d, "documents").withColumn("text", F.translate("text", "\r", " "))
+    sinks.write_books(sinks.page_entries(docs, "source", "doc_id", "text", F.col("source")), path)
+    lines = readers.numbered_lines(spark, path).withColumn("source", F.regexp_extract("file", "book=([^/]+)/", 1))
+    number = F.regexp_extract("text", r"^<!-- page: (\d+) -->$", 1)
+    marks = lines.where(number != "").select("source", "file", "line", number.cast("long").alias("page"))
+    # pages ascend in a file, and no file's begin before the last one's end
+    in_file = marks.withColumn("_last", F.lag("page").over(Window.partitionBy("file").orderBy("line"))).groupBy("source", "file").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.count(F.lit(1)).alias("n"), F.coalesce(F.bool_and(F.col("page") > F.col("_last")), F.lit(True)).alias("ok"))
+    over = in_file.withColumn("_high", F.lag("high").over(Window.partitionBy("source").orderBy("file")))
+    found = over.groupBy("source").agg(F.sum("n").alias("pages"), F.min("low").alias("first"), F.max("high").alias("last"), F.bool_and(F.col("ok") & F.coalesce(F.col("low") > F.col("_high"), F.lit(True))).alias("ordered"))
+    chars = lines.groupBy("source").agg(F.sum(F.length("text") + 1).alias("chars"))
+    return found.join(chars, "source").select("source", "pages", "first", "last", "ordered", "chars")
+
+
+@query("k10_section_upsert", f"""WITH x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' ## Log' || chr(10) || 'old' WHEN doc_id % 3 = 1 THEN text WHEN doc_id % 6 = 2 THEN ' ' END AS t FROM documents)
+  SELECT doc_id, CASE WHEN contains(coalesce(t, ''), '## Log') THEN regexp_replace(string_split(t, '## Log')[1], '{WS}+$', '') || chr(10) || chr(10) WHEN {strip_sql("coalesce(t, '')")} <> '' THEN regexp_replace(t, '{WS}+$', '') || chr(10) || chr(10) ELSE chr(10) || chr(10) END || '## Log' || chr(10) || doc_id || chr(10) AS text FROM x""")
+def k10(spark, d):
+    """Put in twice: the second time changes nothing, but that a section without text before it gets its two line breaks."""
+    k = F.col("doc_id")
+    text = F.when(k % 3 == 0, F.concat("text", F.lit(" ## Log\nold"))).when(k % 3 == 1, F.col("text")).when(k % 6 == 2, " ")
+    section = F.concat(F.lit("## Log\n"), k.cast("string"), F.lit("\n\n"))
+    once = table(spark, d, "documents").select("doc_id", sinks.with_section(text, "## Log", section).alias("text"))
+    return once.select("doc_id", sinks.with_section(F.col("text"), "## Log", section).alias("text"))

@@ -90,3 +90,23 @@ def test_strict_lines_say_where_they_break(spark, tmp_path, small_blocks):
     (tmp_path / "bad.jsonl").write_text("\n".join(rows))
     with pytest.raises(Exception, match=r"Invalid JSONL at .*bad\.jsonl:141"):
         readers.jsonl_strict(spark, f"file://{tmp_path}/bad.jsonl", "page int, text string").collect()
+
+
+def test_books_are_their_files_in_order(spark, tmp_path):
+    from quillspark.sources import sinks
+
+    rows = [(b, p, f"text {p} of {b}\n\n  " if p % 3 else None) for b in ("a", "b b") for p in range(1, 60)]
+    pages = spark.createDataFrame(rows, "book string, page int, text string").repartition(7)
+    sinks.write_books(sinks.page_entries(pages, "book", "page", "text", F.concat(F.lit("Book "), F.col("book"))), f"file://{tmp_path}/out")
+    for b, folder in (("a", "book=a"), ("b b", "book=b b")):
+        files = sorted((tmp_path / "out" / folder).glob("*.txt"))
+        want = "\n".join([f"# Book {b}", "", *(x for bb, p, t in rows if bb == b for x in (f"<!-- page: {p} -->", f'<a id="p{p}"></a>', "", (t or "").rstrip()))]) + "\n"
+        assert "".join(f.read_text() for f in files) == want
+    assert sum(1 for _ in (tmp_path / "out").glob("*/*.txt")) > 2
+
+
+def test_sections_are_put_in_once(spark):
+    from quillspark.sources.sinks import with_section
+
+    put = lambda t: spark.createDataFrame([(t,)], "t string").select(with_section(F.col("t"), "## M", F.lit("## M\n\n- x  \n")).alias("t")).first().t
+    assert put(None) == put("  ") == "## M\n\n- x\n" and put("text \n") == "text\n\n## M\n\n- x\n" == put("text\n\n## M\nold\n## M\nolder")
