@@ -210,7 +210,7 @@ def g1(spark, d):
     page = F.when(k % 9 == 0, "x").when(k % 9 == 1, F.lit(None)).when(k % 9 == 2, (k + 9000000).cast("string")).otherwise(k.cast("string"))
     once = lambda at: ~F.contains(F.col("text").substr(F.lit(at + 1), F.length("text")), F.substring("text", at, 12))
     near = F.concat(F.substring("text", 21, 40), F.lit("zq"), F.substring("text", 61, 40))
-    quote = F.when(k % 9 == 3, "!?").when(k % 9 == 4, " ").when((k % 9 == 7) & (F.length("text") > 300), near).when(k % 9 == 8, "☂☃" * 20).otherwise(F.substring("text", 10, 40))
+    quote = F.when(k % 9 == 3, "!?").when(k % 9 == 4, " ").when((k % 9 == 7) & (F.length("text") > 300) & once(21) & once(61), near).when(k % 9 == 8, "☂☃" * 20).otherwise(F.substring("text", 10, 40))
     refs = docs.select(k.alias("ref_id"), page.alias("page"), quote.alias("quote"), F.when(k % 9 == 5, " ").otherwise("n").alias("note"))
     return J.quote_status(refs, docs.withColumnRenamed("doc_id", "page"), note="note", scores=False).select("ref_id", "status")
 
