@@ -71,6 +71,16 @@ def window_bounds(quote: str, text: str) -> tuple[np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _common(masks: dict[str, int], low: int, high: int, text: str) -> int:
+    """The length of the longest common subsequence of text and the quote's characters low to high. masks: where each stands."""
+    full = (1 << (high - low)) - 1
+    free = full
+    for c in text:
+        hit = free & (masks.get(c, 0) >> low)
+        free = ((free + hit) | (free - hit)) & full
+    return high - low - free.bit_count()
+
+
 def window_ratio(quote: str, text: str, floor: float = 0.0, first: bool = False) -> float | None:
     """The best similarity of the quote with a window, or the first one found that reaches the floor; None if none does. The
     ratio is not symmetric: the quote is the first sequence. Windows are compared from the highest bound down, until no bound is
@@ -81,14 +91,22 @@ def window_ratio(quote: str, text: str, floor: float = 0.0, first: bool = False)
         return 1.0
     best, matcher = 0.0, difflib.SequenceMatcher(None, quote, "")
     bound, start, end = window_bounds(quote, text)
+    masks: dict[str, int] = {}
+    for i, c in enumerate(quote):
+        masks[c] = masks.get(c, 0) | 1 << i
     for k in np.argsort(-bound, kind="stable"):
         if bound[k] <= best or bound[k] < floor:
             break
-        matcher.set_seq2(text[start[k] : end[k]])
-        if matcher.quick_ratio() > best:
-            best = max(best, matcher.ratio())
-            if first and best >= floor:
-                break
+        window = text[start[k] : end[k]]
+        matcher.set_seq2(window)
+        if len(quote) > WHOLE:  # what is left and right of the longest block cannot cross it
+            a, b, n = matcher.find_longest_match()
+            most = 2.0 * (n + _common(masks, 0, a, window[:b]) + _common(masks, a + n, len(quote), window[b + n :])) / (len(quote) + len(window))
+            if most <= best or most < floor:
+                continue
+        best = max(best, matcher.ratio())
+        if first and best >= floor:
+            break
     return best if best >= floor else None
 
 
