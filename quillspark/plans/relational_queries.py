@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.operators import aggregates as A
+from quillspark.operators import chunks as C
 from quillspark.operators import joins as J
 from quillspark.operators import windows as W
 from quillspark.plans.registry import query, table
@@ -297,12 +298,21 @@ def w5(spark, d):
     return chunks.select("doc_id", (F.col("i") + 1).cast("long").alias("chunk"), "text")
 
 
-@query("w4_chunk_across_pages")
+_ACROSS = _FOLD.split("p AS (SELECT doc_id,")[1].split(" AS ps FROM documents")[0]
+
+
+@query("w4_chunk_across_pages", f"""WITH RECURSIVE d AS (SELECT source, doc_id,{_ACROSS} AS ps FROM documents), u AS (SELECT source, doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM d),
+  r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, i) AS k, length(p) AS s FROM u), b AS (SELECT source, list(s ORDER BY k) AS ss FROM r GROUP BY source),
+  f AS (SELECT source, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS no, CAST(0 AS BIGINT) AS last, CAST(0 AS BIGINT) AS n FROM b UNION ALL
+        SELECT source, k + 1, CASE WHEN ss[k + 1] <= 3500 AND n > 0 AND n + ss[k + 1] + 2 <= 3500 THEN last ELSE last + 1 END, CASE WHEN ss[k + 1] > 3500 THEN last + (ss[k + 1] + 3499) // 3500 WHEN n > 0 AND n + ss[k + 1] + 2 <= 3500 THEN last ELSE last + 1 END,
+          CASE WHEN ss[k + 1] > 3500 THEN 0 WHEN n > 0 AND n + ss[k + 1] + 2 <= 3500 THEN n + ss[k + 1] + 2 ELSE ss[k + 1] END FROM f JOIN b USING (source) WHERE k < len(ss)),
+  c AS (SELECT source, k, doc_id, no, p, unnest(range((s + 3499) // 3500)) AS cut FROM f JOIN r USING (source, k)),
+  t AS (SELECT source, no + cut AS chunk, min(doc_id) AS first_page, max(doc_id) AS last_page, string_agg(substr(p, cut * 3500 + 1, 3500), chr(10) || chr(10) ORDER BY k) AS text FROM c GROUP BY ALL)
+  SELECT source, {numbered_sql('chunk-', 'chunk', 4)} AS chunk_id, first_page, last_page, length(text) AS char_count, sha256(text) AS text_sha FROM t""")
 def w4(spark, d):
-    parts = table(spark, d, "documents").select("source", "doc_id", F.posexplode(T.paragraphs(F.col("text"), "\n")).alias("i", "p"))
-    book = parts.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "i", "p"))).alias("xs"))
-    chunks = book.select("source", F.posexplode(W.chunk_sliced(F.transform("xs", lambda x: F.struct(x["doc_id"].alias("page"), x["p"].alias("text"))), 3500)).alias("i", "c"))
-    return chunks.select("source", T.numbered("chunk-", F.col("i") + 1, 4).alias("chunk_id"), "c.first_page", "c.last_page", F.length("c.text").cast("long").alias("char_count"), F.sha2("c.text", 256).alias("text_sha"))
+    pages = table(spark, d, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("page"), T.paragraphs(F.col("text"), "\n").alias("parts"))
+    chunks = C.pages_chunked(pages, 3500)
+    return chunks.select(F.col("book").alias("source"), T.numbered("chunk-", F.col("chunk"), 4).alias("chunk_id"), "first_page", "last_page", F.length("text").cast("long").alias("char_count"), F.sha2("text", 256).alias("text_sha"))
 
 
 @query("w7_keep_first", "SELECT min(doc_id) AS doc_id, sha256(text) AS sha FROM documents GROUP BY text")
