@@ -57,10 +57,47 @@ def line_feature(key: Column, points: Column, gap: Column) -> Column:
     return F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(key.alias("id")).alias("properties"), F.when(drawable, line).alias("geometry")), {"ignoreNullFields": "false"})
 
 
-def feature_collection(features: DataFrame, feature: str, order: str) -> DataFrame:
-    """One row: the collection as text. Meant for exports, whose size is a report's."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, feature))), lambda x: x[feature])
-    return features.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(parts, ","), F.lit("]}")).alias("geojson"))
+def route_feature(key: Column, points: Column, gap: Column, properties: list[Column]) -> Column:
+    """A GeoJSON feature of a segment: as line_feature, with the names of its ends, the state of its coordinates, whether its geometry
+    is missing and why, and the given properties."""
+    closed = F.coalesce(gap, F.lit(False))
+    drawable = ~closed & (F.size(points) >= 2) & F.forall(points, has_coordinates)
+    line = F.struct(F.lit("LineString").alias("type"), F.transform(points, lambda p: F.array(p["lng"], p["lat"])).alias("coordinates"))
+    about = F.struct(
+        key.alias("segment_id"), F.get(points, F.lit(0))["name"].alias("start_name"), F.try_element_at(points, F.lit(-1))["name"].alias("end_name"), coordinate_state(points).alias("coordinate_confidence"),
+        (~drawable).alias("missing_geometry"), closed.alias("route_gap"), *properties,
+    )
+    return F.to_json(F.struct(F.lit("Feature").alias("type"), F.when(drawable, line).alias("geometry"), about.alias("properties")), {"ignoreNullFields": "false"})
+
+
+def place_features(segments: DataFrame, key: str, points: str, pages: str, properties: list[Column]) -> DataFrame:
+    """key, turn and feature: a GeoJSON point for each point with coordinates, on the segment's first page; its turn is 0 for the
+    start, 1 for the end, and from 2 on for those between."""
+    p = segments.select(key, F.array_min(pages).alias("_page"), F.struct(*properties).alias("_about"), F.size(points).alias("_n"), F.posexplode(points).alias("_i", "p")).where(has_coordinates(F.col("p")))
+    i, last = F.col("_i"), F.col("_i") == F.col("_n") - 1
+    role = F.when(i == 0, "start").when(last, "end").otherwise("via")
+    shape = F.struct(F.lit("Point").alias("type"), F.array("p.lng", "p.lat").alias("coordinates"))
+    about = F.struct(F.col("p.name").alias("name"), F.col(key).alias("segment_id"), role.alias("role"), F.col("_page").alias("page"), F.col("p.confidence").alias("coordinate_confidence"), "_about.*")
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), about.alias("properties")), {"ignoreNullFields": "false"})
+    return p.select(key, F.when(i == 0, 0).when(last, 1).otherwise(i + 1).cast("long").alias("turn"), feature.alias("feature"))
+
+
+#: The labels of a chain's points.
+POINT_LABELS = ("起点", "终点", "途经")
+
+
+def point_label(number: Column, place: Column, n: Column, name: Column) -> Column:
+    """The segment's number in two digits, the point's label, its name."""
+    label = F.when(place == 0, POINT_LABELS[0]).when(place == n - 1, POINT_LABELS[1]).otherwise(F.concat(F.lit(POINT_LABELS[2]), place.cast("string")))
+    return F.concat_ws(" ", numbered("", number, 2), label, F.coalesce(name, F.lit("")))
+
+
+def labelled_track(number: Column, points: Column, gap: Column) -> Column:
+    """A track segment, a point a line, named by label; null where fewer than two points have coordinates or not to be connected."""
+    n = F.size(points)
+    rows = F.transform(points, lambda p, i: F.when(has_coordinates(p), F.concat(F.lit('      <trkpt lat="'), p["lat"].cast("string"), F.lit('" lon="'), p["lng"].cast("string"), F.lit('"><name>'), xml_escape(point_label(number, i, n, p["name"])), F.lit("</name></trkpt>"))))
+    known = F.filter(rows, lambda r: r.isNotNull())
+    return F.when(~F.coalesce(gap, F.lit(False)) & (F.size(known) >= 2), F.concat(F.lit("    <trkseg>\n"), F.array_join(known, "\n"), F.lit("\n    </trkseg>")))
 
 
 def waypoints(segments: DataFrame, key: str, points: str) -> DataFrame:
