@@ -9,6 +9,14 @@ from quillspark.operators.windows import numbered_rows
 from quillspark.sources.kept import kept
 
 
+def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str, name: str) -> DataFrame:
+    """keys and an array of the distinct values, each where it first stands by order; nulls are left out, of equal places the lesser
+    value comes first. Repeats shrink to one row a value before a key's values meet."""
+    first = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.min(order).alias("_at"))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("_at"), F.col(value).alias("v"))))
+    return first.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias(name))
+
+
 def most_common(df: DataFrame, key: str, order: str) -> DataFrame:
     """key, n, first_seen and place: most frequent first, ties by first occurrence."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen"))

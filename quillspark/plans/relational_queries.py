@@ -401,6 +401,18 @@ def u2(spark, d):
     return table(spark, d, "customer").select("c_nationkey").subtract(table(spark, d, "supplier").select("s_nationkey"))
 
 
+@query("u2_unlabelled", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+def u2_unlabelled(spark, d):
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
+
+
+@query("u5_ordered_distinct", "SELECT conv_id, string_agg(role, '|' ORDER BY t DESC) AS roles FROM (SELECT conv_id, role, max(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id")
+def u5(spark, d):
+    """The roles of a conversation, read from its end."""
+    turns = table(spark, d, "conversations").select("conv_id", "role", (-F.col("turn")).alias("back"))
+    return A.ordered_distinct(turns, ["conv_id"], "role", "back", "roles").withColumn("roles", F.array_join("roles", "|"))
+
+
 @query("u3_intersection", "SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def u3(spark, d):
     return table(spark, d, "customer").select("c_nationkey").intersect(table(spark, d, "supplier").select("s_nationkey"))

@@ -54,6 +54,12 @@ def t1(spark, d):
     return done.select("doc_id", "cleaned", F.array_join("notes", "|").alias("notes"))
 
 
+@query("a13_note_counts", CLEAN_SQL + f"""SELECT note, count(*) AS documents FROM (SELECT unnest([CASE WHEN length(text) > 200 AND length(cleaned) < length(text) * 0.5 THEN 'large cleanup delta' END,
+  CASE WHEN len(list_filter(lines, lambda x: {_NUM})) > 0 THEN 'removed isolated page number' END, CASE WHEN len(list_filter(lines, lambda x: {_ORN})) > 0 THEN 'removed ornamental noise' END]) AS note FROM c) WHERE note IS NOT NULL GROUP BY note""")
+def a13(spark, d):
+    return table(spark, d, "documents").select(F.explode(T.cleaning_notes(F.col("text"))).alias("note")).groupBy("note").agg(F.count(F.lit(1)).alias("documents"))
+
+
 @query("t2_suspect_text", f"""SELECT doc_id, length({strip_sql("text")}) < 80 OR {count_sql("text", "[�□■◆◇]")} > 5
   OR ({count_sql("text", "[A-Za-z]")} > 1.2 * {count_sql("text", "[\\x{4e00}-\\x{9fff}]")} AND {count_sql("text", "[\\x{4e00}-\\x{9fff}]")} < 50) AS suspect FROM documents""")
 def t2(spark, d):
@@ -280,7 +286,7 @@ def t36(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.substring_index("o_orderpriority", "-", 1).try_cast("long").alias("rank"), F.col("o_orderpriority").try_cast("long").alias("none"))
 
 
-@query("t37_first_truthy", "SELECT doc_id, coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END), ''), CASE WHEN doc_id % 3 = 0 THEN lang END, source) AS named FROM documents")
+@query("t37_first_truthy", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE '' END, ''), CASE WHEN doc_id % 3 = 0 THEN lang END, source) AS named FROM documents")
 def t37(spark, d):
     k = F.col("doc_id")
     return table(spark, d, "documents").select("doc_id", T.first_truthy(F.when(k % 2 == 0, F.lit(" ")).otherwise(F.lit("")), F.when(k % 3 == 0, F.col("lang")), F.col("source")).alias("named"))
