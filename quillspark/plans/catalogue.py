@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillspark.plans import document_queries, domain_queries, guide_queries, letter_queries, registry, relational_queries, release_queries, resolution_queries, selection_queries, source_queries, text_queries  # noqa: F401
+from quillspark.plans import decision_queries, document_queries, domain_queries, guide_queries, letter_queries, registry, relational_queries, release_queries, resolution_queries, selection_queries, source_queries, text_queries  # noqa: F401
 
 flagship = source_queries.flagship
 
