@@ -54,10 +54,17 @@ def t1(spark, d):
     return done.select("doc_id", "cleaned", F.array_join("notes", "|").alias("notes"))
 
 
-@query("a13_note_counts", CLEAN_SQL + f"""SELECT note, count(*) AS documents FROM (SELECT unnest([CASE WHEN length(text) > 200 AND length(cleaned) < length(text) * 0.5 THEN 'large cleanup delta' END,
+#: Every third document ends in a page number, every fifth in an ornament, every seventh has more white space than text.
+_NOTED = "(SELECT * EXCLUDE (text), text || CASE WHEN doc_id % 3 = 0 THEN chr(10) || '- 12 -' ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '||' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN repeat(' ', length(text) + 300) ELSE '' END AS text FROM documents)"
+
+
+@query("a13_note_counts", CLEAN_SQL.replace("FROM documents", "FROM " + _NOTED) + f"""SELECT note, count(*) AS documents FROM (SELECT unnest([CASE WHEN length(text) > 200 AND length(cleaned) < length(text) * 0.5 THEN 'large cleanup delta' END,
   CASE WHEN len(list_filter(lines, lambda x: {_NUM})) > 0 THEN 'removed isolated page number' END, CASE WHEN len(list_filter(lines, lambda x: {_ORN})) > 0 THEN 'removed ornamental noise' END]) AS note FROM c) WHERE note IS NOT NULL GROUP BY note""")
 def a13(spark, d):
-    return table(spark, d, "documents").select(F.explode(T.cleaning_notes(F.col("text"))).alias("note")).groupBy("note").agg(F.count(F.lit(1)).alias("documents"))
+    k = F.col("doc_id")
+    end = lambda by, t: F.when(k % by == 0, t).otherwise("")
+    noted = F.concat("text", end(3, "\n- 12 -"), end(5, "\n||"), end(7, F.repeat(F.lit(" "), F.length("text") + 300)))
+    return table(spark, d, "documents").select(F.explode(T.cleaning_notes(noted)).alias("note")).groupBy("note").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("t2_suspect_text", f"""SELECT doc_id, length({strip_sql("text")}) < 80 OR {count_sql("text", "[�□■◆◇]")} > 5
