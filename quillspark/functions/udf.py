@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import itertools
 import unicodedata
 
 import numpy as np
@@ -34,6 +35,31 @@ WIDTHS, STEPS, WHOLE = (0.75, 0.9, 1.0, 1.1, 1.35), 5, 3
 _WORD = 63
 
 
+def _coded(quotes: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """The characters of all quotes in a row and where each begins, those of the texts, and how many letters the quotes have: a
+    letter is its place among them; what no quote has is the number after the last."""
+    points = [np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in (quotes, texts)]
+    letters, q = np.unique(points[0], return_inverse=True)
+    place = np.minimum(np.searchsorted(letters, points[1]), len(letters) - 1)
+    kind = np.uint8 if len(letters) < 250 else np.uint32
+    t = np.where(letters[place] == points[1], place, len(letters))
+    return q.astype(kind), np.cumsum([0, *map(len, quotes)]), t.astype(kind), np.cumsum([0, *map(len, texts)]), len(letters)
+
+
+def _cut(codes: np.ndarray, low: np.ndarray, high: np.ndarray, pad: int) -> np.ndarray:
+    """A column for each stretch of codes, from low to high, filled up with pad."""
+    at = low + np.arange(int((high - low).max()))[:, None]
+    return np.where(at < high, codes[np.minimum(at, len(codes) - 1)], codes.dtype.type(pad)) if len(at) else np.zeros((0, len(low)), codes.dtype)
+
+
+def _places(a: np.ndarray, letters: int) -> np.ndarray:
+    """[column, letter]: where each letter stands among at most _WORD characters of a column of a, a bit each."""
+    masks, every = np.zeros((a.shape[1], letters), np.uint64), np.arange(a.shape[1])
+    for i, row in enumerate(a):
+        masks[every, row] |= np.uint64(1 << i)
+    return masks
+
+
 def window_bounds(quote: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bound, start, end) of every window of the text that the quote is compared with.
 
@@ -41,34 +67,40 @@ def window_bounds(quote: str, text: str) -> tuple[np.ndarray, np.ndarray, np.nda
     twice the longest one over both lengths. That is found for all windows at once, a bit for each character of the quote:
     windows of one start are prefixes of each other, so one pass over the widest gives the bounds of all.
     """
-    n, size = len(quote), len(text)
+    q, q0, t, t0, letters = _coded([quote], [text])
+    return _bounds(q, q0[:1], t, t0[:-1], t0[1:], len(quote), letters)[0]
+
+
+def _bounds(quotes: np.ndarray, q0: np.ndarray, texts: np.ndarray, t0: np.ndarray, t1: np.ndarray, n: int, letters: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """window_bounds of several quotes, all of n characters, and their texts."""
+    sizes = (t1 - t0).tolist()
     if n <= WHOLE:
-        return np.array([1.0]), np.array([0]), np.array([size])
+        return [(np.array([1.0]), np.array([0]), np.array([size])) for size in sizes]
     step, widths = max(1, n // STEPS), sorted({int(n * share) for share in WIDTHS})
-    q, t = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (quote, text))
-    letters, letter = np.unique(q, return_inverse=True)
-    place = np.minimum(np.searchsorted(letters, t), len(letters) - 1)
-    known = letters[place] == t
-    starts = np.arange(0, max(size - widths[0], 0) + 1, step)
-    common = np.zeros((len(widths), len(starts)), np.int64)
+    starts = np.arange(0, max(max(sizes) - widths[0], 0) + 1, step)
+    reach, every = int(starts[-1]) + 1, np.arange(len(sizes))[:, None]
+    a, b = _cut(quotes, q0, q0 + n, letters).T, _cut(texts, t0, t1, letters).T
+    b = np.concatenate([b, np.full((len(b), reach + widths[-1] - b.shape[1]), letters, b.dtype)], axis=1) if reach + widths[-1] > b.shape[1] else b
+    common = np.zeros((len(widths), len(sizes), len(starts)), np.int64)
     for at in range(0, n, _WORD):
-        part = letter[at : at + _WORD]
-        masks = np.zeros(len(letters), np.uint64)
-        np.bitwise_or.at(masks, part, np.uint64(1) << np.arange(len(part), dtype=np.uint64))
-        here = np.append(np.where(known, masks[place], np.uint64(0)), np.zeros(widths[-1], np.uint64))
-        full = np.uint64((1 << len(part)) - 1)
-        free = np.full(len(starts), full)
+        part = a[:, at : at + _WORD]
+        here = _places(part.T, letters + 1)[every, b]
+        full = np.uint64((1 << part.shape[1]) - 1)
+        free = np.full(common.shape[1:], full)
         for k in range(widths[-1]):
-            hit = free & here[starts + k]
+            hit = free & here[:, k : k + reach : step]
             free = ((free + hit) | (free - hit)) & full
             if k + 1 in widths:
-                common[widths.index(k + 1)] += len(part) - np.bitwise_count(free)
-    found = []
-    for row, width in zip(common, widths):
-        fits = starts <= max(size - width, 0)
-        ends = np.minimum(starts[fits] + width, size)
-        found.append((np.minimum(2.0 * row[fits] / (n + ends - starts[fits]), 1.0), starts[fits], ends))
-    return tuple(np.concatenate(x) for x in zip(*found))
+                common[widths.index(k + 1)] += part.shape[1] - np.bitwise_count(free).astype(np.int64)
+    out = []
+    for g, size in enumerate(sizes):
+        found = []
+        for row, width in zip(common[:, g], widths):
+            low = starts[: max(size - width, 0) // step + 1]
+            high = np.minimum(low + width, size)
+            found.append((np.minimum(2.0 * row[: len(low)] / (n + high - low), 1.0), low, high))
+        out.append(tuple(np.concatenate(x) for x in zip(*found)))
+    return out
 
 
 def _common(masks: dict[str, int], low: int, high: int, text: str) -> int:
@@ -116,7 +148,109 @@ def best_window_ratio(needles: pd.Series, hays: pd.Series) -> pd.Series:
     return pd.Series([window_ratio(a or "", b or "") for a, b in zip(needles, hays)])
 
 
+#: How many pairs are bounded together, how many windows are compared together, and how many of a pair in turn: the highest
+#: bounds often decide.
+_PAIRS, _WINDOWS, _TURNS = 1024, 2048, (4, 32, 1 << 30)
+
+
+def _longest(a: np.ndarray, sizes: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start in a, start in b, length) of each column's longest block, the first in a and then in b, as difflib finds it: a run
+    of seeds, then what is equal before and behind it. Columns are padded with what equals nothing, the longest a first."""
+    height, n = b.shape
+    kind = np.uint8 if min(len(a), height) < 255 else np.uint16
+    before, run = np.zeros((height + 1, n), kind), np.zeros((height + 1, n), kind)
+    best, end_a, end_b = np.zeros(n, kind), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for i, on in enumerate(np.searchsorted(-sizes, -np.arange(len(a)), "left").tolist()):  # those of more than i characters
+        now = run[1:, :on]
+        np.add(before[:-1, :on], kind(1), out=now)
+        np.multiply(now, seeds[:, :on] == a[i, :on], out=now)
+        top = now.max(axis=0)
+        better = (top > best[:on]).nonzero()[0]
+        if len(better):
+            best[better], end_a[better], end_b[better] = top[better], i + 1, now[:, better].argmax(axis=0) + 1
+        before, run = run, before
+    size = best.astype(np.int64)
+    x, y, every = end_a - size, end_b - size, np.arange(n)
+    while (more := (x > 0) & (y > 0) & (a[x - 1, every] == b[y - 1, every])).any():
+        x, y, size = x - more, y - more, size + more
+    while (more := (x + size < len(a)) & (y + size < height) & (a[np.minimum(x + size, len(a) - 1), every] == b[np.minimum(y + size, height - 1), every])).any():
+        size = size + more
+    return x, y, size
+
+
+def _ratios(quotes: np.ndarray, texts: np.ndarray, letters: int, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, enough: np.ndarray) -> np.ndarray:
+    """difflib's ratios of stretches a0 to a1 of the quotes and b0 to b1 of the texts, for all at once: a level of blocks after the
+    other. One that cannot reach enough is given up; its value is then too low, and below that."""
+    kind = quotes.dtype.type
+    pad_a, pad_b = letters + 1, letters + 2
+
+    n, size = a1 - a0, b1 - b0
+    common = None  # difflib starts no block in the characters that are common in a long window
+    if (size >= 200).any():
+        b = _cut(texts, b0, b1, pad_b)
+        times = np.bincount((np.arange(len(size)) * (letters + 3) + b).ravel(), minlength=len(size) * (letters + 3)).reshape(len(size), -1)
+        common = (times > size[:, None] // 100 + 1) & (size >= 200)[:, None]
+    matched, of = np.zeros(len(size), np.int64), np.arange(len(size))
+    while len(of):
+        most = matched + np.bincount(of, np.minimum(a1 - a0, b1 - b0), len(size))
+        keep = (2.0 * most / (n + size) >= enough)[of].nonzero()[0]
+        keep = keep[np.argsort((a0 - a1)[keep], kind="stable")]
+        of, a0, a1, b0, b1 = (c[keep] for c in (of, a0, a1, b0, b1))
+        if not len(of):
+            break
+        a, b = _cut(quotes, a0, a1, pad_a), _cut(texts, b0, b1, pad_b)
+        x, y, k = _longest(a, a1 - a0, b, b if common is None else np.where(common[of, b], kind(pad_b), b))
+        matched += np.bincount(of, k, len(size)).astype(np.int64)
+        x, y = a0 + x, b0 + y
+        of, a0, a1, b0, b1 = (np.concatenate(c) for c in ((of, of), (a0, x + k), (x, a1), (b0, y + k), (y, b1)))
+        keep = ((a0 < a1) & (b0 < b1) & np.append(k > 0, k > 0)).nonzero()[0]
+        of, a0, a1, b0, b1 = (c[keep] for c in (of, a0, a1, b0, b1))
+    return 2.0 * matched / (n + size)
+
+
+def near_ratios(pairs: list[tuple[str | None, str | None, float]]) -> list[float | None]:
+    """window_ratio(quote, text, floor, True) of each pair, floors above 0, with the windows of many pairs compared together."""
+    out: list[float | None] = [None] * len(pairs)
+    asked = [i for i, (q, t, _) in enumerate(pairs) if q and t]
+    for i in asked:
+        out[i] = 1.0 if pairs[i][0] in pairs[i][1] else None
+    asked = sorted((i for i in asked if out[i] is None), key=lambda i: len(pairs[i][0]))
+    for at in range(0, len(asked), _PAIRS):
+        some = asked[at : at + _PAIRS]
+        for i, found in zip(some, _near([pairs[i] for i in some])):
+            out[i] = found
+    return out
+
+
+def _near(pairs: list[tuple[str, str, float]]) -> list[float | None]:
+    quotes, q0, texts, t0, letters = _coded([q for q, _, _ in pairs], [t for _, t, _ in pairs])
+    bounds = []
+    for n, same in itertools.groupby(range(len(pairs)), key=lambda p: len(pairs[p][0])):
+        at = np.array(list(same))
+        bounds += _bounds(quotes, q0[at], texts, t0[at], t0[at + 1], n, letters)
+    open_ = []
+    for (bound, start, end), (_, _, floor) in zip(bounds, pairs):
+        order = np.argsort(-bound, kind="stable")
+        order = order[(bound[order] >= floor) & (bound[order] > 0)]
+        open_.append((start[order], end[order]))
+    out: list[float | None] = [None] * len(pairs)
+    done = 0
+    for turn in _TURNS:
+        waiting = [(p, s[done : done + turn], e[done : done + turn]) for p, (s, e) in enumerate(open_) if out[p] is None and len(s) > done]
+        if not waiting:
+            break
+        of = np.repeat([p for p, _, _ in waiting], [len(s) for _, s, _ in waiting])
+        b0, b1 = (t0[of] + np.concatenate(x) for x in list(zip(*waiting))[1:])
+        floors = np.array([f for _, _, f in pairs])[of]
+        cuts = [slice(i, i + _WINDOWS) for i in range(0, len(of), _WINDOWS)]
+        ratios = np.concatenate([_ratios(quotes, texts, letters, q0[of[c]], q0[of[c] + 1], b0[c], b1[c], floors[c]) for c in cuts])
+        for k in np.flatnonzero(ratios >= floors)[::-1].tolist():  # the first one found stays
+            out[of[k]] = float(ratios[k])
+        done += turn
+    return out
+
+
 @F.pandas_udf(DoubleType())
 def near_window_ratio(needles: pd.Series, hays: pd.Series, floors: pd.Series) -> pd.Series:
     """A similarity that reaches the floor, the first one found; null where none does, which most pairs' bounds tell alone."""
-    return pd.Series([window_ratio(a, b, f, True) if a and b else None for a, b, f in zip(needles, hays, floors)], dtype="float64")
+    return pd.Series(near_ratios(list(zip(needles, hays, floors))), dtype="float64")

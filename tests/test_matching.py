@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.udf import WIDTHS, window_bounds, window_ratio
+from quillspark.functions.udf import WIDTHS, near_ratios, window_bounds, window_ratio
 from quillspark.operators import joins as J
 from quillspark.operators.qgrams import contained
 
@@ -135,3 +135,16 @@ def test_form_feeds_end_lines(spark):
 
     row = spark.createDataFrame([("a\f12\fb ||\x85c\xa0 d​\x0b 3 ",)], "t string").select(T.clean_ocr_text(F.col("t")).alias("t")).first()
     assert row.t == "a\nb\nc d"
+
+
+def test_near_ratios_are_those_of_one_pair_at_a_time():
+    rng, pairs = random.Random(5), [("", "abc", 0.5), (None, "abc", 0.5), ("abc", "xabcx", 0.5)]
+    for _ in range(150):
+        letters = rng.choice(["ab", "abcdef", "abcdefghijklmnopqrstuvwxyz", "山河城abc"])
+        some = lambda sizes: "".join(rng.choice(letters) for _ in range(rng.choice(sizes)))
+        quote, text = some([1, 3, 20, 70, 170, 300]), some([1, 30, 150, 500])
+        at = rng.randrange(len(text))
+        pairs.append((quote, text[:at] + rng.choice(["", quote[len(quote) // 4 :]]) + text[at:], rng.choice([0.42, 0.45, 0.72, 0.9])))
+    want = [window_ratio(q, t, floor, True) if q and t else None for q, t, floor in pairs]
+    assert near_ratios(pairs) == want
+    assert 20 < sum(x is None for x in want) < 130
