@@ -256,3 +256,13 @@ def test_quotes_are_found_without_regard_to_form_and_marks(spark):
     refs = spark.createDataFrame([(1, "1", "THE OLD TOWN"), (2, "1", "…"), (3, "2", "x"), (4, "9", "x"), (5, "no", "x"), (6, None, "x"), (7, "1", "old townes by a river"), (8, "1", "zzzzzz")], "r int, page string, quote string")
     got = {r.r: r.status for r in J.quote_status(refs, pages).collect()}
     assert got == {1: "found", 2: "empty_quote", 3: "citation_mismatch", 4: "missing_page", 5: "invalid_page", 6: "missing_ref_field", 7: "approximate", 8: "citation_mismatch"}
+
+
+def test_the_query_goes_past_a_blank_to_the_next_value(spark):
+    from quillspark.plans import catalogue
+
+    sql = catalogue.oracle_sql()["t37_first_truthy"]
+    assert "nullif(trim(" in sql
+    named = catalogue.queries()["t37_first_truthy"](spark, "/root/testdata/sf0.001").where("doc_id % 2 = 0")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 AND lang <> '' THEN lang ELSE source END AS want")
+    assert named.join(docs, "doc_id").where("NOT named <=> want").count() == 0 and named.count() > 0
