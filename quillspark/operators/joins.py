@@ -135,9 +135,10 @@ def question_of(chapters: DataFrame, questions: DataFrame) -> DataFrame:
     first = own.unionByName(linked).groupBy("letter_id").agg(F.min_by("question_id", "ord").alias("_own"))
     ending = F.expr("lpad(cast(coalesce(number, 0) as string), greatest(3, length(cast(coalesce(number, 0) as string))), '0')")
     numbered = chapters.select("chapter_id", "letter_id", ending.alias("_end"))
-    ends = numbered.select("_end").distinct().withColumn("_tail", F.right("_end", F.lit(3)))
-    tails = questions.select("question_id", "ord", F.right("question_id", F.lit(3)).alias("_tail"))
-    by_end = ends.join(tails, "_tail").where(F.endswith("question_id", "_end")).groupBy("_end").agg(F.min_by("question_id", "ord").alias("_numbered"))
+    # a question's ends, of the few lengths that numbers have, meet the numbers by equality
+    lengths = numbered.agg(F.collect_set(F.length("_end")).alias("_lengths"))
+    ends = questions.crossJoin(F.broadcast(lengths)).select("question_id", "ord", F.explode(F.filter("_lengths", lambda n: n <= F.length("question_id"))).alias("_n"))
+    by_end = ends.groupBy(F.right("question_id", F.col("_n")).alias("_end")).agg(F.min_by("question_id", "ord").alias("_numbered"))
     found = numbered.alias("c").join(first.alias("f"), F.col("c.letter_id").eqNullSafe(F.col("f.letter_id")), "left").select("chapter_id", "_end", "_own")
     return found.join(by_end, "_end", "left").select("chapter_id", F.coalesce("_own", "_numbered").alias("question_id"))
 

@@ -109,3 +109,12 @@ def test_fills_and_records(spark):
     judged = spark.createDataFrame([(" t1 ", "ok ", None, True), ("t2", "", "", False)], "id string, result string, notes string, usable boolean")
     r = R.decision_records(judged, ["id", "result", "notes"]).collect()
     assert [(x.id, x.result, x.notes) for x in r] == [("t1", "ok", "")] and r[0].imported_at
+
+
+def test_numbers_meet_questions_by_equal_ends(spark):
+    chapters = spark.createDataFrame([(1, None, 7), (2, "x", 1007), (3, "x", 12345), (4, "x", None), (5, "x", 45), (6, "x", 9)], "chapter_id int, letter_id string, number long")
+    questions = spark.createDataFrame([("Q-1007", "a", [], "book", 2), ("Q-007", "b", [], "book", 3), ("Q-12345", "c", [], "book", 1), ("Q-9000", "c", [], "book", 4), ("Q-1045", "d", [], "book", 5), ("45", "d", [], "book", 0)], "question_id string, letter_id string, linked array<string>, scope string, ord long")
+    found = J.question_of(chapters, questions)
+    assert {r.chapter_id: r.question_id for r in found.collect()} == {1: "Q-1007", 2: "Q-1007", 3: "Q-12345", 4: "Q-9000", 5: "Q-1045", 6: None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "EndsWith" not in plan and "endswith" not in plan.lower()  # no pairs that an equal end of three characters leaves open
