@@ -118,3 +118,11 @@ def test_numbers_meet_questions_by_equal_ends(spark):
     assert {r.chapter_id: r.question_id for r in found.collect()} == {1: "Q-1007", 2: "Q-1007", 3: "Q-12345", 4: "Q-9000", 5: "Q-1045", 6: None}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "EndsWith" not in plan and "endswith" not in plan.lower()  # no pairs that an equal end of three characters leaves open
+
+
+def test_identity_looks_for_each_line_once(spark):
+    book = spark.createDataFrame([("x" * 60 + "\n a  book \n李四 — 著\n",), ("# T  one OCR 文本\n/x",)], "t string")
+    found = book.select(identity(F.col("t"), F.lit("none")).alias("x"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("NEWSTAR") == 1 and plan.count("[—\\-－]*\\s*著$") == 2  # one to find the line, one to take its name
+    assert [(r.x.title, r.x.author) for r in found.collect()] == [("a book", "李四"), ("T one", None)]
