@@ -266,3 +266,13 @@ def test_the_query_goes_past_a_blank_to_the_next_value(spark):
     named = catalogue.queries()["t37_first_truthy"](spark, "/root/testdata/sf0.001").where("doc_id % 2 = 0")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id", "CASE WHEN doc_id % 3 = 0 AND lang <> '' THEN lang ELSE source END AS want")
     assert named.join(docs, "doc_id").where("NOT named <=> want").count() == 0 and named.count() > 0
+
+
+def test_pages_of_a_batch_are_parsed_in_parts():
+    import pyarrow as pa
+
+    texts = ["<p>a</p>" * 10, None, "<p>b</p>" * 500, "", "<p>c</p>", "<p>d</p>"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["k", "html"])
+    parts = list(H.parts_of(batch, 1, 100))
+    assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist() and [p.num_rows for p in parts] == [2, 2, 2]
+    assert list(H.parts_of(batch.slice(0, 0), 1)) == []
