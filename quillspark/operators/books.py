@@ -45,7 +45,7 @@ def page_state(pages: Column, body: Column) -> Column:
     chars = F.aggregate(there, F.lit(0).cast("long"), lambda a, p: a + F.coalesce(p["char_count"].cast("long"), F.lit(0)))
     return F.struct(
         F.when((n > 0) | body.isNotNull(), "available").otherwise("missing").alias("status"), F.when(n > 0, n).alias("page_count"),
-        numbers(lambda p: F.coalesce(p["needs_review"], F.lit(False))).alias("needs_review_pages"), numbers(lambda p: T.strip(F.coalesce(p["text"], F.lit(""))) == "").alias("empty_pages"),
+        numbers(lambda p: F.coalesce(p["needs_review"], F.lit(False))).alias("needs_review_pages"), numbers(lambda p: T.is_blank(F.coalesce(p["text"], F.lit("")))).alias("empty_pages"),
         F.when(n > 0, F.bround(chars / n, 2)).alias("average_chars"),
     )
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
 from quillspark.operators import books as B
 
 META = "struct<title:string,creator:string,language:string,publisher:string,date:string,identifier:string,description:string>"
@@ -31,3 +32,11 @@ def test_summaries(spark):
 
 def test_no_books(spark):
     assert B.summaries(spark.createDataFrame([], BOOK), "k", WORDS).count() == 0
+
+
+def test_a_text_is_counted_once_for_its_language(spark):
+    texts = [" 　\n\t\x0b", "", "a", " a\n", " ", "山河 a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(T.is_blank(F.col("t")).alias("b"), (T.strip(F.col("t")) == "").alias("s"), T.script_language(F.col("t")).alias("l"))
+    assert [(r.b, r.s) for r in df.collect()] == [(x, x) for x in (True, True, False, False, True, False)]
+    assert [r.l for r in df.collect()] == ["unknown", "unknown", "en", "en", "unknown", "mixed"]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("[A-Za-z]") == 1
