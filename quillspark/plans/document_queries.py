@@ -15,7 +15,7 @@ from quillspark.sources.kept import shared_folder
 
 def _lines(spark, lines):
     path = f"{shared_folder(spark)}/document-{uuid.uuid4().hex[:12]}"
-    D.write_document(lines, path)
+    D.write_document(lines, path, "gzip")
     return D.read_document(spark, path)
 
 

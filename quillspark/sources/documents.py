@@ -36,11 +36,12 @@ def document(spark: SparkSession, pieces: list[str | DataFrame]) -> DataFrame:
     return out
 
 
-def write_document(lines: DataFrame, path: str) -> None:
-    """The lines as text files, each a range of places; a reader that takes the files by name reads the document."""
+def write_document(lines: DataFrame, path: str, compression: str = "none") -> None:
+    """The lines as text files, each a range of places; a reader that takes the files by name reads the document. Files of gzip
+    put together are one too, and unpack to the document."""
     order = ["part", "a", "b"]
     tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("line").write.text(path)
+    lines.repartitionByRange(tasks, *order).sortWithinPartitions(*order).select("line").write.text(path, compression=compression)
 
 
 def json_object(rows: DataFrame, payload: str, a: Column, b: Column | int = 0, **constants) -> DataFrame:

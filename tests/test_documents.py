@@ -80,3 +80,15 @@ def test_gpx_parses_and_skips_gaps(spark, written):
     assert next(root.iter(f"{ns}desc")).text == "t<1> | "
     tracks = [[p.find(f"{ns}name").text for p in t] for t in root.iter(f"{ns}trkseg")]
     assert tracks == [["01 起点 A", "01 途经1 B", "01 终点 C <&"], ["03 起点 A", "03 终点 C <&"]]
+
+
+def test_a_packed_document_is_read_as_it_is(spark, tmp_path):
+    import gzip
+
+    rows = spark.range(2000).select(F.concat(F.lit("line number "), F.col("id").cast("string")).alias("line"), "id")
+    path = str(tmp_path / "packed")
+    D.write_document(D.document(spark, ["head", D.lines_of(rows, F.col("line"), F.col("id")), "tail"]), path, "gzip")
+    packed = b"".join(open(f, "rb").read() for f in sorted(glob.glob(path + "/part-*")))
+    want = ["head", *(f"line number {i}" for i in range(2000)), "tail"]
+    assert gzip.decompress(packed).decode().splitlines() == want and len(packed) < 12000
+    assert [r.line for r in D.read_document(spark, path).orderBy("place").collect()] == want
