@@ -130,11 +130,13 @@ def role_by_place(i: Column, n: Column) -> Column:
 def diversified(df: DataFrame, part: list[str], kind: str, kinds: tuple[str, ...], score: str, order: str, k: int) -> DataFrame:
     """Up to k rows a part: the best of each kind, in the order of kinds, then the best of the rest. Adds place, from 1.
 
-    The best has the highest score, then the lowest order. Keys of one part meet in one sort; no row is collected.
+    The best has the highest score, then the lowest order. Only the k best of a kind can be among a part's k rows, so each task
+    cuts its rows down to those before they are dealt out; what is left of a part meets in one sort. No row is collected.
     """
     best_of_kind = F.row_number().over(Window.partitionBy(*part, kind).orderBy(F.desc(score), order))
     kind_rank = F.coalesce(F.array_position(F.array(*[F.lit(x) for x in kinds]), F.col(kind)), F.lit(0))
     wanted = (F.col("_best") == 1) & (F.col("_kind") > 0)
-    ranked = df.withColumns({"_best": best_of_kind, "_kind": kind_rank}).withColumn("_turn", F.when(wanted, F.col("_kind")).otherwise(F.lit(len(kinds) + 1)))
+    best = df.withColumn("_best", best_of_kind).where(F.col("_best") <= k)
+    ranked = best.withColumn("_kind", kind_rank).withColumn("_turn", F.when(wanted, F.col("_kind")).otherwise(F.lit(len(kinds) + 1)))
     place = F.row_number().over(Window.partitionBy(*part).orderBy("_turn", F.when(F.col("_turn") > len(kinds), -F.col(score)), order))
     return ranked.withColumn("place", place.cast("long")).where(F.col("place") <= k).drop("_best", "_kind", "_turn")

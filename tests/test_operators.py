@@ -276,3 +276,18 @@ def test_pages_of_a_batch_are_parsed_in_parts():
     parts = list(H.parts_of(batch, 1, 100))
     assert [r for p in parts for r in p.to_pylist()] == batch.to_pylist() and [p.num_rows for p in parts] == [2, 1, 3]
     assert list(H.parts_of(batch.slice(0, 0), 1)) == []
+
+
+def test_only_the_best_of_a_kind_are_dealt_out(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), rng.choice("abcz"), rng.randrange(9), i) for i in range(300)]
+    got = W.diversified(spark.createDataFrame(rows, "p int, kind string, score int, o int"), ["p"], "kind", ("b", "a"), "score", "o", 4)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # before the first exchange and after it
+    for p in range(3):
+        best = sorted((r for r in rows if r[0] == p), key=lambda r: (-r[2], r[3]))
+        firsts = [next(r for r in best if r[1] == k) for k in "ba"]
+        want = (firsts + [r for r in best if r not in firsts])[:4]
+        assert [tuple(r)[:4] for r in got.where(f"p = {p}").orderBy("place").collect()] == want
