@@ -8,10 +8,12 @@ stretches share one of the four signatures with a chance of 0.98, while texts th
 
 First every document asks the owner of each of its signatures, the smallest doc_id that has it, and passages whose token
 sets reach SIMILARITY are links; a group of copies costs one link a member, never its pairs. Where three documents or more
-share a signature and the owner was not near enough, the runs that stay open meet once more, each with the tokens of one
-stretch: the run whose tokens are commonest in its signature's group stands in the middle, the others are joined to it
-where their stretches are near, and what is left looks for the next middle through an index of its rarest tokens. So a
-document that is near any other is compared with a near one, while pairs grow with the runs and not with their square.
+share a signature, their runs meet once more, all with all, whether the owner was near or not. Runs go to the task of
+their signature's owner, a document's runs of one owner as one row with the tokens they cover, so that the signatures that
+two documents share are looked at together; the documents of an owner that many have in common are dealt into chunks, and
+each two chunks are a cell of their own. Left out are pairs of copies only: of texts that are equal as a whole the smallest
+doc_id stands for all (the others link to it), and passages that are equal to the same owner's link to that owner, but for
+texts that are edited copies of the owner's as a whole.
 Links join documents to classes.
 
 Documents lie in blocks by a hash of doc_id; a block sends each signature once, asks each document once, and gets its text
@@ -41,12 +43,12 @@ MIN_WORDS = 50
 MIN_TOKENS = MIN_WORDS - SHINGLE + 1
 SIMILARITY = 0.8
 HASHES = 8
-#: Stretches of open runs as similar as this are compared as passages; they may stand a little apart in two texts.
-SLACK = 0.7
-#: Bits of the broadcast bitmap of documents that open runs name, 8 MB; beyond some millions of them it only lets more through.
-BITMAP_BITS = 1 << 26
-#: Bits of one row of the bitmap, as Spark's bitmap functions have it.
-_PART = 1 << 15
+#: Tokens of a stretch that may lie outside a passage that is equal to an owner's, and what is near is still that passage.
+EDGE = int((1 - SIMILARITY) / (1 + SIMILARITY) * MIN_TOKENS + 1e-9) + 4
+#: Documents of one owner that are compared with as many others in one cell.
+MEMBERS = 256
+#: Runs of a signature up to which all pairs are listed before they are looked at.
+FEW = 24
 BLOCK_BYTES = 2 << 20
 CHUNK = 1 << 19
 _PLACE = np.uint64((1 << 32) - 1)
@@ -125,18 +127,16 @@ def starts_of(low: np.ndarray, at: np.ndarray, high: np.ndarray) -> tuple[np.nda
 
 
 def joint_windows(one: tuple, two: tuple, salt: int) -> tuple[np.ndarray, ...]:
-    """one, two: compact_windows of two functions. Their interval join: (row, first start, last start, middle, signature).
+    """one, two: compact_windows of two functions. Their interval join: (row, first start, last start, signature).
 
-    Both cut the same starts into runs, in order; the middle is the start that has the first function's token in its
-    middle, or as near to it as the run allows, so that it is the same in every document.
+    Both cut the same starts into runs, in order.
     """
     (first_one, last_one), (first_two, last_two) = starts_of(*one[1:4]), starts_of(*two[1:4])
     first = np.sort(np.concatenate([first_one, first_two]), kind="stable")  # two ascending runs are merged
     first = first[np.append(True, first[1:] != first[:-1])[: len(first)]]
     a, b = np.searchsorted(first_one, first, "right") - 1, np.searchsorted(first_two, first, "right") - 1
     last = np.minimum(last_one[a], last_two[b])
-    middle = np.clip(one[2][a] - MIN_TOKENS // 2, first, last)
-    return one[0][a], first, last, middle, _joined([one[4][a], two[4][b]], salt)
+    return one[0][a], first, last, _joined([one[4][a], two[4][b]], salt)
 
 
 class Block:
@@ -147,6 +147,10 @@ class Block:
         self.doc = doc[order]
         self.tokens, self.counts = tokens_of([(texts[i] or "").encode() for i in order])
         self.start = np.cumsum(self.counts) - self.counts
+        place = (np.arange(len(self.tokens)) - np.repeat(self.start, self.counts)).astype(np.uint64)
+        sums = np.append(np.uint64(0), np.cumsum(_joined([self.tokens, place], 11), dtype=np.uint64))
+        #: Equal for texts that are equal but for case and white space.
+        self.digest = (sums[self.start + self.counts] - sums[self.start]).view(np.int64)
 
     def windows(self) -> None:
         got, row = [], 0
@@ -155,30 +159,91 @@ class Block:
             base, stop = self.start[row], self.start[end - 1] + self.counts[end - 1]
             for salt in range(0, HASHES, 2):
                 sides = [compact_windows(self.tokens[base:stop], self.counts[row:end], salt + k) for k in (0, 1)]
-                r, first, last, middle, key = joint_windows(*sides, salt)
-                got.append((r + row, first + base, last + base, middle + base, key))
+                r, first, last, key = joint_windows(*sides, salt)
+                got.append((r + row, first + base, last + base, key))
             row = end
         none = np.zeros(0, np.int64)
-        parts = [np.concatenate(x) for x in zip(*got)] if got else [none] * 4 + [none.astype(np.uint64)]
+        parts = [np.concatenate(x) for x in zip(*got)] if got else [none] * 3 + [none.astype(np.uint64)]
         order = np.argsort(parts[0], kind="stable")
-        self.row, self.first, self.last, self.middle, self.key = (p[order] for p in parts)
+        self.row, self.first, self.last, self.key = (p[order] for p in parts)
 
     def passages(self, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """owner: of each run's signature, or -1. (row, first token, last token, owner) to be verified: the runs that a
         document shares with one owner, those together whose stretches meet."""
         return merged(*(x[(owner >= 0) & (owner < self.doc[self.row])] for x in (self.row, self.first, self.last, owner)))
 
-    def open_runs(self, shared: np.ndarray, linked: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(run, the tokens of the stretch at its middle, free?) of the shared runs.
+    def open_runs(self, shared: np.ndarray, owner: np.ndarray, exact: list[tuple[int, int, int]]) -> tuple[np.ndarray, ...]:
+        """shared: runs; owner: of each; exact: (first token, last token, owner) of passages that are equal to an owner's.
+        (run, its owner, first start, last start, class) of what the other runs of the signature are to be compared with.
 
-        linked, exact: for each token whether it stands in a linked passage, in one that is equal to its owner's. A run
-        within the latter is left out, as whatever is near it is near the owner's; a free one is mostly not linked.
+        Starts whose stretch lies within one equal passage are left out, as whatever is near them is near the owner's.
+        The class of a run names the owner whose passage some of its stretches lie in but for EDGE tokens: two runs of a
+        class are copies there. What such a run has beside is a run of its own, without a class.
         """
-        at = self.middle[shared]
-        count = lambda x: (lambda c: c[at + MIN_TOKENS] - c[at])(np.concatenate([[0], np.cumsum(x)]))
-        left = count(exact) < MIN_TOKENS
-        free, at = 2 * count(linked)[left] < MIN_TOKENS, at[left]
-        return shared[left], (self.tokens[at[:, None] + np.arange(MIN_TOKENS)] >> np.uint64(48)).astype(np.uint16), free
+        n = len(self.tokens)
+        full, near = np.zeros(n + 1, bool), np.full(n + 1, -1, np.int64)
+        row_of = np.searchsorted(self.start + self.counts, [a for a, _, _ in exact], "right")
+        for (a, z, d), r in sorted(zip(exact, row_of.tolist()), key=lambda x: -x[0][2]):  # the smallest owner comes last
+            full[a : z - MIN_TOKENS + 2] = True
+            near[max(a - EDGE, int(self.start[r])) : min(z - MIN_TOKENS + 2 + EDGE, int(self.start[r] + self.counts[r]))] = d
+        first, last = _hull(self.first[shared], self.last[shared], ~full)
+        shared, owner, first, last = (x[first <= last] for x in (shared, owner, first, last))
+        held = np.concatenate([[0], np.cumsum(near >= 0)])
+        mixed = held[last + 1] > held[first]
+        kind = np.full(len(shared), -1, np.int64)
+        kind[mixed] = [int(x[x >= 0].min()) for x in (near[a : z + 1] for a, z in zip(first[mixed].tolist(), last[mixed].tolist()))]
+        a, z = _hull(first[mixed], last[mixed], near < 0)
+        own = np.flatnonzero(mixed)[a <= z]
+        more = (shared[own], owner[own], a[a <= z], z[a <= z], np.full(len(own), -1, np.int64))
+        run, owner, first, last, kind = (np.concatenate(x) for x in zip((shared, owner, first, last, kind), more))
+        # a line that repeats has a run at each place; those whose starts go on from one another are one
+        order = np.lexsort((first, kind, self.key[run], self.row[run]))
+        run, owner, first, last, kind = (x[order] for x in (run, owner, first, last, kind))
+        same = (self.row[run][1:] == self.row[run][:-1]) & (self.key[run][1:] == self.key[run][:-1]) & (kind[1:] == kind[:-1])
+        begin = np.flatnonzero(np.append(True, ~same | (first[1:] > last[:-1] + 1))[: len(run)])
+        return run[begin], owner[begin], first[begin], np.maximum.reduceat(last, begin) if len(begin) else last, kind[begin]
+
+    def mostly(self, r: int, parts: list[tuple[int, int]]) -> bool:
+        """Whether the parts (first token, end) hold SIMILARITY of a text's distinct tokens."""
+        mine = self.tokens[self.start[r] : self.start[r] + self.counts[r]]
+        return len(np.unique(np.concatenate([mine[a:z] for a, z in parts]))) >= SIMILARITY * len(np.unique(mine))
+
+    def sent_runs(self, run: np.ndarray, owner: np.ndarray, first: np.ndarray, last: np.ndarray, kind: np.ndarray) -> Iterator[tuple]:
+        """Rows of _OPEN: the runs of a text that have one owner, and the tokens they cover, each once."""
+        if not len(run):
+            return
+        order = np.lexsort((first, owner, self.row[run]))
+        run, owner, first, last, kind = (x[order] for x in (run, owner, first, last, kind))
+        row = self.row[run]
+        fresh = np.append(True, (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]))
+        group = np.cumsum(fresh)
+        span = np.int64(len(self.tokens) + 1)
+        reach = np.maximum.accumulate(last + MIN_TOKENS + group * span) - group * span
+        since = np.where(fresh, first, np.append(0, reach[:-1]))  # from where on a run brings new tokens
+        since = np.maximum(since, first)
+        count = np.maximum(last + MIN_TOKENS - since, 0)
+        before = np.cumsum(count) - count
+        place = np.repeat(since - before, count) + np.arange(int(count.sum()))
+        token = (self.tokens[place] >> np.uint64(32)).astype(np.uint32)
+        begin = np.flatnonzero(fresh)
+        end = np.append(begin[1:], len(run))
+        piece = np.flatnonzero(fresh | (since == first))  # a gap, or the first of a text
+        lead = piece[np.cumsum(fresh | (since == first)) - 1]
+        at = before[lead] + first - first[lead] - before[begin][group - 1]
+        rel = self.start[row]
+        runs = np.stack([first - rel, last - rel, at], axis=1).astype(np.int32)
+        key, tail = self.key[run], np.append(before[begin[1:]], len(token))
+        for a, z, low, high in zip(begin.tolist(), end.tolist(), before[begin].tolist(), tail.tolist()):
+            r = int(row[a])
+            yield int(self.doc[r]), int(owner[a]), int(self.digest[r]), key[a:z].tobytes(), runs[a:z].tobytes(), kind[a:z].tobytes(), token[low:high].tobytes()
+
+
+def _hull(first: np.ndarray, last: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each range the first and last place that is wanted; first > last where none is."""
+    place = np.arange(len(wanted))
+    ahead = np.minimum.accumulate(np.where(wanted, place, len(wanted))[::-1])[::-1]
+    back = np.maximum.accumulate(np.where(wanted, place, -1))
+    return np.maximum(ahead[first], first), np.minimum(back[last], last)
 
 
 def merged(row: np.ndarray, first: np.ndarray, last: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -284,6 +349,26 @@ def aligned(passage: np.ndarray, other: np.ndarray) -> list[tuple[float, int, in
     return out
 
 
+def equal_parts(passage: np.ndarray, other: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) of the parts of MIN_TOKENS and more of the passage that stand in ``other`` token for token, as far as
+    the first places of its tokens there tell."""
+    order = np.argsort(other, kind="stable")
+    at = np.minimum(np.searchsorted(other[order], passage), len(other) - 1)
+    shift = np.where(other[order[at]] == passage, order[at] - np.arange(len(passage)), len(other))
+    begin = np.flatnonzero(np.append(True, shift[1:] != shift[:-1]))
+    end = np.append(begin[1:], len(passage)) - 1
+    long = (end - begin + 1 >= MIN_TOKENS) & (shift[begin] < len(other))
+    if long.any() or (np.diff(other[order]) != 0).all():
+        return list(zip(begin[long].tolist(), end[long].tolist()))
+    out = []  # tokens that stand in several places break the parts
+    for d in np.unique(shift[shift < len(other)]).tolist():
+        a, z = max(0, -d), min(len(passage), len(other) - d)
+        same = np.concatenate([[False], passage[a:z] == other[a + d : z + d], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)
+        out += [(a + u, a + v - 1) for u, v in edges.tolist() if v - u >= MIN_TOKENS]
+    return out
+
+
 #: Shares of a stretch's distinct tokens that must stand in the other text, as a passage that falls short is cut finer;
 #: the last cuts out what is repeated exactly.
 SHARES = (0.0, 0.95, 1.0)
@@ -338,91 +423,276 @@ def matches(passage: np.ndarray, other: Other, shares: tuple = SHARES) -> list[t
 
 
 _LINK = "doc_id long, other_id long, first_word long, last_word long, other_first_word long, other_last_word long, similarity double"
-_RUN = "key long, doc_id long, first_word long, last_word long, stretch binary, free boolean"
-_PAIR = "doc_id long, other_id long, first_word long, last_word long"
+#: A text's runs of one owner. runs: of each its first and last start and where its tokens begin, as 32-bit numbers.
+_OPEN = "doc_id long, owner long, text long, keys binary, runs binary, kinds binary, tokens binary"
 
 
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
 
-def near_in_group(stretches: np.ndarray, doc: np.ndarray, free: np.ndarray) -> np.ndarray:
-    """Pairs (i, j) of the runs of one signature that are to be compared, one of each free, of two documents.
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range after the other."""
+    return np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+
+
+def _slices(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of a list whose sizes add up to about ``most``."""
+    total, a = np.cumsum(size), 0
+    while a < len(size):
+        z = max(int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")), a + 1)
+        z = min(z, a + (1 << 14))
+        yield slice(a, z)
+        a = z
+
+
+def similar(tokens: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct tokens in both, distinct tokens in either) of the stretches of m tokens from a on and n from b on."""
+    both, either = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for at in _slices(m + n, 1 << 20):
+        k = np.arange(len(a[at]), dtype=np.uint64) << np.uint64(33)
+        sides = [np.repeat(k, size) | (tokens[_ranges(begin, size)].astype(np.uint64) << np.uint64(1)) | np.uint64(side) for side, begin, size in ((0, a[at], m[at]), (1, b[at], n[at]))]
+        key = np.sort(np.concatenate(sides))
+        key = key[np.append(True, key[1:] != key[:-1])] >> np.uint64(1)
+        same = key[1:][key[1:] == key[:-1]]
+        both[at] = np.bincount((same >> np.uint64(32)).astype(np.int64), minlength=len(k))
+        either[at] = np.bincount((key >> np.uint64(32)).astype(np.int64), minlength=len(k)) - both[at]
+    return both, either
+
 
-    The runs are middles in turn, those with the commonest tokens first. A middle is paired with the runs as similar as
-    SIMILARITY that no middle before it has taken, and a free one with the nearest of all too: every free run that is near
-    another gets a partner, and there are two pairs a run at most. Near runs share one of their rarest tokens at least;
-    only those that do are looked at.
+#: Starts of a passage that are looked at together.
+STARTS = 256
+#: Tokens that two stretches of MIN_TOKENS, none twice, must have in common to reach SIMILARITY.
+COMMON = int(np.ceil(2 * SIMILARITY / (1 + SIMILARITY) * MIN_TOKENS - 1e-9))
+
+
+def near_starts(tokens: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The stretches of MIN_TOKENS that reach SIMILARITY, of pairs of passages in which no token is twice: (pair, start in
+    the first, the start in the second that is most similar, tokens in both).
+
+    A common token at p and q lies in the stretches from i and from i + e on where p - MIN_TOKENS < i <= p and the same holds
+    for q and i + e. So each adds one to a range of starts for each e; beyond the least and the largest q - p no e is better,
+    but where the second passage ends before.
     """
-    value, of, n = np.unique(stretches, return_inverse=True, return_counts=True)
-    of = np.sort(np.argsort(np.argsort(n, kind="stable"), kind="stable")[of.reshape(stretches.shape)], axis=1)  # rarest first
-    distinct = np.ones(of.shape, bool)
-    distinct[:, 1:] = of[:, 1:] != of[:, :-1]
-    size = distinct.sum(axis=1)
-    prefix = distinct & (np.cumsum(distinct, axis=1) <= (size - np.ceil(SLACK * size - 1e-9) + 1)[:, None])
-    entry, token = np.nonzero(prefix)[0], of[prefix]
-    order = np.argsort(token, kind="stable")
-    entry, edges = entry[order], np.searchsorted(token[order], np.arange(len(value) + 1))
-    common = np.sort(n)[of].sum(axis=1)
-    settled, present, out = np.zeros(len(doc), bool), np.zeros(len(value), bool), [np.zeros((2, 0), np.int64)]
-    settled |= ~(prefix & (np.diff(edges) > 1)[of]).any(axis=1)  # none shares a rare token with these
-    waiting = int((free & ~settled).sum())
-    for m in np.argsort(-common, kind="stable").tolist():
-        if not waiting:
-            break
-        if settled[m]:
-            continue
-        near = np.unique(np.concatenate([entry[edges[t] : edges[t + 1]] for t in of[m][prefix[m]].tolist()]))
-        near = near[(doc[near] != doc[m]) & (free[m] | (free[near] & ~settled[near]))]
-        settled[m] = True
-        waiting -= int(free[m])
-        if not len(near):
+    none = np.zeros(0, np.int64)
+    out = [(none, none, none, none)]
+    for at in _slices(m + n, 1 << 18):
+        k = np.arange(len(a[at]), dtype=np.int64)
+        pair = np.concatenate([np.repeat(k, m[at]), np.repeat(k, n[at])])
+        place = np.concatenate([_ranges(np.zeros(len(k), np.int64), m[at]), _ranges(np.zeros(len(k), np.int64), n[at])])
+        key = (pair << 32) | tokens[np.concatenate([_ranges(a[at], m[at]), _ranges(b[at], n[at])])].astype(np.int64)
+        order = np.argsort(key, kind="stable")  # of two equal ones the first passage's comes first
+        one = np.flatnonzero(key[order][1:] == key[order][:-1])
+        pair, p, q = pair[order[one]], place[order[one]], place[order[one + 1]]
+        order = np.argsort(pair, kind="stable")
+        pair, p, d = pair[order], p[order], (q - p)[order]
+        begin = np.searchsorted(pair, k)
+        held = np.flatnonzero(np.diff(np.append(begin, len(pair))) >= COMMON)
+        if not len(held):
             continue
-        present[of[m]] = True
-        both = (present[of[near]] & distinct[near]).sum(axis=1)
-        present[of[m]] = False
-        score = both / (size[near] + size[m] - both)
-        close = (score >= SIMILARITY) & ~settled[near]
-        waiting -= int(free[near[close]].sum())
-        settled[near[close]] = True
-        best = int(np.argmax(score))
-        if free[m] and score[best] >= SLACK:
-            close[best] = True
-        out.append(np.stack([np.full(int(close.sum()), m), near[close]]))
-    return np.concatenate(out, axis=1)
-
-
-def _candidates(table: pa.Table) -> pa.Table:
-    """The runs of some signatures: the pairs of near_in_group, as (doc_id, other_id, first start, last start)."""
-    key, doc, first, last = (table.column(c).to_numpy() for c in _names(_RUN)[:4])
-    free = table.column("free").to_numpy(zero_copy_only=False)
-    stretches = np.frombuffer(b"".join(table.column("stretch").to_pylist()), np.uint16).reshape(-1, MIN_TOKENS)
-    order = np.lexsort((first, doc, key))
-    begin = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
-    stop = np.append(begin[1:], len(order))
-    more = np.logical_or.reduceat(free[order], begin) & (doc[order[begin]] != doc[order[stop - 1]])
-    two = more & (stop - begin == 2)
-    a, z = order[begin[two]], order[stop[two] - 1]
-    both = np.sort(np.concatenate([stretches[a], stretches[z]], axis=1), axis=1)
-    near = (both[:, 1:] == both[:, :-1]).sum(axis=1) >= 2 * SLACK / (1 + SLACK) * MIN_TOKENS
-    out = [np.stack([a[near], z[near]])]
-    for a, z in zip(begin[more & ~two].tolist(), stop[more & ~two].tolist()):
-        group = order[a:z]
-        out.append(group[near_in_group(stretches[group], doc[group], free[group])])
-    i, j = np.concatenate(out, axis=1)
-    later, other = np.where(doc[i] > doc[j], i, j), np.where(doc[i] > doc[j], j, i)
-    found = np.unique(np.stack([doc[later], doc[other], first[later], last[later]]), axis=1)
-    return pa.table([pa.array(x) for x in found], _names(_PAIR))
+        low, high = np.zeros(len(k), np.int64), np.full(len(k), -1, np.int64)
+        kept = np.isin(pair, held)
+        pair, p, d = pair[kept], p[kept], d[kept]
+        edges = np.searchsorted(pair, held)
+        low[held], high[held] = np.minimum.reduceat(d, edges), np.maximum.reduceat(d, edges)
+        high += np.clip(-high, 0, MIN_TOKENS - COMMON) * (high >= low)  # where the second passage begins or ends too late
+        low -= np.clip(low - (n[at] - m[at]), 0, MIN_TOKENS - COMMON) * (high >= low)
+        starts, width = m[at] - MIN_TOKENS + 1, high - low + 1
+        for some in _slices((starts * width)[held], 1 << 21):
+            h = held[some]
+            x, z = np.searchsorted(pair, [h[0], h[-1] + 1])
+            size = starts[h] * width[h]
+            base = np.zeros(len(k), np.int64)
+            base[h] = np.cumsum(size + width[h]) - size - width[h]  # one place more a row, where ranges end
+            cells = int((size + width[h]).sum()) + 1
+            r, pp, dd = pair[x:z], p[x:z], d[x:z]
+            line = starts[r] + 1
+            token = np.repeat(np.arange(len(r)), width[r])
+            e = low[r][token] + _ranges(np.zeros(len(r), np.int64), width[r])
+            shift = e - dd[token]
+            begin_at = np.maximum(pp[token] - MIN_TOKENS + 1 + np.maximum(-shift, 0), 0)
+            end_at = np.minimum(pp[token] - np.maximum(shift, 0), starts[r][token] - 1) + 1
+            fits = begin_at < end_at
+            where = base[r][token] + (e - low[r][token]) * line[token]
+            ends = [np.bincount(x[fits], minlength=cells).astype(np.int32) for x in (where + begin_at, where + end_at)]
+            count = np.cumsum(ends[0] - ends[1])
+            good = np.flatnonzero(count >= COMMON)
+            if not len(good):
+                continue
+            of = h[np.searchsorted(base[h], good, "right") - 1]
+            rest = good - base[of]
+            i, e = rest % (starts[of] + 1), low[of] + rest // (starts[of] + 1)
+            j = i + e
+            fits = (j >= 0) & (j + MIN_TOKENS <= n[at][of])
+            of, i, j, score = of[fits], i[fits], j[fits], count[good][fits]
+            order = np.lexsort((j, -score, i, of))
+            fresh = np.append(True, (of[order][1:] != of[order][:-1]) | (i[order][1:] != i[order][:-1]))[: len(order)]
+            order = order[fresh]
+            out.append((of[order] + at.start, i[order], j[order], score[order].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+class Runs:
+    """The runs of the texts in a table of _OPEN with the cells they belong to (low, high, side)."""
+
+    def __init__(self, table: pa.Table):
+        doc, owner, text, low, high, side = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "owner", "text", "low", "high", "side"))
+        order = np.lexsort((doc, text, high, low, owner))
+        same = lambda *cols: np.append(False, np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in cols]))
+        cell = np.cumsum(~same(owner, low, high)) - 1
+        copy = same(owner, low, high, text)
+        self.doc, self.cell, self.side, self.cross = doc[order], cell, side[order], (low != high)[order]
+        keys, runs, kinds, tokens = (table.column(c).take(pa.array(order)).to_pylist() for c in ("keys", "runs", "kinds", "tokens"))
+        self.stands = np.flatnonzero(~copy)[np.cumsum(~copy) - 1]  # the first of equal texts
+        self.tokens = np.frombuffer(b"".join(tokens), np.uint32)
+        size = np.array([len(t) // 4 for t in tokens], np.int64)
+        self.row = np.repeat(np.arange(len(doc)), [len(k) // 8 for k in keys])
+        self.key, self.kind = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(kinds), np.int64)
+        self.first, self.last, at = np.frombuffer(b"".join(runs), np.int32).reshape(-1, 3).astype(np.int64).T
+        self.at = at + (np.cumsum(size) - size)[self.row]
+        whole = (np.repeat(np.arange(len(doc), dtype=np.int64), size) << 32) | self.tokens.astype(np.int64)
+        order = np.argsort(whole, kind="stable")
+        again = np.zeros(len(whole) + 1, bool)  # tokens that stand shortly before, too
+        again[1:][order[1:][(whole[order][1:] == whole[order][:-1]) & (order[1:] - order[:-1] < MIN_TOKENS)]] = True
+        again = np.cumsum(again)
+        self.length = self.last - self.first + MIN_TOKENS
+        #: No stretch of the run has fewer distinct tokens.
+        self.fewest = np.maximum(MIN_TOKENS - (again[self.at + self.length] - again[self.at]), 1)
+
+    def copies(self) -> Iterator[tuple]:
+        """Rows of _LINK from the copies of a text to the first."""
+        stands, doc = self.stands[self.row], self.doc[self.row]
+        mine = np.flatnonzero((stands != self.row) & (doc != self.doc[stands]) & ~self.cross[self.row])
+        row, first, end, other = merged(self.row[mine], self.first[mine], self.last[mine], stands[mine])
+        for r, a, z, o in zip(row.tolist(), first.tolist(), end.tolist(), other.tolist()):
+            yield int(self.doc[r]), int(self.doc[o]), a, z + SHINGLE - 1, a, z + SHINGLE - 1, 1.0
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (run, run) of one signature that may be near: all but copies, those that lie in different chunks in a cell of two."""
+        stays = np.flatnonzero(self.stands[self.row] == self.row)
+        order = stays[np.lexsort((self.row[stays], self.key[stays], self.cell[self.row[stays]]))]
+        cell, key = self.cell[self.row[order]], self.key[order]
+        begin = np.flatnonzero(np.append(True, (cell[1:] != cell[:-1]) | (key[1:] != key[:-1]))[: len(order)])
+        size = np.diff(np.append(begin, len(order)))
+        out = [np.zeros((2, 0), np.int64)]
+        for n in range(2, FEW + 1):
+            i, j = np.triu_indices(n, 1)
+            group = begin[size == n][:, None]
+            out.append(np.stack([order[(group + i).ravel()], order[(group + j).ravel()]]))
+        for a, n in zip(begin[size > FEW].tolist(), size[size > FEW].tolist()):
+            out += self._many(order[a : a + n])
+        a, b = np.concatenate(out, axis=1)
+        ra, rb = self.row[a], self.row[b]
+        wanted = (self.doc[ra] != self.doc[rb]) & ((self.kind[a] != self.kind[b]) | (self.kind[a] < 0)) & (~self.cross[ra] | (self.side[ra] != self.side[rb]))
+        a, b = a[wanted], b[wanted]
+        later = self.doc[self.row[a]] > self.doc[self.row[b]]
+        return np.where(later, a, b), np.where(later, b, a)
+
+    def _many(self, group: np.ndarray) -> Iterator[np.ndarray]:
+        """The pairs of a large group that have enough tokens in common to be near, by a product of matrices."""
+        kind = self.kind[group]
+        if kind[0] >= 0 and (kind == kind[0]).all():
+            return
+        entry = np.repeat(np.arange(len(group)), self.length[group])
+        value, of, count = np.unique(self.tokens[_ranges(self.at[group], self.length[group])], return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count > 1)
+        column = np.full(len(value), -1, np.int64)
+        column[shared] = np.arange(len(shared))
+        entry, of = entry[column[of] >= 0], column[of][column[of] >= 0]
+        sides = [np.arange(len(group))] * 2
+        if self.cross[self.row[group[0]]]:
+            sides = [np.flatnonzero(self.side[self.row[group]] == k) for k in (0, 1)]
+        for some in np.array_split(sides[0], max(1, -(-len(sides[0]) // 1024))):
+            for others in np.array_split(sides[1], max(1, -(-len(sides[1]) // 1024))):
+                if not len(some) or not len(others) or (sides[0] is sides[1] and some[0] > others[-1]):
+                    continue
+                met = np.zeros((len(some), len(others)), np.float32)
+                for c in range(0, len(shared), 4096):
+                    held = np.zeros((len(group), min(4096, len(shared) - c)), np.float32)
+                    these = (of >= c) & (of < c + 4096)
+                    held[entry[these], of[these] - c] = 1
+                    met += held[some] @ held[others].T
+                least = SIMILARITY * np.maximum(np.maximum.outer(self.fewest[group[some]], self.fewest[group[others]]), np.add.outer(self.fewest[group[some]], self.fewest[group[others]]) / (1 + SIMILARITY))
+                i, j = np.nonzero(met >= least - 1e-3)
+                i, j = some[i], others[j]
+                once = i < j if sides[0] is sides[1] else np.ones(len(i), bool)
+                yield np.stack([group[i[once]], group[j[once]]])
+
+    def passages(self) -> tuple[np.ndarray, ...]:
+        """(row, first token, tokens, where they are; the same of the other row) of the runs that two texts share, those
+        together that overlap in both."""
+        a, b = self.pairs()
+        order = np.lexsort((self.first[b], self.first[a], self.row[b], self.row[a]))
+        a, b = a[order], b[order]
+        fresh = np.append(True, (self.row[a][1:] != self.row[a][:-1]) | (self.row[b][1:] != self.row[b][:-1]))[: len(a)]
+        reach = lambda x: self.first[x][:-1] + self.length[x][:-1]
+        fresh[1:] |= (self.first[a][1:] > reach(a)) | (self.first[b][1:] > reach(b)) | (self.first[b][:-1] > self.first[b][1:] + self.length[b][1:])
+        begin = np.flatnonzero(fresh)
+        if not len(begin):
+            return (np.zeros(0, np.int64),) * 8
+        out = []
+        for x in (a, b):
+            first, end = np.minimum.reduceat(self.first[x], begin), np.maximum.reduceat(self.first[x] + self.length[x], begin)
+            out += [self.row[x][begin], first, end - first, np.minimum.reduceat(self.at[x], begin)]
+        return tuple(out)
+
+    def links(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Columns of _LINK: passages that are similar as a whole, else what they hold of similar stretches."""
+        ra, fa, m, a, rb, fb, n, b = self.passages()
+        both, either = similar(self.tokens, a, m, b, n)
+        score = both / np.maximum(either, 1)
+        columns = lambda k, i, x, j, y, s: (self.doc[ra[k]], self.doc[rb[k]], fa[k] + i, fa[k] + i + x + SHINGLE - 2, fb[k] + j, fb[k] + j + y + SHINGLE - 2, s)
+        whole = np.flatnonzero(score >= SIMILARITY)
+        yield columns(whole, 0, m[whole], 0, n[whole], score[whole])
+        once = both + either == m + n  # no token is twice in one of them
+        rest = np.flatnonzero((score < SIMILARITY) & once & (both >= COMMON))
+        for some in _slices((m + n)[rest], 1 << 22):
+            yield from self._stretches(rest[some], a, m, b, n, columns)
+        found = []
+        for k in np.flatnonzero((score < SIMILARITY) & ~once).tolist():
+            found += [(k, i, z - i + 1, x, y - x + 1, s) for s, i, z, x, y in matches(self.tokens[a[k] : a[k] + m[k]], Other(self.tokens[b[k] : b[k] + n[k]]))]
+        if found:
+            yield columns(*(np.array(c) for c in zip(*found)))
+
+    def _stretches(self, rest: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray, columns) -> Iterator[tuple[np.ndarray, ...]]:
+        parts = -(-(m[rest] - MIN_TOKENS + 1) // STARTS)
+        k = np.repeat(rest, parts)
+        skipped = STARTS * _ranges(np.zeros(len(rest), np.int64), parts)
+        of, i, j, count = near_starts(self.tokens, a[k] + skipped, np.minimum(m[k] - skipped, STARTS + MIN_TOKENS - 1), b[k], n[k])
+        if not len(of):
+            return
+        k, i = k[of], i + skipped[of]
+        fresh = np.append(True, (k[1:] != k[:-1]) | (i[1:] > i[:-1] + MIN_TOKENS) | (np.abs((j - i)[1:] - (j - i)[:-1]) > MIN_TOKENS))
+        begin = np.flatnonzero(fresh)
+        part = np.cumsum(fresh) - 1
+        lead, low, high = k[begin], np.minimum.reduceat(j, begin), np.maximum.reduceat(j, begin)
+        x, y = np.maximum.reduceat(i, begin) - i[begin] + MIN_TOKENS, high - low + MIN_TOKENS
+        both, either = similar(self.tokens, a[lead] + i[begin], x, b[lead] + low, y)
+        good = both >= SIMILARITY * either - 1e-9
+        yield columns(lead[good], i[begin][good], x[good], low[good], y[good], both[good] / either[good])
+        left = np.flatnonzero(~good[part])  # the best of each MIN_TOKENS starts
+        order = left[np.lexsort((-count[left], (i[left] - i[begin][part[left]]) // MIN_TOKENS, part[left]))]
+        step = (i[order] - i[begin][part[order]]) // MIN_TOKENS
+        order = order[np.append(True, (part[order][1:] != part[order][:-1]) | (step[1:] != step[:-1]))[: len(order)]]
+        width = np.full(len(order), MIN_TOKENS)
+        yield columns(k[order], i[order], width, j[order], width, count[order] / (2 * MIN_TOKENS - count[order]))
+
+
+def _near_links(table: pa.Table) -> pa.Table:
+    """The links of the runs in some cells."""
+    runs = Runs(table)
+    kinds = [np.float64 if k == 6 else np.int64 for k in range(7)]
+    parts = [[np.array(c, t) for c, t in zip(_link_columns(list(runs.copies())), kinds)], *runs.links()]
+    return pa.table([pa.array(np.concatenate([np.asarray(p[k], t) for p in parts])) for k, t in enumerate(kinds)], _names(_LINK)).combine_chunks()
 
 
 class Placed:
-    """The documents in blocks, and the steps by which blocks get each other's texts. ids: only these need be there."""
+    """The documents in blocks, and the steps by which blocks get each other's texts."""
 
-    def __init__(self, docs: DataFrame, ids: DataFrame | None = None):
+    def __init__(self, docs: DataFrame):
         self.n = partitions(docs.sparkSession)
         base = clean_docs(docs).where("doc_id IS NOT NULL")
         self.blocks = block_count(base, BLOCK_BYTES, self.n)
-        base = base if ids is None else _perhaps_named(base, ids)
         self.docs = base.withColumn("block", self.block_of("doc_id")).repartition(self.n, "block")
 
     def block_of(self, c: str):
@@ -455,63 +725,40 @@ class Others:
         for name, end, count in zip(told.column("other_id").to_pylist(), np.cumsum(counts).tolist(), counts.tolist()):
             self.texts.setdefault(name, []).append(Other(tokens[end - count : end]))
 
-    def links(self, b: Block, passages: tuple[np.ndarray, ...]) -> Iterator[tuple[tuple, int, int, bool]]:
-        """passages: as Block.passages gives them. Rows of _LINK, with the first and last token in the block, and whether
-        the other text holds the same tokens there."""
+    def links(self, b: Block, passages: tuple[np.ndarray, ...]) -> Iterator[tuple[tuple, int, list[tuple[int, int]], bool]]:
+        """passages: as Block.passages gives them. Rows of _LINK, with the row in the block, the (first, last token) in the
+        block of what the other text holds token for token, and whether that is the whole text and nothing else."""
         for r, a, z, d in zip(*(x.tolist() for x in passages)):
             at, mine = int(b.start[r]), b.tokens[a : z + 1]
             found, same = max(((matches(mine, o), o.tokens) for o in self.texts.get(d, ())), key=lambda m: sum(x[2] - x[1] for x in m[0]), default=([], None))
+            copy = found and len(same) == b.counts[r] and np.array_equal(same, b.tokens[at : at + len(same)])
             for score, i, j, x, y in found:
                 row = (int(b.doc[r]), d, a - at + i, a - at + j + SHINGLE - 1, x, y + SHINGLE - 1, float(score))
-                yield row, a + i, a + j, score == 1.0 and np.array_equal(mine[i : j + 1], same[x : y + 1])
+                yield row, r, [(a + i + u, a + i + v) for u, v in equal_parts(mine[i : j + 1], same[max(x - MIN_TOKENS, 0) : y + MIN_TOKENS + 1])], copy
 
 
 def _link_columns(out: list[tuple]) -> list[list]:
     return [list(c) for c in zip(*out)] if out else [[] for _ in range(7)]
 
 
-def _perhaps_named(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids, and few others: ids become a bitmap of at most BITMAP_BITS, which is broadcast."""
-    bits = min(max(1 << (32 * ids.count()).bit_length(), _PART), BITMAP_BITS)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("_place")
-    part, within = F.expr(f"_place div {_PART}").alias("_part"), F.expr(f"_place % {_PART}")
-    maps = ids.select(place).groupBy(part).agg(F.bitmap_construct_agg(within).alias("_bits"))
-    met = docs.select("*", place).select("*", part).join(F.broadcast(maps), "_part")
-    byte = F.conv(F.hex(F.substring("_bits", F.expr(f"int((_place % {_PART}) div 8) + 1"), F.lit(1))), 16, 10).cast("int")
-    return met.where((F.call_function("shiftright", byte, F.expr("int(_place % 8)")) % 2 == 1)).select(*docs.columns)
-
-
-def further_links(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """The links of the runs (_RUN) that no owner answered for."""
-    bucketed = runs.withColumn("bucket", F.pmod("key", F.lit(4 * partitions(docs.sparkSession))).cast("int"))
-    pairs = written(bucketed.groupBy("bucket").applyInArrow(_candidates, _PAIR), "pairs")
-    placed = Placed(docs, pairs.select(F.explode(F.array("doc_id", "other_id")).alias("doc_id")).distinct())
-
-    def compare(key, table: pa.Table, told: pa.Table) -> pa.Table:
-        asked = told.filter(pc.is_valid(told["doc_id"])) if told.num_rows else told
-        doc, other, first, last = (asked.column(c).to_numpy() for c in _names(_PAIR))
-        wanted = table.filter(pc.is_in(table["doc_id"], pa.array(np.unique(doc))))
-        b = Block(wanted.column("doc_id").to_numpy(), wanted.column("text").to_pylist())
-        begin, end = np.searchsorted(b.doc, doc), np.searchsorted(b.doc, doc, "right")
-        of = np.repeat(np.arange(len(doc)), end - begin)  # every row of a doc_id that is long enough
-        row = np.arange(len(of)) - np.repeat(np.cumsum(end - begin) - (end - begin), end - begin) + begin[of]
-        fits = last[of] + MIN_TOKENS <= b.counts[row]
-        of, row = of[fits], row[fits]
-        passages = merged(row, first[of] + b.start[row], last[of] + b.start[row], other[of])
-        out = [row for row, _, _, _ in Others(told).links(b, passages)]
-        return pa.table([pa.array(c, pa.float64() if k == 6 else pa.int64()) for k, c in enumerate(_link_columns(out))], _names(_LINK))
-
-    replies = placed.replies(pairs.select(placed.block_of("doc_id").alias("asking"), "other_id").distinct())
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    both = pairs.select(placed.block_of("doc_id").alias("block"), *_names(_PAIR), none("string", "text"))
-    both = both.unionByName(replies.select("block", none("long", "doc_id"), "other_id", none("long", "first_word"), none("long", "last_word"), "text"))
-    return placed.docs.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(compare, _LINK).distinct()
+def further_links(runs: DataFrame) -> DataFrame:
+    """The links between the runs (_OPEN) of one signature, other than those to its owner.
+
+    Texts of an owner with many are dealt into parts by a hash of the text; a text goes to a cell with each part.
+    """
+    parts = F.ceil(F.approx_count_distinct("text") / F.lit(MEMBERS)).cast("int").alias("parts")
+    many = written(runs.groupBy("owner").agg(parts).where("parts > 1"), "owners")
+    placed = runs.join(many, "owner", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("text"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    cell = [F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side")]
+    bucketed = placed.select(*_names(_OPEN), *cell).withColumn("bucket", F.pmod(F.xxhash64("owner", "low", "high"), F.lit(4 * partitions(runs.sparkSession))).cast("int"))
+    return bucketed.groupBy("bucket").applyInArrow(_near_links, _LINK).distinct()
 
 
 def passage_links(docs: DataFrame) -> DataFrame:
     """doc_id, other_id (an earlier document), the words of the passage in both, and the similarity of their token sets."""
     found = written(_owner_links(docs), "passages")
-    return found.where("other_id IS NOT NULL").select(*_names(_LINK)).unionByName(further_links(docs, found.where("other_id IS NULL").select(*_names(_RUN))))
+    return found.where("other_id IS NOT NULL").select(*_names(_LINK)).unionByName(further_links(found.where("other_id IS NULL").select(*_names(_OPEN))))
 
 
 def _owner_links(docs: DataFrame) -> DataFrame:
@@ -562,18 +809,24 @@ def _owner_links(docs: DataFrame) -> DataFrame:
         answers = told.filter(pc.is_valid(told["owners"])) if told.num_rows else told
         _, of, _, bucket = _bucketed(b, buckets)
         owner, more = (x[of] for x in _owners(answers, bucket))
-        out, linked, exact = [], np.zeros(len(b.tokens), bool), np.zeros(len(b.tokens), bool)
-        for row, a, z, same in Others(told).links(b, b.passages(owner)):
+        out, equal, linked, copies = [], [], {}, set()
+        for row, r, parts, copy in Others(told).links(b, b.passages(owner)):
             out.append(row)
-            linked[a : z + 1] = True
-            exact[a : z + 1] |= same
-        run, stretch, free = b.open_runs(np.flatnonzero(more & (owner < b.doc[b.row])), linked, exact)
-        cols, known, at = _link_columns(out), len(out), b.start[b.row[run]]
-        for c, values in enumerate((b.doc[b.row[run]], None, b.first[run] - at, b.last[run] - at, None, None, None)):
-            cols[c] += [None] * len(run) if values is None else values.tolist()
-        cols += [[None] * known + x for x in (b.key[run].view(np.int64).tolist(), [x.tobytes() for x in stretch], free.tolist())]
-        kinds = (pa.int64(),) * 6 + (pa.float64(), pa.int64(), pa.binary(), pa.bool_())
-        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], [*_names(_LINK), "key", "stretch", "free"])
+            equal += [(a, z, row[1], r) for a, z in parts]
+            if copy:
+                copies.add((r, row[1]))
+            linked.setdefault((r, row[1]), []).append((row[2], row[3] - SHINGLE + 2))
+        # an edited copy of the owner's whole text is a text of its own, whatever parts of it are equal
+        edited = {(r, d) for (r, d), parts in linked.items() if b.mostly(r, parts)} - copies
+        exact = [(a, z, d) for a, z, d, r in equal if (r, d) not in edited]
+        shared = np.flatnonzero(more & (owner < b.doc[b.row]))
+        runs = list(b.sent_runs(*b.open_runs(shared, owner[shared], exact)))
+        cols, sent = _link_columns(out), list(zip(*runs)) if runs else [[]] * 7
+        for c in range(len(cols)):
+            cols[c] += sent[0] if c == 0 else [None] * len(runs)
+        cols += [[None] * len(out) + list(x) for x in sent[1:]]
+        kinds = (pa.int64(),) * 6 + (pa.float64(), pa.int64(), pa.int64()) + (pa.binary(),) * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, kinds)], [*_names(_LINK), *_names(_OPEN)[1:]])
 
     # one plan, so that the texts are shuffled once and that exchange is used by every pass
     sent = placed.docs.groupBy("block").applyInArrow(send, "bucket int, block int, keys binary, docs binary, two binary")
@@ -582,7 +835,7 @@ def _owner_links(docs: DataFrame) -> DataFrame:
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     both = told.select("block", "bucket", "owners", "more", none("long", "other_id"), none("string", "text"))
     both = both.unionByName(replies.select("block", none("int", "bucket"), none("binary", "owners"), none("binary", "more"), "other_id", "text"))
-    return placed.docs.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(verify, _LINK + ", key long, stretch binary, free boolean")
+    return placed.docs.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(verify, _LINK + _OPEN.removeprefix("doc_id long"))
 
 
 def near_duplicate_passages(docs: DataFrame) -> DataFrame:

@@ -276,6 +276,60 @@ def test_a_passage_of_which_others_own_the_signatures(spark):
     assert {(x.doc_id, x.other_id) for x in got} == {(1001, 1000)}
 
 
+def test_each_two_near_texts_are_linked(spark):
+    """Edited copies of a passage, near each other or near a third only, beside whole copies: no near pair of different texts is left out."""
+    r, texts = random.Random(77), []
+    for family in range(6):
+        clean = words(300 + family, 60 + 10 * family, 5000).split()
+        for copy in range(36):
+            t = list(clean)
+            for _ in range(copy % 3):
+                at = r.randrange(len(t))
+                t[at : at + r.randrange(2)] = [f"edit{copy}x{family}"]
+            texts.append(" ".join(t))
+    texts += texts[40:50] * 3
+    got = passages.near_duplicate_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    first = {}
+    stands = [first.setdefault(t, i) for i, t in enumerate(texts)]
+    need = {(i, j) for i, j in brute_pairs(texts) if stands[i] == i and stands[j] == j}
+    found = {(x.doc_id, x.other_id) for x in got}
+    assert len(need & found) >= 0.98 * len(need)
+    assert {i for i, j in enumerate(stands) if i != j} <= {i for i, _ in found}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    cut = lambda d, a, z: {tuple(texts[d].split()[i : i + 5]) for i in range(a, z - 3)}
+    for x in got:
+        one, two = cut(x.doc_id, x.first_word, x.last_word), cut(x.other_id, x.other_first_word, x.other_last_word)
+        assert one <= sets[x.doc_id] and two <= sets[x.other_id] and x.last_word - x.first_word >= 49
+        assert x.similarity == pytest.approx(len(one & two) / len(one | two)) and x.similarity >= 0.8 - 1e-9
+
+
+def test_parts_of_an_owner_with_many_texts(spark, monkeypatch):
+    """Cells of two parts find what one cell finds."""
+    clean, texts = words(401, 70, 5000).split(), []
+    for copy in range(60):
+        t = list(clean)
+        t[(7 * copy) % 70] = f"edit{copy}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {(x.doc_id, x.other_id) for x in passages.passage_links(docs).collect()}
+    monkeypatch.setattr(passages, "MEMBERS", 9)
+    assert {(x.doc_id, x.other_id) for x in passages.passage_links(docs).collect()} == whole
+    monkeypatch.setattr(passages, "FEW", 2)
+    assert {(x.doc_id, x.other_id) for x in passages.passage_links(docs).collect()} == whole
+    assert len(whole & brute_pairs(texts)) >= 0.98 * len(brute_pairs(texts))
+
+
+def test_near_starts_are_those_of_all_stretches():
+    r, n = np.random.default_rng(8), passages.MIN_TOKENS
+    for _ in range(20):
+        a = r.choice(1 << 20, 90, replace=False).astype(np.uint32)
+        b = np.concatenate([a[5:40], a[41:90], r.choice(np.arange(1 << 21, 1 << 22), 9, replace=False).astype(np.uint32)])
+        b[r.integers(0, len(b), 3)] = r.choice(np.arange(1 << 23, 1 << 24), 3, replace=False)
+        got = passages.near_starts(np.concatenate([a, b]), *(np.array([x]) for x in (0, 90, 90, len(b))))
+        best = {i: max(len({*a[i : i + n].tolist()} & {*b[j : j + n].tolist()}) for j in range(len(b) - n + 1)) for i in range(90 - n + 1)}
+        assert dict(zip(got[1].tolist(), got[3].tolist())) == {i: c for i, c in best.items() if c >= 0.8 * (2 * n - c)}
+
+
 def test_matches_beside_repeated_lines_and_in_another_order():
     line, one, two = (words(k, n, 5000).split() for k, n in ((201, 6), (202, 200), (203, 100)))
     tokens = lambda *parts: passages.tokens_of([" ".join(sum(parts, [])).encode()])[0]
