@@ -16,6 +16,10 @@ doc_id stands for all (the others link to it), and passages that are equal to th
 texts that are edited copies of the owner's as a whole.
 Links join documents to classes.
 
+All links of a family of edited copies are the square of the family. passage_classes gives the classes alone, one row per
+document, and compares no two texts that are in one class already: the owners' links are joined first, then the runs of
+different classes meet, in cells that grow with the texts and at last in all cells that two classes are left in.
+
 Documents lie in blocks by a hash of doc_id; a block sends each signature once, asks each document once, and gets its text
 back, so hot signatures and hot owners cost one row a block.
 
@@ -47,6 +51,10 @@ HASHES = 8
 EDGE = int((1 - SIMILARITY) / (1 + SIMILARITY) * MIN_TOKENS + 1e-9) + 4
 #: Documents of one owner that are compared with as many others in one cell.
 MEMBERS = 256
+#: Pairs of passages that are compared before it is looked at what they join.
+FIRST = 1 << 12
+#: Rows of cells that a task takes at once.
+CELL_ROWS = 1 << 11
 #: Runs of a signature up to which all pairs are listed before they are looked at.
 FEW = 24
 BLOCK_BYTES = 2 << 20
@@ -423,6 +431,7 @@ def matches(passage: np.ndarray, other: Other, shares: tuple = SHARES) -> list[t
 
 
 _LINK = "doc_id long, other_id long, first_word long, last_word long, other_first_word long, other_last_word long, similarity double"
+_JOIN = f"{_LINK}, label long, other_label long"
 #: A text's runs of one owner. runs: of each its first and last start and where its tokens begin, as 32-bit numbers.
 _OPEN = "doc_id long, owner long, text long, keys binary, runs binary, kinds binary, tokens binary"
 
@@ -533,7 +542,10 @@ def near_starts(tokens: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray,
 
 
 class Runs:
-    """The runs of the texts in a table of _OPEN with the cells they belong to (low, high, side)."""
+    """The runs of the texts in a table of _OPEN with the cells they belong to (low, high, side).
+
+    Two runs are compared if their labels differ: those of a table with labels, else each document is one of its own.
+    """
 
     def __init__(self, table: pa.Table):
         doc, owner, text, low, high, side = (table.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "owner", "text", "low", "high", "side"))
@@ -542,6 +554,7 @@ class Runs:
         cell = np.cumsum(~same(owner, low, high)) - 1
         copy = same(owner, low, high, text)
         self.doc, self.cell, self.side, self.cross = doc[order], cell, side[order], (low != high)[order]
+        self.label = table.column("label").to_numpy()[order] if "label" in table.column_names else self.doc
         keys, runs, kinds, tokens = (table.column(c).take(pa.array(order)).to_pylist() for c in ("keys", "runs", "kinds", "tokens"))
         self.stands = np.flatnonzero(~copy)[np.cumsum(~copy) - 1]  # the first of equal texts
         self.tokens = np.frombuffer(b"".join(tokens), np.uint32)
@@ -579,19 +592,29 @@ class Runs:
             i, j = np.triu_indices(n, 1)
             group = begin[size == n][:, None]
             out.append(np.stack([order[(group + i).ravel()], order[(group + j).ravel()]]))
+        few = self._wanted(*np.concatenate(out, axis=1))
+        met, _ = similar(self.tokens, self.at[few[0]], self.length[few[0]], self.at[few[1]], self.length[few[1]])
+        out = [few[:, met >= self._least(*self.fewest[few]) - 1e-3]]
         for a, n in zip(begin[size > FEW].tolist(), size[size > FEW].tolist()):
-            out += self._many(order[a : a + n])
+            out += (self._wanted(*x) for x in self._many(order[a : a + n]))
         a, b = np.concatenate(out, axis=1)
-        ra, rb = self.row[a], self.row[b]
-        wanted = (self.doc[ra] != self.doc[rb]) & ((self.kind[a] != self.kind[b]) | (self.kind[a] < 0)) & (~self.cross[ra] | (self.side[ra] != self.side[rb]))
-        a, b = a[wanted], b[wanted]
         later = self.doc[self.row[a]] > self.doc[self.row[b]]
         return np.where(later, a, b), np.where(later, b, a)
 
+    def _wanted(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        ra, rb = self.row[a], self.row[b]
+        wanted = (self.label[ra] != self.label[rb]) & ((self.kind[a] != self.kind[b]) | (self.kind[a] < 0)) & (~self.cross[ra] | (self.side[ra] != self.side[rb]))
+        return np.stack([a[wanted], b[wanted]])
+
+    @staticmethod
+    def _least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Tokens that two runs have in common where stretches with so many distinct tokens and more are near."""
+        return SIMILARITY * np.maximum(np.maximum(a, b), (a + b) / (1 + SIMILARITY))
+
     def _many(self, group: np.ndarray) -> Iterator[np.ndarray]:
         """The pairs of a large group that have enough tokens in common to be near, by a product of matrices."""
-        kind = self.kind[group]
-        if kind[0] >= 0 and (kind == kind[0]).all():
+        kind, label = self.kind[group], self.label[self.row[group]]
+        if (kind[0] >= 0 and (kind == kind[0]).all()) or (label == label[0]).all():
             return
         entry = np.repeat(np.arange(len(group)), self.length[group])
         value, of, count = np.unique(self.tokens[_ranges(self.at[group], self.length[group])], return_inverse=True, return_counts=True)
@@ -612,8 +635,8 @@ class Runs:
                     these = (of >= c) & (of < c + 4096)
                     held[entry[these], of[these] - c] = 1
                     met += held[some] @ held[others].T
-                least = SIMILARITY * np.maximum(np.maximum.outer(self.fewest[group[some]], self.fewest[group[others]]), np.add.outer(self.fewest[group[some]], self.fewest[group[others]]) / (1 + SIMILARITY))
-                i, j = np.nonzero(met >= least - 1e-3)
+                least = self._least(self.fewest[group[some]][:, None], self.fewest[group[others]][None, :])
+                i, j = np.nonzero((met >= least - 1e-3) & np.not_equal.outer(label[some], label[others]))
                 i, j = some[i], others[j]
                 once = i < j if sides[0] is sides[1] else np.ones(len(i), bool)
                 yield np.stack([group[i[once]], group[j[once]]])
@@ -636,12 +659,11 @@ class Runs:
             out += [self.row[x][begin], first, end - first, np.minimum.reduceat(self.at[x], begin)]
         return tuple(out)
 
-    def links(self) -> Iterator[tuple[np.ndarray, ...]]:
-        """Columns of _LINK: passages that are similar as a whole, else what they hold of similar stretches."""
-        ra, fa, m, a, rb, fb, n, b = self.passages()
+    def links(self, ra: np.ndarray, fa: np.ndarray, m: np.ndarray, a: np.ndarray, rb: np.ndarray, fb: np.ndarray, n: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Columns of _LINK, rows in place of documents: passages that are similar as a whole, else what they hold of similar stretches."""
         both, either = similar(self.tokens, a, m, b, n)
         score = both / np.maximum(either, 1)
-        columns = lambda k, i, x, j, y, s: (self.doc[ra[k]], self.doc[rb[k]], fa[k] + i, fa[k] + i + x + SHINGLE - 2, fb[k] + j, fb[k] + j + y + SHINGLE - 2, s)
+        columns = lambda k, i, x, j, y, s: (ra[k], rb[k], fa[k] + i, fa[k] + i + x + SHINGLE - 2, fb[k] + j, fb[k] + j + y + SHINGLE - 2, s)
         whole = np.flatnonzero(score >= SIMILARITY)
         yield columns(whole, 0, m[whole], 0, n[whole], score[whole])
         once = both + either == m + n  # no token is twice in one of them
@@ -678,12 +700,41 @@ class Runs:
         yield columns(k[order], i[order], width, j[order], width, count[order] / (2 * MIN_TOKENS - count[order]))
 
 
+    def joining(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """As links, of all passages: those that join labels which no link before has joined. What is joined is not compared."""
+        passages = self.passages()
+        ids, label = np.unique(self.label, return_inverse=True)
+        root = np.arange(len(ids))
+        todo, size = np.arange(len(passages[0])), FIRST
+        while len(todo):
+            some, todo, size = todo[:size], todo[size:], 2 * size
+            for found in self.links(*(x[some] for x in passages)):
+                kept = []
+                for k, (i, j) in enumerate(zip(label[found[0]].tolist(), label[found[1]].tolist())):
+                    if root[i] != root[j]:
+                        root[root == max(root[i], root[j])] = min(root[i], root[j])
+                        kept.append(k)
+                yield tuple(c[kept] for c in found)
+            todo = todo[root[label[passages[0][todo]]] != root[label[passages[4][todo]]]]
+
+
+_KINDS = [np.float64 if c == "similarity" else np.int64 for c in _names(_LINK)]
+
+
 def _near_links(table: pa.Table) -> pa.Table:
     """The links of the runs in some cells."""
     runs = Runs(table)
-    kinds = [np.float64 if k == 6 else np.int64 for k in range(7)]
-    parts = [[np.array(c, t) for c, t in zip(_link_columns(list(runs.copies())), kinds)], *runs.links()]
-    return pa.table([pa.array(np.concatenate([np.asarray(p[k], t) for p in parts])) for k, t in enumerate(kinds)], _names(_LINK)).combine_chunks()
+    parts = [[np.array(c, t) for c, t in zip(_link_columns(list(runs.copies())), _KINDS)]]
+    parts += [(runs.doc[row], runs.doc[other], *rest) for row, other, *rest in runs.links(*runs.passages())]
+    return pa.table([pa.array(np.concatenate([np.asarray(p[k], t) for p in parts])) for k, t in enumerate(_KINDS)], _names(_LINK)).combine_chunks()
+
+
+def _joining_links(table: pa.Table) -> pa.Table:
+    """Of the links of the runs in some cells those that join the labels which any of them joins, with both labels."""
+    runs, kinds = Runs(table), [*_KINDS, np.int64, np.int64]
+    parts = [[np.zeros(0, t) for t in kinds]]
+    parts += [(runs.doc[row], runs.doc[other], *rest, runs.label[row], runs.label[other]) for row, other, *rest in runs.joining()]
+    return pa.table([pa.array(np.concatenate([np.asarray(p[k], t) for p in parts])) for k, t in enumerate(kinds)], _names(_JOIN)).combine_chunks()
 
 
 class Placed:
@@ -845,5 +896,69 @@ def near_duplicate_passages(docs: DataFrame) -> DataFrame:
     return links.join(found.select(F.col("node").alias("doc_id"), F.col("root").alias("class_id")), "doc_id")
 
 
+def _joined_nodes(edges: DataFrame) -> DataFrame:
+    """node, root for every node of edges a, b, roots too."""
+    found = components(edges)
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _relabelled(rows: DataFrame, joined: DataFrame, *columns: str) -> DataFrame:
+    """rows with the labels that ``joined`` (node, root) gives to theirs."""
+    return rows.join(joined, rows["label"] == joined["node"], "left").select(*columns, F.coalesce("root", "label").alias("label"))
+
+
+def _bridges(texts: DataFrame) -> DataFrame:
+    """texts: doc_id, owner, text, label. The cells in which the texts of an owner with several labels meet: up to two parts
+    are one cell; of more parts the first meets each, so that every text goes to one cell but for those of the first part."""
+    many = texts.groupBy("owner").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
+    many = many.select("owner", F.when(F.col("texts") > 2 * MEMBERS, F.ceil(F.col("texts") / MEMBERS)).otherwise(1).cast("int").alias("parts"))
+    placed = texts.join(many, "owner").withColumn("part", F.pmod(F.xxhash64("text"), "parts").cast("int"))
+    high = F.explode(F.expr("if(part = 0, sequence(0, parts - 1), array(part))")).alias("high")
+    return placed.select("doc_id", "owner", "text", "label", "part", high).select("doc_id", "owner", "text", "label", F.lit(0).alias("low"), "high", (F.col("part") > 0).cast("int").alias("side"))
+
+
+def _remaining(texts: DataFrame) -> DataFrame:
+    """As _bridges, for owners of more than two parts: all cells of two parts, but for two of the owner's commonest label."""
+    counts = texts.groupBy("owner", "label").agg(F.count(F.lit(1)).alias("texts")).groupBy("owner")
+    counts = counts.agg(F.sum("texts").alias("all"), F.max(F.struct("texts", "label")).alias("main")).where(f"all > {2 * MEMBERS} AND all > main.texts")
+    parts = lambda n: F.ceil(n / F.lit(MEMBERS)).cast("int")
+    many = counts.select("owner", F.col("main.label").alias("main"), parts(F.col("all") - F.col("main.texts")).alias("others"), parts(F.col("main.texts")).alias("mains"))
+    part = F.expr("if(label = main, others + pmod(xxhash64(text), mains), pmod(xxhash64(text), others))").cast("int").alias("part")
+    with_part = F.explode(F.expr("sequence(0, if(label = main, others, others + mains) - 1)")).alias("other")
+    placed = texts.join(many, "owner").select("doc_id", "owner", "text", "label", part, with_part)
+    return placed.select("doc_id", "owner", "text", "label", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+
+
+def _joined_labels(runs: DataFrame, cells: DataFrame) -> DataFrame:
+    """runs: _OPEN; cells: as _bridges gives them. node, root of the labels that the links in the cells join."""
+    cells = written(cells, "cells")
+    buckets = max(4 * partitions(runs.sparkSession), -(-cells.count() // CELL_ROWS))
+    bucketed = runs.join(cells, ["doc_id", "owner", "text"]).withColumn("bucket", F.pmod(F.xxhash64("owner", "low", "high"), F.lit(buckets)).cast("int"))
+    return _joined_nodes(bucketed.groupBy("bucket").applyInArrow(_joining_links, _JOIN).select(F.col("label").alias("a"), F.col("other_label").alias("b")))
+
+
+def passage_classes(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, class_id (the smallest doc_id that its links reach, itself included), linked (to any other).
+
+    The classes are those of all of passage_links, but two texts that are in one class already are not compared: a family
+    of edited copies is joined through its owner. The open runs of different classes meet twice: in cells that grow with
+    the texts, and what is still apart then in all cells of its owner.
+    """
+    found = written(_owner_links(docs), "passages")
+    runs = found.where("other_id IS NULL").select(*_names(_OPEN))
+    every = runs.select("doc_id", "owner", "text")
+    first = every.groupBy("owner", "text").agg(F.min("doc_id").alias("first"))
+    equal = every.join(first, ["owner", "text"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    labels = [_joined_nodes(found.where("other_id IS NOT NULL").select(F.col("doc_id").alias("a"), F.col("other_id").alias("b")).unionByName(equal))]
+    texts = first.select(F.col("first").alias("doc_id"), "owner", "text", F.col("first").alias("label"))
+    for cells in (_bridges, _remaining):
+        texts = written(_relabelled(texts, labels[-1], "doc_id", "owner", "text"), "texts")
+        labels.append(_joined_labels(runs, cells(texts)))
+    out = clean_docs(docs).where("doc_id IS NOT NULL").select("doc_id").distinct().select("doc_id", F.lit(False).alias("linked"), F.col("doc_id").alias("label"))
+    for joined in labels:
+        out = _relabelled(out, joined, "doc_id", (F.col("linked") | F.col("node").isNotNull()).alias("linked"))
+    return out.select("doc_id", F.col("label").alias("class_id"), "linked")
+
+
 def op1_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicate_passages(docs_table(spark, sf_dir))
+    return passage_classes(docs_table(spark, sf_dir))

@@ -34,7 +34,8 @@ def test_one_row_for_each_input_row(spark, name, table):
 
 def test_passages_find_every_repeat_of_51_words(spark):
     got = Q.queries()["op1_compact_windows"](spark, SF).collect()
-    linked, first, need = {r.doc_id for r in got}, {}, set()
+    assert len({r.doc_id for r in got}) == len(got) == spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").distinct().count()
+    linked, first, need = {r.doc_id for r in got if r.linked}, {}, set()
     for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
         ws = (r.text or "").lower().split()
         for i in range(len(ws) - 50):

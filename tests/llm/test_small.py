@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -319,6 +320,84 @@ def test_parts_of_an_owner_with_many_texts(spark, monkeypatch):
     assert len(whole & brute_pairs(texts)) >= 0.98 * len(brute_pairs(texts))
 
 
+def families():
+    """Edited copies: near the owner of their signatures, near each other only, and whole copies of some."""
+    r, texts = random.Random(78), []
+    for family in range(4):
+        clean = words(700 + family, 70, 5000).split()
+        if family % 2:  # texts that own signatures of the passage and are near to none
+            texts += [f"{words(720 + 10 * family + k, 60, 5000)} {' '.join(clean[14 * k : 14 * k + 14])} {words(820 + 10 * family + k, 60, 5000)}" for k in range(5)]
+        for copy in range(40):
+            t = list(clean)
+            for _ in range(copy % 5):
+                t[r.randrange(len(t))] = f"edit{copy}x{r.randrange(1000)}"
+            texts.append(" ".join(t))
+    return texts + texts[20:60] + [words(900 + k, 60, 5000) for k in range(10)] + ["", None]
+
+
+@pytest.mark.parametrize("members", [256, 9])
+def test_classes_are_those_of_all_links(spark, monkeypatch, members):
+    texts = families()
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[3])], "doc_id long, text string")
+    root = list(range(len(texts)))
+    for x in passages.passage_links(docs).collect():
+        a, b = root[x.doc_id], root[x.other_id]
+        root = [min(a, b) if k in (a, b) else k for k in root]
+    monkeypatch.setattr(passages, "MEMBERS", members)
+    monkeypatch.setattr(passages, "FIRST", members)
+    got = passages.passage_classes(docs).collect()
+    assert sorted((x.doc_id, x.class_id) for x in got) == list(enumerate(root))
+    assert {x.doc_id for x in got if x.linked} == {k for k, c in enumerate(root) if root.count(c) > 1}
+    assert max(map(root.count, root)) >= 40
+
+
+def test_classes_of_no_documents(none):
+    assert passages.passage_classes(none).count() == 0
+
+
+def test_links_that_join_grow_with_the_texts(spark, monkeypatch):
+    """A family that no owner has joined yet: as many links as it takes, not those of all pairs."""
+    clean, texts = words(401, 70, 5000).split(), []
+    for copy in range(60):
+        t = list(clean)
+        t[(7 * copy) % 70] = f"edit{copy}"
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = passages._owner_links(docs).where("other_id IS NULL").select(*passages._names(passages._OPEN)).cache()
+    own = runs.select("doc_id", "owner", "text", F.col("doc_id").alias("label"))
+    all_links = passages.further_links(runs).collect()
+
+    def joins(links):
+        root, n = list(range(60)), 0
+        for x in links:
+            a, b = root[x.doc_id], root[x.other_id]
+            n += a != b
+            root = [min(a, b) if k in (a, b) else k for k in root]
+        return n
+
+    assert len(all_links) > 500 and joins(all_links) > 40
+    for members in (256, 6):
+        monkeypatch.setattr(passages, "MEMBERS", members)
+        placed = runs.join(passages._bridges(own), ["doc_id", "owner", "text"]).withColumn("bucket", F.pmod(F.xxhash64("owner", "low", "high"), F.lit(100 * (members < 60) + 1)))
+        links = placed.groupBy("bucket").applyInArrow(passages._joining_links, passages._JOIN).collect()
+        assert joins(links) == joins(all_links) and len(links) <= (placed.count() if members < 60 else joins(all_links))
+        assert all((x.label, x.other_label) == (x.doc_id, x.other_id) and x.similarity >= 0.8 - 1e-9 for x in links)
+
+
+@pytest.mark.parametrize("few", [24, 1])
+def test_links_do_not_depend_on_how_many_runs_a_signature_has(monkeypatch, few):
+    """A run that is near as a whole only, beside one that overlaps it and is not near."""
+    one = np.arange(13, 86, dtype=np.uint32)
+    two = np.where(((one >= 40) & (one < 46)) | (one >= 68), one + 1000, one).astype(np.uint32)
+    runs = np.array([[13, 22, 0], [23, 40, 10]], np.int32).tobytes()
+    row = {"owner": 1, "keys": np.array([5, 6], np.uint64).tobytes(), "runs": runs, "kinds": np.full(2, -1, np.int64).tobytes(), "low": 0, "high": 0, "side": 0}
+    table = pa.Table.from_pylist([row | {"doc_id": d, "text": d, "tokens": t.tobytes()} for d, t in ((7, one), (9, two))])
+    monkeypatch.setattr(passages, "FEW", few)
+    (got,) = passages._near_links(table).to_pylist()
+    assert (got["doc_id"], got["other_id"], got["first_word"], got["last_word"]) == (9, 7, 13, 13 + 55 + 3)
+    assert got["similarity"] == pytest.approx(49 / 61)
+
+
 def test_near_starts_are_those_of_all_stretches():
     r, n = np.random.default_rng(8), passages.MIN_TOKENS
     for _ in range(20):
