@@ -102,10 +102,11 @@ def audited_claims(claims: DataFrame, evidence: DataFrame, segment: str, names:
     open_ = F.col("support") == "similar?"
     lacking = F.filter("anchor_keys", lambda a: ~F.contains(F.col("evidence_key"), a))
     pairs = judged.withColumns({"lacking": lacking, "_a": F.when(open_, F.col("claim_key")), "_b": F.when(open_, F.col("evidence_key")), "_floor": enough})
-    # dealt out anew, in a number that stays: rows are short for the work that their windows make
+    # dealt out anew, in a number that stays: rows are short for the work that their windows make. A filter on what comes of the
+    # function must not move it to where rows were before: it does not pass a function that may give another value
     tasks = int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = pairs.drop("_names", "_folded", "claim_key", "evidence_key", "anchor_keys").repartition(tasks, segment, "claim")
-    scored = dealt.withColumn("score", near_window_ratio("_a", "_b", "_floor"))
+    scored = dealt.withColumn("score", near_window_ratio.asNondeterministic()("_a", "_b", "_floor"))
     support = F.when(F.col("_a").isNull(), F.col("support")).when(F.col("score") >= F.col("_floor"), "similar").otherwise("none")
     return scored.withColumn("support", support).drop("_a", "_b", "_floor")
 

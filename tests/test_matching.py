@@ -120,6 +120,19 @@ def test_claims_of_all_fields_that_the_evidence_lacks(spark):
     assert set(two) == {"从健德门出发", "全程88公里", "平坦开阔的大片农田与果园相间分布", "the note carries this one"} and all(v == ("none", "") for v in two.values())
 
 
+def test_claims_are_dealt_out_before_they_are_compared(spark):
+    from quillspark.operators import evidence as E
+
+    segments = spark.createDataFrame([(1, *E.AUDITED_FIELDS)], "seg int, " + ", ".join(f"{f} string" for f in E.AUDITED_FIELDS))
+    pages = spark.createDataFrame([(7, "nothing")], "page int, text string")
+    refs = spark.createDataFrame([(1, 0, "7", "q", "n")], "seg int, ord int, page string, quote string, note string")
+    logical, physical = plan_of(E.unsupported_claims(segments, refs, pages, "seg", "ord", E.named_places(F.array(F.lit("a")))))
+    # from the top down: a filter on the outcome must not take the comparison below the exchange
+    assert physical.count("near_window_ratio") == 1 and 0 < physical.index("near_window_ratio") < physical.index("REPARTITION_BY_NUM")
+    # keys of keywords are values by then, not worked out for each claim
+    assert "[健德门,健德门]" in logical
+
+
 def test_circled_numbers_are_no_anchors(spark):
     from quillspark.operators import evidence as E
 
