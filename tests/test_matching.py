@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.functions import udf
 from quillspark.functions.udf import WIDTHS, near_ratios, window_bounds, window_ratio
 from quillspark.operators import joins as J
 from quillspark.operators.qgrams import contained
@@ -161,3 +162,27 @@ def test_near_ratios_are_those_of_one_pair_at_a_time():
     want = [window_ratio(q, t, floor, True) if q and t else None for q, t, floor in pairs]
     assert near_ratios(pairs) == want
     assert 20 < sum(x is None for x in want) < 130
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 16, 1])
+def test_blocks_from_a_table_of_runs_are_those_of_difflib(monkeypatch, most):
+    monkeypatch.setattr(udf, "_TABLE", most)  # no table at all is the way before
+    rng, pairs = random.Random(8), []
+    for n in [4, 11, 62, 63, 64, 90, 126, 127, 140, 200, 264] * 4:
+        letters = rng.choice(["ab", "abcdefgh", "etaoinshrdlu"])
+        quote = "".join(rng.choice(letters) for _ in range(n))
+        text = "".join(rng.choice(letters + "é") for _ in range(rng.choice([1, 40, 300])))
+        pairs.append((quote, text + quote[n // 3 : n // 3 * 2] + text[: n // 2] + quote[: n // 4], rng.choice([0.3, 0.45, 0.6, 0.8])))
+    assert near_ratios(pairs) == [window_ratio(q, t, floor, True) for q, t, floor in pairs]
+
+
+def test_most_windows_are_told_without_their_own_table(monkeypatch):
+    """Comparing each window by itself grows with the square of the quote: short windows are looked up, and of long ones those that
+    have too few rare characters are given up."""
+    compared, whole = [], udf._longest
+    monkeypatch.setattr(udf, "_longest", lambda a, sizes, *x: compared.append(len(sizes)) or whole(a, sizes, *x))
+    rng = random.Random(9)
+    some = lambda n: "".join(rng.choice("etaoinshrdlu") for _ in range(n))
+    pairs = [(some(n), some(480), 0.45) for n in (20, 60, 120, 240) for _ in range(8)]
+    assert near_ratios(pairs) == [window_ratio(q, t, floor, True) for q, t, floor in pairs]
+    assert sum(compared) == 0
